@@ -15,7 +15,7 @@ def _with_parts(examples: DataFrame, separator: str) -> DataFrame:
     if "answer" not in examples.columns:
         examples = examples.withColumn("answer", F.lit(None).cast("string"))
     parts = examples.withColumn("_parts", answer_parts(F.col("answer"), separator))
-    return parts.withColumn("_fits", F.col("answer").isNull() | (F.size("_parts") == 2))
+    return parts.withColumn("_fits", F.col("answer").isNull() | F.col("_parts.once"))
 
 
 def parse_examples(examples: DataFrame, separator: str = ANSWER_SEPARATOR, strict: bool = True) -> DataFrame:
@@ -25,14 +25,17 @@ def parse_examples(examples: DataFrame, separator: str = ANSWER_SEPARATOR, stric
     rows are left out here and found by ``rejected_examples``.
     """
     split = _with_parts(examples, separator)
-    reasoning = F.get("_parts", F.lit(0))
-    if strict:
-        message = F.concat(F.lit("not exactly two answer parts in example "), F.col("example_id").cast("string"))
-        reasoning = F.when(F.col("_fits"), reasoning).otherwise(F.raise_error(message))
-    else:
+    if not strict:
         split = split.filter("_fits")
+    message = F.concat(F.lit("not exactly two answer parts in example "), F.col("example_id").cast("string"))
+    misfit = F.raise_error(message)
+
+    def part(name: str):
+        # Each column checks for itself: a query may read only one of them.
+        return F.when(F.col("_fits"), F.col(f"_parts.{name}")).otherwise(misfit).alias(name)
+
     others = [name for name in examples.columns if name not in ("answer", "reasoning")]
-    return split.select(*others, reasoning.alias("reasoning"), F.get("_parts", F.lit(1)).alias("answer"))
+    return split.select(*others, part("reasoning"), part("answer"))
 
 
 def rejected_examples(examples: DataFrame, separator: str = ANSWER_SEPARATOR) -> DataFrame:
@@ -42,8 +45,9 @@ def rejected_examples(examples: DataFrame, separator: str = ANSWER_SEPARATOR) ->
 
 def reference_answers(examples: DataFrame, separator: str = ANSWER_SEPARATOR, strict: bool = True) -> DataFrame:
     """The normalised final answer of every example that has one."""
-    parsed = parse_examples(examples, separator, strict)
-    return parsed.select("example_id", normalized(F.col("answer")).alias("reference")).filter("reference IS NOT NULL")
+    answered = examples.select("example_id", "answer").filter("answer IS NOT NULL")
+    parsed = parse_examples(answered, separator, strict)
+    return parsed.select("example_id", normalized(F.col("answer")).alias("reference"))
 
 
 def head_examples(examples: DataFrame, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +21,10 @@ def _balanced(prompts: DataFrame, prompt: str, n_tasks: int | None) -> DataFrame
     return keyed.sortWithinPartitions(F.length(prompt).desc())
 
 
-def _in_batches(frames: Iterator[pd.DataFrame], batch_size: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for start in range(0, len(frame), batch_size):
-            yield frame.iloc[start : start + batch_size]
+def _in_batches(arriving: Iterator[pa.RecordBatch], batch_size: int) -> Iterator[pa.RecordBatch]:
+    for rows in arriving:
+        for start in range(0, rows.num_rows, batch_size):
+            yield rows.slice(start, batch_size)
 
 
 def _checked(answers: list, prompts: list[str]) -> list:
@@ -47,15 +47,16 @@ def batch_generate(
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for batch in _in_batches(frames, batch_size):
+        for batch in _in_batches(arriving, batch_size):
             model = model or make_model(temperature)
-            texts = batch[prompt].tolist()
-            yield batch.assign(generation=_checked(model(texts), texts))
+            texts = batch.column(prompt).to_pylist()
+            answers = pa.array(_checked(model(texts), texts), type=pa.string())
+            yield batch.append_column("generation", answers)
 
     fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in prompts.schema.fields)
-    return _balanced(prompts, prompt, n_tasks).mapInPandas(run, f"{fields}, generation STRING")
+    return _balanced(prompts, prompt, n_tasks).mapInArrow(run, f"{fields}, generation STRING")
 
 
 def batch_embed(
@@ -69,14 +70,15 @@ def batch_embed(
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in _in_batches(frames, batch_size):
+        for batch in _in_batches(arriving, batch_size):
             encoder = encoder or make_encoder()
-            texts = batch[prompt].tolist()
-            yield batch[["format_id", "example_id"]].assign(layers=_checked(encoder(texts), texts))
+            texts = batch.column(prompt).to_pylist()
+            layers = pa.array(_checked(encoder(texts), texts), type=pa.list_(pa.list_(pa.float32())))
+            yield batch.select(["format_id", "example_id"]).append_column("layers", layers)
 
     needed = _balanced(prompts.select("format_id", "example_id", prompt), prompt, n_tasks)
     schema = "format_id INT, example_id BIGINT, layers ARRAY<ARRAY<FLOAT>>"
-    embedded = needed.mapInPandas(run, schema)
+    embedded = needed.mapInArrow(run, schema)
     return embedded.select("format_id", "example_id", F.posexplode("layers").alias("layer", "embedding"))

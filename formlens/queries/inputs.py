@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from formlens.fixed_values import DESCRIPTORS, END_TAG, INSTRUCTION_TAG, RESPONSE_TAG, SEPARATORS, SPACES, TRANSFORMS
 from formlens.plans.studies import study_formats
+from formlens.sources.tables import spread_small
 
 SEED = 24
 N_FORMATS = 10
@@ -19,6 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_small(table(spark, folder, "documents"))
+
+
 # A document is an example: its first half asks, its second half reasons, its length is the answer.
 HALF = "CAST(floor(length(text) / 2) AS INT)"
 QUESTION = f"substr(text, 1, {HALF})"
@@ -27,7 +32,7 @@ EXAMPLES_SQL = f"SELECT doc_id AS example_id, {QUESTION} AS question, {ANSWER.fo
 
 
 def examples(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr(
+    return documents(spark, folder).selectExpr(
         "doc_id AS example_id", f"{QUESTION} AS question", f"{ANSWER.format(string='STRING')} AS answer"
     )
 
@@ -51,7 +56,7 @@ FROM documents, range({N_FORMATS}) AS f(format_id), range({len(EXPERIMENTS)}) AS
 
 
 def generations(spark: SparkSession, folder: str) -> DataFrame:
-    each = table(spark, folder, "documents").select(
+    each = documents(spark, folder).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(N_FORMATS - 1))).alias("format_id")
     )
     each = each.select("*", F.posexplode(F.array(*[F.lit(name) for name in EXPERIMENTS])).alias("model", "experiment"))
