@@ -73,20 +73,24 @@ def before_end_tag(generation: Column, tag: str = END_TAG) -> Column:
     return F.substring_index(generation, tag, 1)
 
 
-def last_number(generation: Column) -> Column:
-    """The last number before the end tag, or an empty string.
+# A number never crosses a character other than a digit, a dot or a dash. So the last number
+# of a text lies in its last run of such characters that ends in a digit. Runs are looked
+# for from the back, and so are spelled backwards.
 
-    A number never crosses a character other than a digit, a dot or a dash. So the last
-    one lies in the last run of such characters that ends in a digit, and only that run
-    is searched for all its numbers. The run is looked for from the back: in the closing
-    characters first, and in the whole text when it does not both start and end there.
-    """
-    text = before_end_tag(generation)
-    closing = F.regexp_extract(F.reverse(F.right(text, F.lit(CLOSING_CHARS))), r"([0-9][-.0-9]*)[^-.0-9]", 1)
-    anywhere = F.regexp_extract(F.reverse(text), r"[0-9][-.0-9]*", 0)
-    run = F.reverse(F.when(closing != "", closing).otherwise(anywhere))
-    numbers = F.regexp_extract_all(run, F.lit(NUMBER_PATTERN), F.lit(0))
-    return F.when(generation.isNotNull(), F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("")))
+
+def closing_run(text: Column) -> Column:
+    """The last run if it lies within the closing characters of the text, otherwise an empty string."""
+    return F.regexp_extract(F.reverse(F.right(text, F.lit(CLOSING_CHARS))), r"([0-9][-.0-9]*)[^-.0-9]", 1)
+
+
+def last_run(text: Column) -> Column:
+    return F.regexp_extract(F.reverse(text), r"[0-9][-.0-9]*", 0)
+
+
+def last_number(run: Column) -> Column:
+    """The last number in a run, or an empty string; null for null."""
+    numbers = F.regexp_extract_all(F.reverse(run), F.lit(NUMBER_PATTERN), F.lit(0))
+    return F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.when(run.isNotNull(), ""))
 
 
 def normalized(answer: Column) -> Column:
@@ -101,9 +105,10 @@ def until_stop(generation: Column, stops: list[str], keep_stop: bool = False) ->
     """
     if not stops or "" in stops:
         raise ValueError("stop strings must be non-empty")
-    places = [F.nullif(F.instr(generation, stop), F.lit(0)) for stop in stops]
-    earliest = F.least(*places) if len(places) > 1 else places[0]
-    kept = F.substring(generation, F.lit(1), earliest - 1)
+    places = [F.instr(generation, stop) for stop in stops]
+    earliest = F.array_min(F.filter(F.array(*places), lambda place: place > 0))
+    kept = F.substring(generation, F.lit(1), F.coalesce(earliest - 1, F.lit(2**31 - 1)))
     if keep_stop:
-        kept = F.concat(kept, F.coalesce(*[F.when(place == earliest, stop) for place, stop in zip(places, stops)]))
-    return F.when(earliest.isNull(), generation).otherwise(kept)
+        found = [F.when(place == earliest, stop) for place, stop in zip(places, stops)]
+        kept = F.concat(kept, F.coalesce(*found, F.lit("")))
+    return kept

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR, END_TAG, STOP_STRINGS
-from formlens.functions.text import before_end_tag, last_number, normalized, until_stop
+from formlens.functions.text import before_end_tag, closing_run, last_number, last_run, normalized, until_stop
 from formlens.operators.examples import reference_answers
 
 FORMAT_KEYS = ["experiment", "format_id"]
@@ -23,8 +23,17 @@ def truncate_at_stop(
 
 
 def extract_answers(generations: DataFrame) -> DataFrame:
-    """Replace the generation by ``extracted``, so that no long text goes into a shuffle."""
-    return generations.withColumn("extracted", last_number(F.col("generation"))).drop("generation")
+    """Replace the generation by ``extracted``, its last number before the end tag or an empty string.
+
+    The whole text is searched only where the number does not lie in its closing
+    characters. Steps are columns of their own so that none is evaluated twice, and no
+    long text goes into a shuffle.
+    """
+    cut = generations.withColumn("_text", before_end_tag(F.col("generation")))
+    closing = cut.withColumn("_closing", closing_run(F.col("_text")))
+    run = F.when(F.col("_closing") != "", F.col("_closing")).otherwise(last_run(F.col("_text")))
+    runs = closing.withColumn("_run", run)
+    return runs.withColumn("extracted", last_number(F.col("_run"))).drop("generation", "_text", "_closing", "_run")
 
 
 def normalize_answers(extracted: DataFrame) -> DataFrame:

@@ -30,15 +30,13 @@ def build_session(app_name: str = "formlens", master: str | None = None, **setti
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    if context.getCheckpointDir() is None:
+        if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="formlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="formlens-"))
+    return folder or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
