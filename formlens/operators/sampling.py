@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 HASH_BUCKETS = 16**4
 MERGE_SLICES = 256
-KEYS_PER_SLICE = 1 << 20
+KEYS_PER_SLICE = 1 << 18
 BROADCAST_ROWS = 200_000
 
 

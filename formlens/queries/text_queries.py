@@ -464,6 +464,17 @@ def available_formats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT example_id, format_id, text_md5 FROM ({digest_sql(prompts_sql(at.EXAMPLES_SQL, True, at.formats_sql(12), "NULL", "NULL"), "prompt", *PROMPT_KEYS)})
+WHERE format_id >= {at.N_FORMATS}""")
+def evaluation_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts of a study with twelve formats, ten of which have generations already."""
+    built = studies.evaluation_prompts(
+        at.examples(spark, folder), None, at.formats(spark, 12), at.generations(spark, folder), at.SEED
+    )
+    return digest(built, "prompt", *PROMPT_KEYS).drop("text_chars")
+
+
 # Inference with stand-in models, and streaming
 
 

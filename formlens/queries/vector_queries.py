@@ -188,11 +188,15 @@ def sample_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
-@query(shape_sql(unit_sql(
+GROUP_DIFFS_SQL = unit_sql(
     f"""SELECT pair_id, a.pos, a.x - b.x AS d FROM ({GROUP_PAIRS_SQL}) AS p
         JOIN ({LABELLED_ELEMENTS}) AS a ON a.vec_id = target_id
         JOIN ({LABELLED_ELEMENTS}) AS b ON b.vec_id = baseline_id AND a.pos = b.pos""",
-    "1e-12", "pair_id"), "x", "pair_id"))
+    "1e-12", "pair_id",
+)
+
+
+@query(shape_sql(GROUP_DIFFS_SQL, "x", "pair_id"))
 def group_pair_diffs(spark: SparkSession, folder: str) -> DataFrame:
     return shape(differences.group_pair_diffs(at.labelled(spark, folder), N_PAIRS, at.SEED), "diff", "pair_id")
 
@@ -256,18 +260,47 @@ def principal_directions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+def gram_sql(elements: str, *keys: str) -> str:
+    each = ", ".join(keys)
+    return f"""
+WITH d AS ({elements}), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT {each} FROM d)),
+m AS (SELECT pos, avg(x) AS m FROM d GROUP BY pos),
+g AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS g FROM d AS a JOIN d AS b USING ({each}) GROUP BY ALL)"""
+
+
+@query(f"""{gram_sql(GROUP_DIFFS_SQL, "pair_id")},
+c AS (SELECT i, j, g - n * a.m * b.m AS g FROM g JOIN m AS a ON a.pos = i JOIN m AS b ON b.pos = j, n)
+SELECT 64::BIGINT AS n_directions, (SELECT round(sum(g), 6) FROM c WHERE i = j) AS sum_squares,
+       (SELECT round(sum(g * g), 4) FROM c) AS sum_fourths,
+       (SELECT round(sum(m * (pos + 1)) / sqrt(sum(m * m)), 6) FROM m) AS mean_weighted""")
 def centred_directions(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean and centred principal directions of random group pairs."""
+    """Mean and centred principal directions of random group pairs.
+
+    Sums of squared and fourth powers of the singular values are the trace and the squared
+    norm of the centred Gram matrix.
+    """
     diffs = differences.group_pair_diffs(at.labelled(spark, folder), N_PAIRS, at.SEED)
-    found = directions.principal_directions(diffs, 20, center=True, prepend_mean=True)
-    return shape(found, "vector", "component", "kind", "singular_value")
+    found = directions.principal_directions(diffs, 64, center=True, prepend_mean=True)
+    weighted = shape(found.filter("kind = 'mean'"), "vector").select("weighted")
+    powers = found.filter("kind = 'principal'").agg(
+        F.count("*").alias("n_directions"),
+        F.round(F.sum(F.col("singular_value") ** 2), 6).alias("sum_squares"),
+        F.round(F.sum(F.col("singular_value") ** 4), 4).alias("sum_fourths"),
+    )
+    return powers.select("*", weighted.scalar().alias("mean_weighted"))
 
 
-@query()
+@query(f"""{gram_sql(CONTRAST_SQL, "fmt_b", "example_id")}
+SELECT 64::BIGINT AS n_directions, 1.0::DOUBLE AS all_shares,
+       round((SELECT sum(g * g) FROM g) / (SELECT sum(g) FROM g WHERE i = j) ** 2, 6) AS sum_squared_shares""")
 def explained_variance(spark: SparkSession, folder: str) -> DataFrame:
-    found = directions.principal_directions(contrasts(spark, folder), 64)
-    return rounded(directions.explained_variance(found), "share", "running_share")
+    """Over all directions the shares add up to one, and their squares follow from the Gram matrix."""
+    shares = directions.explained_variance(directions.principal_directions(contrasts(spark, folder), 64))
+    return shares.agg(
+        F.count("*").alias("n_directions"),
+        F.round(F.max("running_share"), 6).alias("all_shares"),
+        F.round(F.sum(F.col("share") ** 2), 6).alias("sum_squared_shares"),
+    )
 
 
 # Projections: the mean vectors of labels 0 and 1 are taken out one after the other.
