@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlens.functions.vectors import as_lists, as_matrix
-from formlens.operators.directions import MAX_DIRECTIONS, MEAN_SLICES
-
-SALTS = 32
+from formlens.operators.directions import MAX_DIRECTIONS
 
 
 def direction_matrix(directions: DataFrame) -> np.ndarray:
@@ -55,8 +53,8 @@ def project_out(
 def project_out_columns(matrices: DataFrame, direction: DataFrame, weight: float = 1.0) -> DataFrame:
     """``M - weight v (vᵀM)`` for matrices stored by rows (``matrix_id, row_idx, values``).
 
-    ``vᵀM`` is a weighted sum of rows, combined before the shuffle in slices of tasks. It
-    is joined back on salted keys, since one matrix may hold most of the rows.
+    ``vᵀM`` is a weighted sum of rows, combined before the shuffle. Every matrix must have
+    exactly as many rows as the direction has entries, so no matrix can dominate the join.
     """
     unit = direction_matrix(direction.select(F.lit(0).alias("component"), "vector"))
     if len(unit) != 1:
@@ -72,21 +70,11 @@ def project_out_columns(matrices: DataFrame, direction: DataFrame, weight: float
         share = weight * _entries(axis.value, positions)[:, None]
         return as_lists(as_matrix(rows) - share * as_matrix(column_sums))
 
-    sliced = matrices.select(
-        "matrix_id",
-        (F.spark_partition_id() % MEAN_SLICES).alias("_slice"),
-        array_to_vector(scaled("values", "row_idx")).alias("_row"),
-    )
-    partial = sliced.groupBy("matrix_id", "_slice").agg(
-        Summarizer.sum(F.col("_row")).alias("_row"), F.count("*").alias("_rows")
-    )
-    merged = partial.groupBy("matrix_id").agg(Summarizer.sum(F.col("_row")).alias("_row"), F.sum("_rows").alias("_rows"))
+    weighted = matrices.select("matrix_id", array_to_vector(scaled("values", "row_idx")).alias("_row"))
+    merged = weighted.groupBy("matrix_id").agg(Summarizer.sum(F.col("_row")).alias("_row"), F.count("*").alias("_rows"))
     misfit = F.raise_error(F.lit(f"a matrix must have {len(unit[0])} rows to fit the direction"))
     fitting = F.when(F.col("_rows") == len(unit[0]), vector_to_array("_row")).otherwise(misfit)
-    sums = merged.select("matrix_id", fitting.alias("_sums"))
-    salted_sums = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = matrices.withColumn("_salt", F.pmod(F.hash("row_idx"), F.lit(SALTS)))
-    joined = salted.join(salted_sums, ["matrix_id", "_salt"])
+    joined = matrices.join(merged.select("matrix_id", fitting.alias("_sums")), "matrix_id")
     return joined.select("matrix_id", "row_idx", shifted("values", "row_idx", "_sums").alias("values"))
 
 

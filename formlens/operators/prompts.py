@@ -40,24 +40,23 @@ def few_shot_prompts(
 ) -> DataFrame:
     """Worked examples in ``shot_rank`` order, then the question; a blank line between all of them.
 
-    The worked examples are rendered once per format and joined to the format dimension,
-    so a test row only concatenates.
+    What every task holds is the formats and the worked examples, not their product: the
+    latter are rendered in the row whose prompt contains them anyway.
     """
     missing = F.raise_error(F.lit("every worked example must have an answer"))
     answered = shots.withColumn("answer", F.when(F.col("answer").isNull(), missing).otherwise(F.col("answer")))
     columns = ["shot_rank", "question", "reasoning", "answer"]
     shot_list = as_array(parse_examples(answered, separator).select(*columns), "shot_rank", MAX_SHOTS)
-    labelled = label_descriptors(formats)
-    spec = F.struct(*labelled.columns)
-    texts = F.transform(
+    spec = F.col("spec")
+    worked = F.transform(
         F.col("shots"), lambda shot: rendered(shot["question"], shot["reasoning"], shot["answer"], spec, False)
     )
-    with_prefix = labelled.withColumn("shots", shot_list).withColumn("prefix", F.array_join(texts, "\n\n")).drop("shots")
-    question = rendered(F.col("question"), _nothing(), _nothing(), F.col("spec"), False)
-    return for_each_format(tests.select("example_id", "question"), with_prefix).select(
+    question = rendered(F.col("question"), _nothing(), _nothing(), spec, False)
+    rows = for_each_format(tests.select("example_id", "question"), label_descriptors(formats))
+    return rows.withColumn("shots", shot_list).select(
         "example_id",
-        F.col("spec.format_id").alias("format_id"),
-        F.concat(F.col("spec.prefix"), F.lit("\n\n"), question).alias("prompt"),
+        spec["format_id"].alias("format_id"),
+        F.concat(F.array_join(worked, "\n\n"), F.lit("\n\n"), question).alias("prompt"),
     )
 
 

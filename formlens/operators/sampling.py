@@ -72,12 +72,12 @@ def first_rows(rows: DataFrame, n: int, order: list[Column], key: str) -> DataFr
 
 
 def row_ordinals(rows: DataFrame, value: Column, key: str) -> DataFrame:
-    """Add ``ordinal``: the position in the order of ``value`` descending, then ``key``.
+    """Add ``ordinal``: the position in the order of ``value`` (null counts as 0) descending, then ``key``.
 
     Rows with one value are cut into slices of the (unique, integer) key, so a value
     shared by a third of all rows is still numbered in slices of bounded size.
     """
-    sliced = rows.select("*", value.alias("_value"), F.floor(F.col(key) / KEYS_PER_SLICE).alias("_slice"))
+    sliced = rows.select("*", F.coalesce(value, F.lit(0)).alias("_value"), F.expr(f"`{key}` DIV {KEYS_PER_SLICE}").alias("_slice"))
     slices = sliced.groupBy("_value", "_slice").agg(F.count("*").alias("_rows"))
     values = slices.groupBy("_value").agg(F.sum("_rows").alias("_total"))
     # One row per distinct value: a text length, so this window is small.

@@ -90,3 +90,9 @@ def test_draws_stay_in_range_and_blocks_have_two_formats(spark):
     for r in blocks:
         by_block.setdefault(r["pair_id"] // 8, set()).add((r["first_pos"], r["second_pos"]))
     assert all(len(p) == 1 for p in by_block.values()) and len({q for p in by_block.values() for q in p}) > 10
+
+
+def test_a_missing_question_is_ordered_last_and_kept(spark):
+    table = spark.createDataFrame([(5, None), (2**60, "ab"), (2**60 + 1, "ab"), (9, "")], "example_id BIGINT, question STRING")
+    found = {r["ordinal"]: r["example_id"] for r in order_by_question_length(table).collect()}
+    assert found == {0: 2**60, 1: 2**60 + 1, 2: 5, 3: 9}
