@@ -52,7 +52,7 @@ def reference_answers(examples: DataFrame, separator: str = ANSWER_SEPARATOR, st
 
 def head_examples(examples: DataFrame, n: int) -> DataFrame:
     """The first ``n`` examples by id, or all when there are fewer."""
-    return first_rows(examples, n, [], "example_id")
+    return first_rows(examples, n, F.lit(0), "example_id")
 
 
 def order_by_question_length(examples: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def order_by_question_length(examples: DataFrame) -> DataFrame:
 def longest_examples(examples: DataFrame, n: int) -> DataFrame:
     """The ``n`` examples with the most question and answer characters together."""
     size = F.coalesce(F.length("question"), F.lit(0)) + F.coalesce(F.length("answer"), F.lit(0))
-    return first_rows(examples, n, [-size], "example_id")
+    return first_rows(examples, n, size, "example_id")
 
 
 def select_few_shot(train: DataFrame, seed: int, subset: int = 100) -> DataFrame:

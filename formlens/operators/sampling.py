@@ -54,20 +54,21 @@ def hash_ranked(rows: DataFrame, seed: int, key: str, n: int | None = None) -> D
     return ranked.drop("_hash", "_bucket", "_start")
 
 
-def first_rows(rows: DataFrame, n: int, order: list[Column], key: str) -> DataFrame:
-    """The first ``n`` rows by ``order`` ascending and then ``key``; all rows when there are fewer.
+def first_rows(rows: DataFrame, n: int, value: Column, key: str) -> DataFrame:
+    """The first ``n`` rows by ``value`` descending and then ``key``; all rows when there are fewer.
 
     A tree of top-n steps over the narrow sort columns: every task keeps at most ``n``
     rows, slices of tasks are merged side by side, and the last step merges the slices.
-    Only the winners' full rows are read. Equal sort values cost nothing extra.
+    Only the winners' full rows are read. Equal values cost nothing extra. When ``n`` is
+    too large for one task, all rows are numbered instead.
     """
-    names = [f"_order{i}" for i in range(len(order))]
-    narrow = rows.select(F.col(key).alias("_key"), *[column.alias(name) for column, name in zip(order, names)])
+    if n > BROADCAST_ROWS:
+        return row_ordinals(rows, value, key).filter(F.col("ordinal") < n).drop("ordinal")
+    narrow = rows.select(F.col(key).alias("_key"), (-F.coalesce(value, F.lit(0))).alias("_value"))
     narrow = narrow.withColumn("_slice", F.spark_partition_id() % MERGE_SLICES)
-    by = [F.col(name) for name in names] + [F.col("_key")]
-    place = F.row_number().over(Window.partitionBy("_slice").orderBy(*by))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_value", "_key"))
     finalists = narrow.withColumn("_place", place).filter(F.col("_place") <= n)
-    winners = finalists.orderBy(*by).limit(n).select(F.col("_key").alias(key))
+    winners = finalists.orderBy("_value", "_key").limit(n).select(F.col("_key").alias(key))
     return rows.join(small_side(winners, n), key, "left_semi")
 
 

@@ -25,9 +25,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def toy_examples(spark):
     rows = [
-        (1, "This is a medium question.", "Short reasoning. #### 42"),
-        (2, "This is a significantly longer question to test padding.", "This is a medium reasoning. #### 0"),
-        (3, "A short question.", "This is a significantly longer reasoning to test padding. #### 1000"),
+        (1, "What is six times seven?", "Just multiply. #### 42"),
+        (2, "Nine birds sit on a wire and all of them fly away; how many stay?", "None of them stays. #### 0"),
+        (3, "Ten hundreds are?", "A hundred is ten tens, so ten of them are a thousand. #### 1000"),
     ]
     return spark.createDataFrame(rows, "example_id BIGINT, question STRING, answer STRING")
 

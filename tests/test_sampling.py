@@ -48,6 +48,14 @@ def test_longest_with_ties(skewed):
         assert found == {i for i, _, _ in order[:n]}
 
 
+def test_large_tops_are_numbered(skewed, monkeypatch):
+    table, rows = skewed
+    monkeypatch.setattr(sp, "BROADCAST_ROWS", 10)
+    order = sorted(rows, key=lambda r: (-len(r[1]) - len(r[2]), r[0]))
+    assert {r["example_id"] for r in longest_examples(table, 900).collect()} == {i for i, _, _ in order[:900]}
+    assert {r["example_id"] for r in head_examples(table, 900).collect()} == {i for i, _, _ in rows[:900]}
+
+
 def test_head_clamps(skewed):
     table, rows = skewed
     assert {r["example_id"] for r in head_examples(table, 5).collect()} == {1, 4, 7, 10, 13}

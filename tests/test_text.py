@@ -125,16 +125,16 @@ def test_references(spark, toy_examples):
     assert {r["example_id"]: r["reference"] for r in reference_answers(toy_examples).collect()} == {1: "42", 2: "0", 3: "1000"}
 
 
-QUESTION = "How much is 12 * 12?"
-REASONING = "12 * 12 = 12 * 10 + 12 * 2 = 120 + 24 = 144"
+QUESTION = "A box holds 4 * 6 eggs. How many?"
+REASONING = "4 * 6 = 24"
 
 
 def test_worked_renderings(spark):
-    table = spark.createDataFrame([(1, QUESTION, REASONING, "144")], "example_id BIGINT, question STRING, reasoning STRING, answer STRING")
+    table = spark.createDataFrame([(1, QUESTION, REASONING, "24")], "example_id BIGINT, question STRING, reasoning STRING, answer STRING")
     formats = make_formats(spark, [(0, "lower", ": ", "\n"), (1, "upper", "\t", "-- ")])
     found = {r["format_id"]: r["prompt"] for r in render_prompts(table, formats).collect()}
-    assert found[0] == f"question: {QUESTION}\nreasoning: {REASONING}\nanswer: 144"
-    assert found[1] == f"QUESTION\t{QUESTION}-- REASONING\t{REASONING}-- ANSWER\t144"
+    assert found[0] == f"question: {QUESTION}\nreasoning: {REASONING}\nanswer: 24"
+    assert found[1] == f"QUESTION\t{QUESTION}-- REASONING\t{REASONING}-- ANSWER\t24"
 
 
 def test_tags_and_dropped_sections(spark):
@@ -158,8 +158,8 @@ def test_few_shot_prompt(spark, toy_examples):
     tests = spark.createDataFrame([(9, "Why?")], "example_id BIGINT, question STRING")
     prompt = few_shot_prompts(tests, shots, formats).collect()[0]["prompt"]
     assert prompt == (
-        "question:This is a medium question. | reasoning:Short reasoning.  | answer: 42\n\n"
-        "question:This is a significantly longer question to test padding. | reasoning:This is a medium reasoning.  | answer: 0\n\n"
+        "question:What is six times seven? | reasoning:Just multiply.  | answer: 42\n\n"
+        "question:Nine birds sit on a wire and all of them fly away; how many stay? | reasoning:None of them stays.  | answer: 0\n\n"
         "question:Why? | "
     )
 
