@@ -12,6 +12,7 @@ from formlens.functions.text import rendered
 from formlens.operators import examples as ex
 from formlens.operators import formats as fm
 from formlens.operators import inference, prompts, report, scoring
+from formlens.operators.dimensions import for_each_format
 from formlens.plans import studies
 from formlens.queries import inputs as at
 from formlens.session import scratch_path
@@ -163,7 +164,7 @@ SELECT example_id, first_label, third_label, count(*) AS n_formats
 FROM ({at.EXAMPLES_SQL}), ({at.formats_sql()}) GROUP BY ALL""")
 def transform_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     """How often every example meets each spelling of its descriptors."""
-    pairs = prompts.for_each_format(at.examples(spark, folder).select("example_id"), fm.label_descriptors(at.formats(spark)))
+    pairs = for_each_format(at.examples(spark, folder).select("example_id"), fm.label_descriptors(at.formats(spark)))
     return pairs.groupBy("example_id", "spec.first_label", "spec.third_label").agg(F.count("*").alias("n_formats"))
 
 
@@ -256,7 +257,7 @@ def split_disjoint(spark: SparkSession, folder: str) -> DataFrame:
 SELECT example_id, format_id, idx, separator || space AS pieces FROM ({at.EXAMPLES_SQL}), ({at.formats_sql(20)})""")
 def sample_formats(spark: SparkSession, folder: str) -> DataFrame:
     """The work list of a study with twenty sampled formats."""
-    pairs = prompts.for_each_format(at.examples(spark, folder).select("example_id"), at.formats(spark, 20))
+    pairs = for_each_format(at.examples(spark, folder).select("example_id"), at.formats(spark, 20))
     return pairs.select(
         "example_id", "spec.format_id", "spec.idx", F.concat("spec.separator", "spec.space").alias("pieces")
     )

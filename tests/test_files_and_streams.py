@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from formlens.operators.examples import order_by_question_length, reference_answers
 from formlens.operators.inference import batch_embed, batch_generate

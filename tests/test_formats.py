@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from conftest import make_formats
 from formlens.fixed_values import SEPARATORS, SPACES, TRANSFORMS
 from formlens.operators import formats as fm
-from formlens.operators.prompts import augment_examples, for_each_format
+from formlens.operators.dimensions import for_each_format
+from formlens.operators.prompts import augment_examples
 from formlens.plans.studies import study_formats
 from formlens.sources.formats import load_format_specs, save_format_specs
 
