@@ -1,4 +1,4 @@
-"""Stored hidden states: one Parquet folder per format and layer."""
+"""Stored hidden states: one Parquet folder per format and layer, or a bucketed table."""
 
 from __future__ import annotations
 
@@ -14,6 +14,16 @@ def write_hidden_states(states: DataFrame, path: str) -> None:
     replace_partitions(states, path, ["format_id", "layer"])
 
 
+def save_state_table(states: DataFrame, table: str, buckets: int) -> None:
+    """A catalogue table bucketed by example: formats of one example can be joined without a shuffle.
+
+    Worth it when differences are taken more than once. Read it with ``spark.table``.
+    """
+    rows = states.repartition(buckets, "example_id")  # the bucket function: every task writes one bucket
+    writer = rows.write.mode("overwrite").partitionBy("layer").bucketBy(buckets, "example_id").sortBy("example_id")
+    writer.format("parquet").saveAsTable(table)
+
+
 def read_hidden_states(
     spark: SparkSession, path: str, layer: int | None = None, format_ids: list[int] | None = None
 ) -> DataFrame:

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         spark_ui_enabled="false",
         spark_sql_shuffle_partitions="8",
         spark_checkpoint_dir=str(tmp_path_factory.mktemp("shared")),
+        spark_sql_warehouse_dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

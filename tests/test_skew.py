@@ -5,9 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from formlens.operators.differences import contrast_diffs
 from formlens.operators.directions import group_means
 from formlens.operators.scoring import align_generations, format_accuracy
+from formlens.operators.states import select_layer
 from formlens.sources.generations import read_stored_generations, write_generations
+from formlens.sources.states import save_state_table
 
 
 @pytest.fixture
@@ -71,6 +74,25 @@ def test_a_hot_format_is_written_by_many_tasks(spark, small_pieces, tmp_path):
     assert 3 < len([name for name in hot if name.endswith(".parquet")]) < 200
 
 
+def test_bucketed_states_are_joined_without_a_shuffle(spark, small_pieces):
+    states = spark.range(0, 4_000, 1, 8).select(
+        (F.col("id") % 4).cast("int").alias("format_id"),
+        F.expr("id DIV 8").alias("example_id"),
+        F.expr("CAST(id DIV 4 % 2 AS INT)").alias("layer"),
+        F.array((F.col("id") % 13).cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
+    )
+    save_state_table(states, "bucketed_states", 8)
+    plain = contrast_diffs(select_layer(states, 1), 2)
+    bucketed = contrast_diffs(select_layer(spark.table("bucketed_states"), 1), 2)
+    assert "Exchange" in final_plan(plain) and "Exchange" not in final_plan(bucketed)
+
+    def rows(df):
+        return sorted((r["fmt_a"], r["fmt_b"], r["example_id"], tuple(r["diff"])) for r in df.collect())
+
+    assert rows(bucketed) == rows(plain) and bucketed.count() == 1_500
+    spark.sql("DROP TABLE bucketed_states")
+
+
 def test_means_of_a_hot_group_are_merged_by_slices(spark):
     vectors = spark.range(0, 9_000, 1, 24).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 11).otherwise(99).alias("label"),
