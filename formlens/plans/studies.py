@@ -31,7 +31,8 @@ def evaluation_prompts(
 ) -> DataFrame:
     """Prompts still to be answered: with worked examples from ``train``, or tagged when there is none.
 
-    Formats in ``done`` are dropped before examples are multiplied by formats.
+    ``done`` holds outputs of this experiment: their formats are dropped before examples are
+    multiplied by formats.
     """
     if done is not None:
         _, formats = available_formats(formats, done)
