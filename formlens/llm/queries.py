@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from formlens.llm.decontamination import find_items
+from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.packing import pack_documents
+from formlens.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +25,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and byte-level BPE tokens of every document, and whether it has over 1,024."""
+    return count_tokens(table(spark, folder, "documents"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the runs of lines, of 50 words or more, that repeat earlier ones."""
+    deduplicated = dedup_lines(table(spark, folder, "documents"))
+    return deduplicated.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a window of 2,048 tokens."""
     return pack_documents(table(spark, folder, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that every document holds, up to edits of a tenth of their length."""
+    found = find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    n_items = F.size("items_found")
+    return found.select("doc_id", (n_items > 0).alias("contaminated"), n_items.alias("n_items"), "items_found")

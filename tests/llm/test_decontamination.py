@@ -1,0 +1,101 @@
+import random
+
+import pytest
+
+from formlens.llm.decontamination import ItemIndex, find_items, folded, within_edits
+
+WORDS = [a + b + c for a in ("th", "er", "on", "sta", "re", "in") for b in ("an", "ou", "ti", "es", "ly") for c in ("", "n", "re", "sh")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choices(WORDS, k=n)).capitalize() + "."
+
+
+def edits_to_part(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        last, row = row, [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+    return min(row)
+
+
+def edited(rng, text, n):
+    text = list(text)
+    for _ in range(n):
+        at, kind = rng.randrange(len(text)), rng.randrange(3)
+        text[at : at + (kind != 0)] = [rng.choice("aeiourst")] * (kind != 2)
+    return "".join(text)
+
+
+def test_exact_check():
+    rng = random.Random(1)
+    for _ in range(300):
+        item, text = ("".join(rng.choices("abc", k=rng.randint(1, n))) for n in (9, 30))
+        best = edits_to_part(item, text)
+        for most in range(len(item) + 1):
+            assert within_edits(item.encode(), text.encode(), most) == (best <= most)
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Items, documents, and by document the items within a tenth of edits, by brute force."""
+    rng = random.Random(5)
+    items = [(k, prose(rng, rng.randint(14, 50))) for k in range(12)]
+    docs = []
+    for k in range(150):
+        text = prose(rng, rng.randint(5, 120))
+        if k % 3:
+            item = items[k % 12][1]
+            n = rng.randint(0, len(folded(item)) // 10) if k % 3 == 2 else 0
+            text = f"{text} {edited(rng, item, n) if n else item.upper() if k % 2 else item}\n{prose(rng, 40)}"
+        docs.append((k, text))
+    truth = {}
+    for k, text in docs:
+        for i, item in items:
+            pattern, whole = folded(item), folded(text)
+            if within_edits(pattern.strip(), whole, len(pattern.strip()) // 10):
+                truth.setdefault(k, set()).add(i)
+    return items, docs, truth
+
+
+def test_against_brute_force(spark, planted):
+    items, docs, truth = planted
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for block_bytes in (1 << 20, 1200):
+        found = {r.doc_id: set(r.items_found) for r in find_items(frame, bench, block_bytes=block_bytes).collect()}
+        assert len(found) == len(docs)
+        assert all(ids <= truth.get(k, set()) for k, ids in found.items())
+        pairs = [(k, i) for k, ids in truth.items() for i in ids]
+        assert sum(i in found[k] for k, i in pairs) >= 0.9 * len(pairs)
+        exact = [(k, k % 12) for k in range(150) if k % 3 == 1]
+        assert all(i in found[k] for k, i in exact)
+
+
+def test_same_result_for_any_layout(spark, planted):
+    items, docs, _ = planted
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    results = []
+    for n in (1, 7):
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        results.append(sorted((r.doc_id, r.items_found) for r in find_items(frame, bench).collect()))
+    assert results[0] == results[1]
+
+
+def test_short_items():
+    index = ItemIndex([1, 2, 3, 4, 5], ["Yes", "a long day", "the thing itself is", "?!", "z"], 0.1, 0.95)
+    assert index.search(["Oh yes it was. A LONG, day z", "thing", "", "see the thing itself is"]) == [[1, 2, 5], [], [], [3]]
+
+
+def test_odd_rows(spark):
+    item = "The quick brown fox jumps over the lazy dog and then goes home to sleep for a very long time."
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, ""), (4, "?!")], "item_id long, text string")
+    rows = [(1, None, [9]), (None, "x " * 4000 + item, None), (2, "", None), (3, item.lower(), None), (3, item.lower(), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items_found array<long>")
+    result = find_items(docs, bench)
+    assert result.columns == ["doc_id", "text", "items_found", "_items_found"]
+    got = sorted(((r.doc_id or 0, r._items_found) for r in result.collect()))
+    assert got == [(0, [1]), (1, []), (2, []), (3, [1]), (3, [1])]
+    assert {tuple(r._items_found) for r in find_items(docs, bench.limit(0)).collect()} == {()}
+    assert find_items(docs.limit(0), bench).count() == 0
