@@ -1,26 +1,100 @@
-"""From raw documents to packed training windows: stages, each over what its predecessor kept."""
+"""From raw documents to packed training windows: stages, each over all that its predecessor kept.
+
+All stages but the last return the columns of ``documents``; each result is written as Parquet and
+read again as the next one's input. An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from formlens.llm import language
+from formlens.llm.common import stored
+from formlens.llm.decontamination import find_items
+from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.packing import pack_documents
+from formlens.llm.simhash import near_duplicates
 
-ORACLE_SQL = None
+MIN_LANGUAGE_SHARE = 0.5
+
+
+def columns_of(docs: DataFrame) -> list[str]:
+    return [f"`{name}`" for name in docs.columns]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which at least half of the words are of one language.
+
+    Null texts and texts without letters go. If no document tells its language, nothing can be
+    learnt, and every document with a letter stays.
+    """
+    model = language.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    labelled = language.label_languages(docs.select("*", F.struct("*").alias("_document")), model, keep=["_document"])
+    accepted = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= MIN_LANGUAGE_SHARE)
+    return labelled.filter(accepted).select("_document.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that repeat earlier ones; those that lose all their lines go.
+
+    ``n_chars`` follows a shortened text.
+    """
+    plain = docs.select(F.struct("*").alias("_document"), F.col("doc_id"), F.col("text"))
+    result = dedup_lines(plain).filter("n_deleted = 0 OR n_deleted < n_lines")
+    shortened = F.col("n_deleted") > 0
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    kept = [
+        F.when(shortened, changed[name].cast(kind)).otherwise(F.col(f"_document.`{name}`")).alias(name)
+        if name in changed
+        else F.col(f"_document.`{name}`")
+        for name, kind in docs.dtypes
+    ]
+    return result.select(*kept)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates, that with the smallest id.
+
+    Of rows that repeat that id the first by text stays. Documents without an id name no group and stay.
+    """
+    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.filter("doc_id IS NOT NULL").join(first.hint("shuffle_hash"), "doc_id", "left_semi")
+    place = fresh = "_row_of_id"
+    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    single = ranked.filter(F.col(fresh) == 1).select(*columns_of(docs))
+    return single.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_items(docs.select(F.struct("*").alias("_document"), "text"), items, keep=["_document"])
+    return found.filter(F.size("items_found") == 0).select("_document.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 2,048 tokens."""
+    """Every piece of every document with its place in a window of 2,048 tokens."""
     return pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+
+# The language model, hashing by XXH64 and the tokenizer are beyond SQL; a brute-force version tests them.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written to the shared folder and read as the next one's input."""
-    from formlens.llm.common import stored
-
+    """The stages over ``documents``, with a table in the shared folder after each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}".replace(" ", "-"))

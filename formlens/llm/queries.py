@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formlens.llm import language, pii, quality
 from formlens.llm.decontamination import find_items
 from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.packing import pack_documents
+from formlens.llm.simhash import near_duplicates
 from formlens.llm.token_counts import count_tokens
+from formlens.llm.vector_dedup import near_vectors
+from formlens.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,12 +29,99 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The chance that a document is of quality 1, by a factorisation machine."""
+    docs = table(spark, folder, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document and how many spans of one language it has."""
+    docs = table(spark, folder, "documents")
+    labelled = language.label_languages(docs, language.train(docs), keep=["doc_id"])
+    return labelled.select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.size("lang_spans").alias("n_spans"),
+    )
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, read back from dictionary-compressed archives."""
+    records = archive_pages(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, hex, max(page_id) OVER (PARTITION BY hex) AS latest,
+           list_aggregate(list_transform(range(0, 40), lambda i:
+               ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+               [instr('0123456789abcdef', substr(hex, CAST(i AS INT) + 1, 1))]), 'string_agg', '') AS ones
+    FROM payloads
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+           16 * CAST(substr(ones, CAST(5 * i AS INT) + 1, 1) AS INT) + 8 * CAST(substr(ones, CAST(5 * i AS INT) + 2, 1) AS INT) +
+           4 * CAST(substr(ones, CAST(5 * i AS INT) + 3, 1) AS INT) + 2 * CAST(substr(ones, CAST(5 * i AS INT) + 4, 1) AS INT) +
+           CAST(substr(ones, CAST(5 * i AS INT) + 5, 1) AS INT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM bits"""
+
+
+@query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's SimHash and its group of near-duplicates."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document, and whether it has over 1,024."""
     return count_tokens(table(spark, folder, "documents"))
 
 
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    docs = table(spark, folder, "documents")
+    return pii.find_personal_data(docs, pii.train(docs))
+
+
+@query
+def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's number of near ones, and its group."""
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
+# The smallest id reachable: every pair of linked vectors, then rounds of the smallest neighbour.
+SQL["op7_vectors"] = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a, fine b WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      AND list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), named AS (
+    SELECT e.vec_id, least(e.vec_id, coalesce(min(r.b), e.vec_id)) AS component_id
+    FROM embeddings e LEFT JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+)
+SELECT n.vec_id, (SELECT count(*) FROM links l WHERE l.a = n.vec_id) AS n_links, n.component_id,
+       n.vec_id = n.component_id AS kept
+FROM named n"""
+
+
 @query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the runs of lines, of 50 words or more, that repeat earlier ones."""
