@@ -179,8 +179,9 @@ class ItemIndex:
             at += len(item) + 1
         data = np.concatenate((*data, np.zeros(n_steps))).astype(np.uint8)
         starts, owners, offsets = np.concatenate(starts), np.concatenate(owners), np.concatenate(offsets)
-        # Unrelated texts agree in about one of 13 symbols: a window meets a wrong item once in 100,000 times.
-        n_symbols = int(np.ceil(np.log(1e5 * len(starts)) / np.log(13)))
+        # Unrelated windows of one language agree in up to one of four symbols that a table samples; with
+        # so many symbols a window meets a wrong item window about once in 100,000 times.
+        n_symbols = int(np.ceil(np.log(1e5 * len(starts)) / np.log(4.3)))
         mark_bits = int(np.clip(np.ceil(np.log2(64 * len(starts))), 10, 24))
         found = ItemClass(max(1, size // 2), [], owners, offsets)
         self.classes.append(found)
