@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formlens.llm.common import bounded_batches, text_slices
 
@@ -56,12 +57,17 @@ class Words:
     bounds: np.ndarray
 
 
+def letters_of(part: str) -> str:
+    part = NOT_LETTERS.sub("", part)
+    return part if part.isalpha() else "".join(filter(str.isalpha, part))
+
+
 def words_of(texts: pa.Array) -> Words:
     split = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     spelled = [part.lower() for part in coded.dictionary.to_pylist()]
-    spelled = [part if part.isalpha() else NOT_LETTERS.sub("", part) for part in spelled]
+    spelled = [part if part.isalpha() else letters_of(part) for part in spelled]
     return Words(spelled, coded.indices.to_numpy().astype(np.int64), bounds - bounds[0])
 
 
@@ -217,6 +223,9 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     return LanguageModel(languages, np.ascontiguousarray(log_chances), candidates)
 
 
+SPANS = T.ArrayType(
+    T.StructType().add("first_word", T.IntegerType()).add("n_words", T.IntegerType()).add("lang", T.StringType())
+)
 SPAN = pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])
 
 
@@ -272,9 +281,9 @@ def label_languages(docs: DataFrame, model: LanguageModel, keep: list[str] | Non
                 arrays = [*part.columns[:-1], pa.array(names), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:-1], *results])
 
-    kept = docs.select(*(F.col(f"`{name}`") for name in keep))
-    schema = kept.schema.add("lang_pred", "string").add("lang_score", "double").add(
-        "lang_spans", "array<struct<first_word: int, n_words: int, lang: string>>"
+    kept = [docs.schema[name] for name in keep]
+    schema = T.StructType(
+        [*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_spans", SPANS)]
     )
     source = docs.select(*(F.col(f"`{name}`") for name in keep), F.col("text").alias("_language_text"))
     return source.mapInArrow(label, schema)
