@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from formlens.sources.tables import stored
+
 HASH_BUCKETS = 16**4
-MERGE_SLICES = 256
-KEYS_PER_SLICE = 1 << 18
+SAMPLED_KEYS = 4096
 BROADCAST_ROWS = 200_000
 
 
@@ -30,12 +31,16 @@ def small_side(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def hash_ranked(rows: DataFrame, seed: int, key: str, n: int | None = None) -> DataFrame:
+def hash_ranked(
+    rows: DataFrame, seed: int, key: str, n: int | None = None, positions: DataFrame | None = None
+) -> DataFrame:
     """Add ``sample_rank``, the position in seeded order, and keep the first ``n`` rows.
 
+    With ``positions`` (``sample_rank``, some of them) at least the rows at these are kept.
+
     Counting the rows per hash prefix (65,536 counters) tells where each prefix starts.
-    Prefixes past ``n`` are dropped before the shuffle, and each remaining prefix is
-    ranked on its own; unique keys spread evenly over prefixes.
+    Prefixes past ``n``, or without a wanted position, are dropped before the shuffle, and each
+    remaining prefix is ranked on its own; unique keys spread evenly over prefixes.
     """
     hashed = rows.withColumn("_hash", hash_key(seed, F.col(key)))
     hashed = hashed.withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
@@ -45,8 +50,17 @@ def hash_ranked(rows: DataFrame, seed: int, key: str, n: int | None = None) -> D
     )
     if n is not None:
         starts = starts.filter(F.col("_start") < n)
+    if positions is not None:
+        # Prefixes and positions in one order: a position belongs to the last prefix that starts by then.
+        marks = starts.select(F.col("_start").alias("_at"), "_bucket").unionByName(
+            positions.select(F.col("sample_rank").alias("_at"), F.lit(None).cast("int").alias("_bucket"))
+        )
+        in_order = Window.orderBy("_at", F.col("_bucket").isNull(), "_bucket")
+        held = marks.select("_bucket", F.last("_bucket", ignorenulls=True).over(in_order).alias("_held"))
+        wanted = held.filter("_bucket IS NULL").select(F.col("_held").alias("_bucket")).distinct()
+        starts = starts.join(wanted, "_bucket", "left_semi")
     position = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))
-    ranked = hashed.join(small_side(starts, HASH_BUCKETS), "_bucket").withColumn(
+    ranked = hashed.join(F.broadcast(starts), "_bucket").withColumn(
         "sample_rank", (F.col("_start") + position - 1).cast("bigint")
     )
     if n is not None:
@@ -55,48 +69,71 @@ def hash_ranked(rows: DataFrame, seed: int, key: str, n: int | None = None) -> D
 
 
 def first_rows(rows: DataFrame, n: int, value: Column, key: str) -> DataFrame:
-    """The first ``n`` rows by ``value`` descending and then ``key``; all rows when there are fewer.
+    """The first ``n`` rows by ``value`` descending (null counts as 0) and then ``key``; all when there are fewer.
 
-    A tree of top-n steps over the narrow sort columns: every task keeps at most ``n``
-    rows, slices of tasks are merged side by side, and the last step merges the slices.
-    Only the winners' full rows are read. Equal values cost nothing extra. When ``n`` is
-    too large for one task, all rows are numbered instead.
+    Rows are counted per value, which tells the value at which ``n`` is reached. Among the rows
+    of that value the last key still wanted is found the same way, by counting up to keys of a
+    sample; only the keys below the first sampled key that is far enough are put in order. What is
+    left is a filter on the scan, the same for every ``n``: no full row is shuffled.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    value = F.coalesce(value, F.lit(0))
+    narrow = rows.select(F.col(key).alias("_key"), value.alias("_value"))
+    values = narrow.groupBy("_value").agg(F.count("*").alias("_rows"))
+    # One row per distinct value: a text length, so this window is small.
+    before = F.sum("_rows").over(Window.orderBy(F.desc("_value"))) - F.col("_rows")
+    last = values.select("_value", "_rows", before.alias("_before")).filter(F.col("_before") < n).orderBy("_value").first()
+    if last is None:
+        return rows
+    wanted = n - last["_before"]
+    cut = F.lit(last["_value"])
+    if wanted >= last["_rows"]:
+        return rows.filter(value >= cut)
+    last_key = key_at(narrow.filter(F.col("_value") == cut).select("_key"), wanted - 1, last["_rows"])
+    return rows.filter((value > cut) | ((value == cut) & (F.col(key) <= F.lit(last_key))))
+
+
+def key_at(keys: DataFrame, position: int, total: int):
+    """The key at ``position`` of ``total`` unique keys (``_key``, any ordered type) in ascending order."""
+    parts = 1 << 30
+    share = min(parts, max(1, parts * SAMPLED_KEYS // total))
+    sample = sorted(row["_key"] for row in keys.filter(F.pmod(F.xxhash64("_key"), F.lit(parts)) < share).collect())
+    places = sorted({int(position / total * len(sample) * slack) + 16 for slack in (1.1, 1.5, 3)})
+    bounds = [sample[place] for place in places if place < len(sample)]
+    if bounds:
+        below = keys.agg(*[F.count_if(F.col("_key") <= F.lit(bound)) for bound in bounds]).first()
+        enough = [bound for bound, count in zip(bounds, below) if count > position]
+        if enough:
+            keys = keys.filter(F.col("_key") <= F.lit(enough[0]))
+    return placed(keys, "_key").filter(F.col("ordinal") == position).first()["_key"]
+
+
+def placed(narrow: DataFrame, *order: Column | str) -> DataFrame:
+    """Add ``ordinal``, the position in ``order``, to a table of few columns.
+
+    One range partitioning on the whole order, so equal leading values are cut by what follows;
+    the rows of each partition are numbered where they are, and the partitions' counts shift them.
     """
-    if n > BROADCAST_ROWS:
-        return row_ordinals(rows, value, key).filter(F.col("ordinal") < n).drop("ordinal")
-    narrow = rows.select(F.col(key).alias("_key"), (-F.coalesce(value, F.lit(0))).alias("_value"))
-    narrow = narrow.withColumn("_slice", F.spark_partition_id() % MERGE_SLICES)
-    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_value", "_key"))
-    finalists = narrow.withColumn("_place", place).filter(F.col("_place") <= n)
-    winners = finalists.orderBy("_value", "_key").limit(n).select(F.col("_key").alias(key))
-    return rows.join(small_side(winners, n), key, "left_semi")
+    spark = narrow.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = narrow.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    table = stored(ranged.withColumn("_place", F.monotonically_increasing_id()), "ordinals")
+    # An id is the partition's number above 33 bits that count its rows.
+    part, within = F.shiftright("_place", 33).cast("int"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    starts = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_start"))
+    numbered = table.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row per partition
+    return numbered.withColumn("ordinal", F.col("_start") + within).drop("_part", "_place", "_start")
 
 
 def row_ordinals(rows: DataFrame, value: Column, key: str) -> DataFrame:
     """Add ``ordinal``: the position in the order of ``value`` (null counts as 0) descending, then ``key``.
 
-    Rows with one value are cut into slices of the (unique, integer) key, so a value
-    shared by a third of all rows is still numbered in slices of bounded size.
+    Only values and keys are put in order; any ordered type of key will do, dense or sparse.
     """
-    sliced = rows.select("*", F.coalesce(value, F.lit(0)).alias("_value"), F.expr(f"`{key}` DIV {KEYS_PER_SLICE}").alias("_slice"))
-    slices = sliced.groupBy("_value", "_slice").agg(F.count("*").alias("_rows"))
-    values = slices.groupBy("_value").agg(F.sum("_rows").alias("_total"))
-    # One row per distinct value: a text length, so this window is small.
-    earlier_values = values.select(
-        "_value", (F.sum("_total").over(Window.orderBy(F.desc("_value"))) - F.col("_total")).alias("_before_value")
-    )
-    in_value = Window.partitionBy("_value").orderBy("_slice")
-    starts = (
-        slices.select("_value", "_slice", (F.sum("_rows").over(in_value) - F.col("_rows")).alias("_before_slice"))
-        .join(earlier_values, "_value")
-        .select("_value", "_slice", (F.col("_before_value") + F.col("_before_slice")).alias("_start"))
-    )
-    place = F.row_number().over(Window.partitionBy("_value", "_slice").orderBy(key))
-    return (
-        sliced.join(starts, ["_value", "_slice"])
-        .withColumn("ordinal", (F.col("_start") + place - 1).cast("bigint"))
-        .drop("_value", "_slice", "_start")
-    )
+    narrow = rows.select(key, F.coalesce(value, F.lit(0)).alias("_value"))
+    return rows.join(placed(narrow, F.desc("_value"), F.col(key)).drop("_value"), key)
 
 
 def sample_pairs(spark: SparkSession, n: int, seed: int, n_left: Column | int, n_right: Column | int) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from formlens.fixed_values import DESCRIPTORS, END_TAG, INSTRUCTION_TAG, RESPONSE_TAG, SEPARATORS, SPACES, TRANSFORMS
 from formlens.plans.studies import study_formats
-from formlens.sources.tables import spread_small
 
 SEED = 24
 N_FORMATS = 10
@@ -21,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_small(table(spark, folder, "documents"))
+    return table(spark, folder, "documents")
 
 
 # A document is an example: its first half asks, its second half reasons, its length is the answer.

@@ -48,12 +48,21 @@ def test_longest_with_ties(skewed):
         assert found == {i for i, _, _ in order[:n]}
 
 
-def test_large_tops_are_numbered(skewed, monkeypatch):
+def test_tops_of_any_size_are_filters(skewed, monkeypatch):
+    """With ties, few sampled keys and string keys; and the same plan, without a shuffle, for every n."""
     table, rows = skewed
-    monkeypatch.setattr(sp, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sp, "SAMPLED_KEYS", 60)
+    named = table.withColumn("example_id", F.format_string("k%06d", "example_id"))
+    for n in (3, 900, 1001, 2500):
+        wanted = {f"k{i:06d}" for i, _, _ in sorted(rows)[:n]}
+        top = sp.first_rows(named, n, F.lit(0), "example_id")
+        assert {r["example_id"] for r in top.collect()} == wanted
     order = sorted(rows, key=lambda r: (-len(r[1]) - len(r[2]), r[0]))
     assert {r["example_id"] for r in longest_examples(table, 900).collect()} == {i for i, _, _ in order[:900]}
     assert {r["example_id"] for r in head_examples(table, 900).collect()} == {i for i, _, _ in rows[:900]}
+    plans = [sp.first_rows(table, n, F.length("question"), "example_id")._jdf.queryExecution().toString() for n in (150, 1001, 2900)]
+    assert [plan.count("Exchange") for plan in plans] == [1] * 3  # the fixture's own
+
 
 
 def test_head_clamps(skewed):
@@ -62,9 +71,10 @@ def test_head_clamps(skewed):
     assert head_examples(table, 10_000).count() == len(rows)
 
 
-def test_ordinals_number_a_hot_value_in_slices(skewed, monkeypatch):
-    monkeypatch.setattr(sp, "KEYS_PER_SLICE", 100)
+def test_ordinals_of_a_hot_value_and_sparse_keys(skewed):
     table, rows = skewed
+    table = table.withColumn("example_id", F.col("example_id") * 1_000_003_000_003)
+    rows = [(i * 1_000_003_000_003, q, a) for i, q, a in rows]
     order = sorted(rows, key=lambda r: (-len(r[1]), r[0]))
     found = {r["ordinal"]: r["example_id"] for r in order_by_question_length(table).collect()}
     assert found == {n: r[0] for n, r in enumerate(order)}
