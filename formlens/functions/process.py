@@ -20,3 +20,13 @@ def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in values:
         values[key] = make()
     return values[key]
+
+
+def latest_of_process(slot: str, token: Hashable, make: Callable[[], Any]) -> Any:
+    """The value of ``slot``, made anew when ``token`` is another than before: one model is kept, not each."""
+    held = per_process(("slot", slot), dict)
+    if held.get("token") != token:
+        held.clear()
+        held["value"] = make()
+        held["token"] = token
+    return held["value"]

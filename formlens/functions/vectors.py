@@ -17,13 +17,34 @@ from pyspark.sql import functions as F
 
 
 def as_matrix(vectors: pa.Array) -> np.ndarray:
-    """An Arrow list column as a float64 matrix; all vectors must have one length."""
+    """An Arrow list column as a float64 matrix; null vectors and vectors of unequal length are errors."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     if len(vectors) == 0:
         return np.zeros((0, 0))
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), -1).astype(np.float64)
+    if vectors.null_count:
+        raise ValueError("a vector is null")
+    widths = vectors.value_lengths().to_numpy()
+    if (widths != widths[0]).any():
+        raise ValueError(f"vectors of {widths.min()} and of {widths.max()} entries")
+    flat = vectors.flatten()
+    if flat.null_count:
+        raise ValueError("an entry of a vector is null")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(vectors), widths[0]).astype(np.float64)
+
+
+def each_vector(vectors: pa.Array, change: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """``change`` applied to the matrix of the vectors that are not null; null stays null."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    if not vectors.null_count:
+        return as_lists(change(as_matrix(vectors)))
+    there = vectors.is_valid()
+    changed = as_lists(change(as_matrix(vectors.filter(there)))) if vectors.null_count < len(vectors) else None
+    places = np.cumsum(there.to_numpy(zero_copy_only=False)) - 1
+    if changed is None:
+        return pa.nulls(len(vectors), pa.list_(pa.float64()))
+    return changed.take(pa.array(places, mask=~there.to_numpy(zero_copy_only=False)))
 
 
 def as_lists(matrix: np.ndarray) -> pa.Array:

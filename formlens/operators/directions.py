@@ -15,8 +15,7 @@ from formlens import schemas
 from formlens.functions.vectors import as_lists, as_matrix, cosine, unit_difference
 from formlens.operators.dimensions import as_array
 
-MAX_WIDTH = 8192
-MAX_DIRECTIONS = 1024
+MAX_BYTES = 2 << 30
 SUM_ROW = -1
 NOISE = 1e-8
 NO_VARIANCE = 1e-12
@@ -50,11 +49,13 @@ def group_mean_direction(vectors: DataFrame) -> DataFrame:
     )
     empty = F.raise_error(F.lit("both groups need at least one row"))
     target = F.when(F.col("target").isNull() | F.col("baseline").isNull(), empty).otherwise(F.col("target"))
+    apart = F.raise_error(F.lit("the groups have equal means, so no direction lies between them"))
+    target = F.when(F.col("target") == F.col("baseline"), apart).otherwise(target)
     return both.select(unit_difference(0.0)(target, "baseline").alias("vector"))
 
 
-def _partial_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's share of XᵀX, the column sums and the row count."""
+def _partial_gram(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One task's share of XᵀX, the column sums and the row count; NaN and infinity are errors."""
     gram = total = None
     rows = 0
     for batch in batches:
@@ -63,9 +64,11 @@ def _partial_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         x = as_matrix(batch.column(0))
         if gram is None:
             width = x.shape[1]
-            if width > MAX_WIDTH:
-                raise ValueError(f"vectors longer than {MAX_WIDTH} need a sketch, not a full Gram matrix")
+            if 8 * width**2 > max_bytes:
+                raise ValueError(f"a Gram matrix of {width} rows has over {max_bytes} bytes")
             gram, total = np.zeros((width, width)), np.zeros(width)
+        if not np.isfinite(x).all():
+            raise ValueError("a vector holds NaN or infinity")
         gram += x.T @ x
         total += x.sum(axis=0)
         rows += len(x)
@@ -78,37 +81,44 @@ def _partial_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def gram_rows(vectors: DataFrame, column: str = "diff", max_tasks: int | None = None) -> DataFrame:
+def gram_rows(vectors: DataFrame, column: str = "diff", max_bytes: int = MAX_BYTES) -> DataFrame:
     """The Gram matrix XᵀX by rows; row -1 holds the column sums and the row count.
 
-    Every task keeps one square matrix and emits it once. ``max_tasks`` bounds how many
-    of them are shuffled; the default follows the cluster's parallelism.
+    Every task keeps one square matrix of at most ``max_bytes`` and emits it once, by rows; the
+    tasks' rows are added up side by side. The tasks are those of the table as it comes.
     """
-    max_tasks = max_tasks or 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    source = vectors.select(column).filter(F.col(column).isNotNull()).coalesce(max_tasks)
-    partial = source.mapInArrow(_partial_gram, "row_idx INT, values ARRAY<DOUBLE>, n_rows BIGINT")
+    source = vectors.select(column).filter(F.col(column).isNotNull())
+    partial = source.mapInArrow(
+        lambda batches: _partial_gram(batches, max_bytes), "row_idx INT, values ARRAY<DOUBLE>, n_rows BIGINT"
+    )
     return partial.groupBy("row_idx").agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("values")))).alias("values"), F.sum("n_rows").alias("n_rows")
     )
 
 
 def principal_directions(
-    diffs: DataFrame, k: int, center: bool = False, prepend_mean: bool = False, column: str = "diff"
+    diffs: DataFrame,
+    k: int,
+    center: bool = False,
+    prepend_mean: bool = False,
+    column: str = "diff",
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """The top right singular vectors of the difference matrix, at most as many as it has.
 
     Uncentred by default, with the first direction pointing along the mean. With
     ``prepend_mean`` the unit mean comes first as component 0. Only the square Gram
-    matrix reaches the driver; its width is checked in the tasks.
+    matrix reaches the driver, as Arrow columns; its bytes are checked in the tasks.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    rows = {row["row_idx"]: row for row in gram_rows(diffs, column).collect()}
-    if SUM_ROW not in rows:
+    table = gram_rows(diffs, column, max_bytes).toArrow()
+    if not table.num_rows:
         raise ValueError("no vectors to decompose")
-    n = rows[SUM_ROW]["n_rows"]
-    mean = np.array(rows[SUM_ROW]["values"]) / n
-    gram = np.array([rows[i]["values"] for i in range(len(mean))])
+    order = np.argsort(table["row_idx"].to_numpy())  # SUM_ROW comes first
+    both = as_matrix(table["values"])[order]
+    n = int(table["n_rows"].to_numpy()[order[0]])
+    mean, gram = both[0] / n, both[1:]
     if center:
         gram = gram - n * np.outer(mean, mean)
     squares, vectors = np.linalg.eigh(gram)
@@ -135,15 +145,15 @@ def principal_directions(
 def explained_variance(directions: DataFrame) -> DataFrame:
     """Share of all variance per direction, and its running sum; null when there is no variance."""
     share = F.when(F.col("total_variance") >= NO_VARIANCE, F.col("singular_value") ** 2 / F.col("total_variance"))
-    # At most MAX_WIDTH rows: one per direction.
+    # One row per direction.
     running = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     principal = directions.filter(F.col("kind") == "principal").withColumn("share", share)
     return principal.select("component", "share", F.sum("share").over(running).alias("running_share"))
 
 
 def direction_similarity(vectors: DataFrame) -> DataFrame:
-    """Cosine of every two named vectors, for at most ``MAX_DIRECTIONS`` of them."""
-    others = as_array(vectors.select("name", "vector"), "name", MAX_DIRECTIONS)
+    """Cosine of every two named vectors; the bytes of all of them are checked."""
+    others = as_array(vectors.select("name", "vector"), "name")
     pairs = vectors.select("name", "vector", F.explode(others).alias("other"))
     return pairs.select(
         F.col("name").alias("name_a"),

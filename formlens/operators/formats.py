@@ -60,8 +60,9 @@ def with_descriptors(
     return specs.select("*", *[F.lit(value).alias(name) for name, value in zip(names, descriptors + tags)])
 
 
-def sample_formats(grid: DataFrame, n: int, seed: int, grid_size: int = len(SEPARATORS) * len(SPACES) * len(TRANSFORMS)) -> DataFrame:
-    """``n`` distinct grid rows in seeded order; ``format_id`` is the position in that order."""
+def sample_formats(grid: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` distinct rows of the grid given in seeded order; ``format_id`` is the position in that order."""
+    grid_size = grid.count()
     if not 0 < n <= grid_size:
         raise ValueError(f"cannot sample {n} distinct formats from {grid_size}")
     order = Window.orderBy(hash_key(seed, F.col("idx")), "idx")

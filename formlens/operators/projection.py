@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,15 +11,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlens.functions.vectors import as_lists, as_matrix
-from formlens.operators.directions import MAX_DIRECTIONS
+from formlens.functions.vectors import as_lists, as_matrix, each_vector
+from formlens.operators.directions import MAX_BYTES
 
 
-def direction_matrix(directions: DataFrame) -> np.ndarray:
-    """The directions in component order as unit rows; their number is checked before they are used."""
-    rows = directions.select("component", "vector").limit(MAX_DIRECTIONS + 1).collect()
-    if len(rows) > MAX_DIRECTIONS:
-        raise ValueError(f"more than {MAX_DIRECTIONS} directions")
+def direction_matrix(directions: DataFrame, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """The directions in component order as unit rows; their bytes are counted before they are fetched."""
+    n_bytes = directions.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
+    if n_bytes > max_bytes:
+        raise ValueError(f"directions of {n_bytes} bytes, over {max_bytes}")
+    rows = directions.select("component", "vector").collect()
     axes = np.array([row["vector"] for row in sorted(rows, key=lambda row: row["component"])], dtype=np.float64)
     lengths = np.linalg.norm(axes, axis=1, keepdims=True)
     return np.divide(axes, lengths, out=np.zeros_like(axes), where=lengths > 0)
@@ -26,18 +29,19 @@ def direction_matrix(directions: DataFrame) -> np.ndarray:
 def project_out_all(
     vectors: DataFrame, directions: DataFrame, weight: float = 1.0, column: str = "embedding"
 ) -> DataFrame:
-    """``x - weight (x·v) v`` for one direction after another, in component order."""
+    """``x - weight (x·v) v`` for one direction after another, in component order; null stays null."""
     axes = vectors.sparkSession.sparkContext.broadcast(direction_matrix(directions))
 
     @F.arrow_udf("array<double>")
     def without_axes(batch: pa.Array) -> pa.Array:
-        x = as_matrix(batch)
-        for axis in axes.value:
-            x = x - weight * np.outer(x @ axis, axis)
-        return as_lists(x)
+        def change(x: np.ndarray) -> np.ndarray:
+            for axis in axes.value:
+                x = x - weight * np.outer(x @ axis, axis)
+            return x
+
+        return each_vector(batch, change)
 
-    kept = vectors.filter(F.col(column).isNotNull())
-    return kept.withColumn(column, without_axes(F.col(column)))
+    return vectors.withColumn(column, without_axes(F.col(column)))
 
 
 def project_out(
@@ -87,15 +91,29 @@ def projection_residual(before: DataFrame, after: DataFrame, directions: DataFra
     """Per direction: the largest and the mean |x·v| before and after."""
     axes = directions.sparkSession.sparkContext.broadcast(direction_matrix(directions))
 
-    @F.arrow_udf("array<double>")
-    def overlaps(batch: pa.Array) -> pa.Array:
-        return as_lists(np.abs(as_matrix(batch) @ axes.value.T))
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per direction and batch: the largest overlap, their sum, and the rows."""
+        for batch in batches:
+            sizes = np.abs(as_matrix(batch.column(0)) @ axes.value.T) if batch.num_rows else np.zeros((0, 0))
+            if not sizes.size:
+                continue
+            n = sizes.shape[1]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "position": np.arange(n, dtype=np.int32),
+                    "largest": sizes.max(axis=0),
+                    "total": sizes.sum(axis=0),
+                    "n": np.full(n, len(sizes), dtype=np.int64),
+                }
+            )
 
     def summary(vectors: DataFrame, when: str) -> DataFrame:
-        sizes = vectors.select(F.posexplode(overlaps(F.col("embedding"))).alias("position", "size"))
-        return sizes.groupBy("position").agg(F.max("size").alias(f"max_{when}"), F.avg("size").alias(f"mean_{when}"))
+        kept = vectors.select("embedding").filter("embedding IS NOT NULL")
+        partial = kept.mapInArrow(reduced, "position INT, largest DOUBLE, total DOUBLE, n BIGINT")
+        mean = F.sum("total") / F.sum("n")
+        return partial.groupBy("position").agg(F.max("largest").alias(f"max_{when}"), mean.alias(f"mean_{when}"))
 
-    order = Window.orderBy("component")  # at most MAX_DIRECTIONS rows
+    order = Window.orderBy("component")  # as many rows as direction_matrix has fetched
     names = directions.select("component", (F.row_number().over(order) - 1).alias("position"))
     both = names.join(summary(before, "before"), "position").join(summary(after, "after"), "position")
     return both.drop("position")

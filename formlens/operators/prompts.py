@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR
 from formlens.functions.text import rendered
-from formlens.operators.dimensions import MAX_FORMATS, as_array, for_each_format
+from formlens.operators.dimensions import as_array, for_each_format
 from formlens.operators.examples import longest_examples, parse_examples
 from formlens.operators.formats import label_descriptors
 from formlens.operators.sampling import hash_key
 
-MAX_SHOTS = 64
-
 
 def _nothing() -> Column:
     return F.lit(None).cast("string")
@@ -46,7 +44,7 @@ def few_shot_prompts(
     missing = F.raise_error(F.lit("every worked example must have an answer"))
     answered = shots.withColumn("answer", F.when(F.col("answer").isNull(), missing).otherwise(F.col("answer")))
     columns = ["shot_rank", "question", "reasoning", "answer"]
-    shot_list = as_array(parse_examples(answered, separator).select(*columns), "shot_rank", MAX_SHOTS)
+    shot_list = as_array(parse_examples(answered, separator).select(*columns), "shot_rank")
     spec = F.col("spec")
     worked = F.transform(
         F.col("shots"), lambda shot: rendered(shot["question"], shot["reasoning"], shot["answer"], spec, False)
@@ -74,7 +72,7 @@ def augment_examples(
     formats is never shuffled.
     """
     parsed = parse_examples(longest_examples(train, n), separator)
-    specs = as_array(label_descriptors(formats), "format_id", MAX_FORMATS)
+    specs = as_array(label_descriptors(formats), "format_id")
     keyed = F.transform(
         F.col("specs"),
         lambda spec: F.struct(
@@ -91,12 +89,18 @@ def augment_examples(
 
 
 def chat_messages(prompts: DataFrame, system: str | None = None, prompt: str = "prompt") -> DataFrame:
-    """Every prompt as a list of role/content messages, after an optional system message."""
+    """Every prompt as a list of role/content messages, after an optional system message.
+
+    A table with a ``role`` column says who speaks (null: the user), and a row is one turn: turns of a
+    conversation are not gathered into one row.
+    """
 
-    def message(role: str, content: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+    def message(role: Column | str, content: Column) -> Column:
+        role = F.lit(role) if isinstance(role, str) else role
+        return F.struct(role.alias("role"), content.alias("content"))
 
-    messages = [message("user", F.col(prompt))]
+    role = F.coalesce(F.col("role").cast("string"), F.lit("user")) if "role" in prompts.columns else "user"
+    messages = [message(role, F.col(prompt))]
     if system is not None:
         messages.insert(0, message("system", F.lit(system)))
     return prompts.withColumn("messages", F.array(*messages))

@@ -27,8 +27,12 @@ def select_layer(
 
 
 def last_token_states(token_states: DataFrame) -> DataFrame:
-    """The state at the last position of every sequence, for every layer."""
-    return token_states.groupBy(*STATE_KEYS).agg(F.max_by("embedding", "position").alias("embedding"))
+    """The state at the last position of every sequence, for every layer.
+
+    The last positions are found over the keys alone; vectors only meet the join.
+    """
+    last = token_states.groupBy(*STATE_KEYS).agg(F.max("position").alias("position"))
+    return token_states.join(last, [*STATE_KEYS, "position"], "left_semi").select(*STATE_KEYS, "embedding")
 
 
 def vector_quality(states: DataFrame) -> DataFrame:

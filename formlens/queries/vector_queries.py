@@ -137,7 +137,7 @@ PAIR_DIFFS_SQL = unit_sql(
 
 @query(shape_sql(PAIR_DIFFS_SQL, "x", *PAIR_KEYS))
 def format_pair_diffs(spark: SparkSession, folder: str) -> DataFrame:
-    diffs = differences.format_pair_diffs(layer_one(spark, folder), pairs(spark, folder), N_BLOCKS * BLOCK_SIZE)
+    diffs = differences.format_pair_diffs(layer_one(spark, folder), pairs(spark, folder))
     return shape(diffs, "diff", *PAIR_KEYS)
 
 
@@ -249,7 +249,7 @@ def principal_directions(spark: SparkSession, folder: str) -> DataFrame:
     """Every direction v must have unit length and satisfy (XᵀX) v = s² v; the trace must match."""
     diffs = contrasts(spark, folder)
     found = directions.principal_directions(diffs, CHECKED_DIRECTIONS)
-    axes = as_array(found, "component", directions.MAX_DIRECTIONS)
+    axes = as_array(found, "component")
     gram = directions.gram_rows(diffs).filter("row_idx >= 0").select("*", F.explode(axes).alias("d"))
     image = dot(F.col("values"), F.col("d.vector"))
     expected = F.col("d.singular_value") ** 2 * F.element_at("d.vector", F.col("row_idx") + 1)

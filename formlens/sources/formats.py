@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from formlens import schemas
 from formlens.fixed_values import TRANSFORM_SPELLINGS
-from formlens.operators.dimensions import MAX_FORMATS, as_array
+from formlens.operators.dimensions import as_array
 
 
 def save_format_specs(formats: DataFrame, path: str) -> None:
     """Write a folder with one small JSON file; the position in the list is the format id."""
     spelling = F.create_map(*[F.lit(part) for item in TRANSFORM_SPELLINGS.items() for part in item])
-    entries = as_array(formats.select("format_id", *schemas.FORMAT_FIELDS), "format_id", MAX_FORMATS)
+    entries = as_array(formats.select("format_id", *schemas.FORMAT_FIELDS), "format_id")
 
     def nine_strings(spec):
         others = [spec[name] for name in schemas.FORMAT_FIELDS[1:]]

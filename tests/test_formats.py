@@ -65,10 +65,21 @@ def test_unknown_transform_is_an_error(spark):
         fm.label_descriptors(make_formats(spark, [(0, "shout", "", "")])).collect()
 
 
-def test_too_many_formats_are_refused(spark):
-    table = spark.range(961).select(F.col("id").cast("int").alias("format_id"))
-    with pytest.raises(Exception, match="more than 960"):
-        for_each_format(spark.range(1), table).collect()
+def test_formats_are_bounded_by_bytes_alone(spark):
+    table = spark.range(1200).select(F.col("id").cast("int").alias("format_id"), F.repeat(F.lit("x"), 100).alias("separator"))
+    examples = spark.range(2).select(F.col("id").alias("example_id"))
+    assert for_each_format(examples, table).count() == 2400
+    with pytest.raises(Exception, match="more than 50000 bytes"):
+        for_each_format(examples, table, max_bytes=50_000).count()
+
+
+def test_samples_are_checked_against_the_grid_given(spark):
+    grid = fm.format_grid(spark, ["a", "b"], ["c"], ["upper"])
+    assert fm.sample_formats(grid, 2, 1).count() == 2
+    with pytest.raises(ValueError, match="from 2"):
+        fm.sample_formats(grid, 3, 1)
+    wide = fm.format_grid(spark, [str(k) for k in range(1000)], ["c"], ["upper"])
+    assert fm.sample_formats(wide, 1000, 1).select("idx").distinct().count() == 1000
 
 
 def test_work_list_and_what_is_left(spark, toy_examples):

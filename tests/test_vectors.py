@@ -79,7 +79,7 @@ def test_quality_finds_broken_and_ragged_vectors(spark):
 def test_sampled_pairs_are_differences_of_the_same_example(states, cube):
     layer = st.select_layer(states, 1)
     pairs = differences.sampled_format_pairs(layer, 6, 10, 24)
-    rows = differences.format_pair_diffs(layer, pairs, 60).collect()
+    rows = differences.format_pair_diffs(layer, pairs).collect()
     assert len(rows) == 60 == pairs.count()
     for r in rows:
         d = cube[1, r["fmt_a"], r["example_id"]].astype(float) - cube[1, r["fmt_b"], r["example_id"]]
@@ -88,7 +88,7 @@ def test_sampled_pairs_are_differences_of_the_same_example(states, cube):
 
 def test_pairs_without_a_vector_are_dropped(spark, states):
     pairs = spark.createDataFrame([(0, 0, 1, 5), (1, 0, 99, 5)], "pair_id BIGINT, fmt_a INT, fmt_b INT, example_id BIGINT")
-    found = differences.format_pair_diffs(st.select_layer(states, 1), pairs, 2).collect()
+    found = differences.format_pair_diffs(st.select_layer(states, 1), pairs, strict=False).collect()
     assert [r["pair_id"] for r in found] == [0]
 
 
@@ -209,3 +209,60 @@ def test_directions_from_states(states):
     for options in ({}, {"target_format": 1}):
         found = frame(format_directions(states, 1, 3, 24, n_blocks=8, block_size=16, **options))
         assert len(found) == 3 and found[0]["singular_value"] >= found[1]["singular_value"]
+
+
+BAD = {"ragged": [[1.0, 2.0], [1.0, 2.0, 3.0]], "null entry": [[1.0, None], [1.0, 2.0]]}
+
+
+@pytest.mark.parametrize("kind", BAD)
+def test_bad_vectors_are_errors(spark, kind):
+    rows = [(0, 0, BAD[kind][0]), (1, 0, BAD[kind][1]), (0, 1, BAD[kind][0]), (1, 1, BAD[kind][1])]
+    states = spark.createDataFrame(rows, "format_id INT, example_id BIGINT, embedding ARRAY<DOUBLE>").coalesce(1)
+    axes = spark.createDataFrame([(0, [1.0, 0.0])], "component INT, vector ARRAY<DOUBLE>")
+    pairs = spark.createDataFrame([(0, 0, 1, 0)], "pair_id BIGINT, fmt_a INT, fmt_b INT, example_id BIGINT")
+    for job in (
+        lambda: differences.contrast_diffs(states, 0).collect(),
+        lambda: differences.format_pair_diffs(states, pairs).collect(),
+        lambda: directions.principal_directions(states, 1, column="embedding"),
+        lambda: projection.project_out_all(states, axes).collect(),
+        lambda: projection.projection_residual(states, states, axes).collect(),
+    ):
+        with pytest.raises(Exception, match="vector"):
+            job()
+
+
+def test_null_vectors_stay_null(spark):
+    states = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0])], "vec_id BIGINT, embedding ARRAY<DOUBLE>").coalesce(1)
+    axes = spark.createDataFrame([(0, [1.0, 0.0])], "component INT, vector ARRAY<DOUBLE>")
+    found = projection.project_out_all(states, axes).orderBy("vec_id").collect()
+    assert [r["embedding"] for r in found] == [[0.0, 2.0], None, [0.0, 4.0]]
+    assert [r["embedding"] for r in projection.project_out_all(states.filter("vec_id = 1"), axes).collect()] == [None]
+
+
+def test_nan_and_equal_means_are_errors(spark):
+    with pytest.raises(Exception, match="NaN"):
+        directions.principal_directions(table(spark, np.array([[1.0, float("nan")], [1.0, 2.0]])), 1)
+    same = spark.createDataFrame([(True, [1.0, 2.0]), (False, [1.0, 2.0])], "is_target BOOLEAN, embedding ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="equal means"):
+        directions.group_mean_direction(same).collect()
+    with pytest.raises(Exception, match="over 100 bytes"):
+        directions.principal_directions(table(spark, np.eye(5)), 1, max_bytes=100)
+
+
+def test_pairs_are_drawn_among_common_examples(spark):
+    rows = [(f, e, [float(f + 1), float(e)]) for f in range(3) for e in range(40) if f == 0 or e % (f + 1)]
+    states = spark.createDataFrame(rows, "format_id INT, example_id BIGINT, embedding ARRAY<DOUBLE>")
+    pairs = differences.sampled_format_pairs(states, 8, 8, 24)
+    assert differences.format_pair_diffs(states, pairs).count() == 64 == pairs.count()
+    with pytest.raises(ValueError, match="no example"):
+        differences.sampled_format_pairs(states.filter("format_id = 0 AND example_id < 5 OR format_id = 1 AND example_id > 5"), 1, 1, 1)
+    missing = spark.createDataFrame([(0, 0, 9, 1)], "pair_id BIGINT, fmt_a INT, fmt_b INT, example_id BIGINT")
+    with pytest.raises(Exception, match="missing for pair 0"):
+        differences.format_pair_diffs(states, missing).collect()
+
+
+def test_last_tokens_are_found_without_sorting_vectors(spark):
+    rows = [(0, 7, 0, p, [float(p)]) for p in range(5)]
+    tokens = spark.createDataFrame(rows, "format_id INT, example_id BIGINT, layer INT, position INT, embedding ARRAY<FLOAT>")
+    plan = st.last_token_states(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
