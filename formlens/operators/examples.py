@@ -67,8 +67,8 @@ def longest_examples(examples: DataFrame, n: int) -> DataFrame:
 
 
 def select_few_shot(train: DataFrame, seed: int, subset: int = 100) -> DataFrame:
-    """The shortest and then the longest answer in a random subset; the earlier draw wins a tie."""
-    drawn = hash_ranked(train, seed, "example_id", subset)
+    """The shortest and then the longest answer in a random subset of the answered examples; the earlier draw wins a tie."""
+    drawn = hash_ranked(train.filter("answer IS NOT NULL"), seed, "example_id", subset)
     row = F.struct("example_id", "question", "answer")
     size = F.length("answer")
     ends = drawn.agg(

@@ -1,23 +1,30 @@
 """Batch inference with a model that the user brings.
 
-A model factory is called once per task; what it returns is called with a list of prompts.
+A model factory is called once per worker process; what it returns is called with a list of prompts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formlens.functions.process import latest_of_process
+
 Generate = Callable[[list[str]], list[str]]
 Embed = Callable[[list[str]], list[list[list[float]]]]
 
 
 def _balanced(prompts: DataFrame, prompt: str, n_tasks: int | None) -> DataFrame:
-    """Spread prompts by hash, then put prompts of like length side by side inside every task."""
-    keyed = prompts.repartition(n_tasks, "example_id", "format_id") if n_tasks else prompts
+    """Spread prompts by hash, then put prompts of like length side by side inside every task.
+
+    Without ``n_tasks`` they are spread over as many tasks as a shuffle has.
+    """
+    n_tasks = n_tasks or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = prompts.repartition(n_tasks, "example_id", "format_id")
     return keyed.sortWithinPartitions(F.length(prompt).desc())
 
 
@@ -47,10 +54,11 @@ def batch_generate(
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
 
+    token = uuid.uuid4().hex
+
     def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
         for batch in _in_batches(arriving, batch_size):
-            model = model or make_model(temperature)
+            model = latest_of_process("model", token, lambda: make_model(temperature))
             texts = batch.column(prompt).to_pylist()
             answers = pa.array(_checked(model(texts), texts), type=pa.string())
             yield batch.append_column("generation", answers)
@@ -70,10 +78,11 @@ def batch_embed(
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
 
+    token = uuid.uuid4().hex
+
     def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in _in_batches(arriving, batch_size):
-            encoder = encoder or make_encoder()
+            encoder = latest_of_process("encoder", token, make_encoder)
             texts = batch.column(prompt).to_pylist()
             layers = pa.array(_checked(encoder(texts), texts), type=pa.list_(pa.list_(pa.float32())))
             yield batch.select(["format_id", "example_id"]).append_column("layers", layers)

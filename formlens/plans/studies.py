@@ -20,6 +20,9 @@ from formlens.operators.prompts import augment_examples, few_shot_prompts, tagge
 from formlens.operators.report import accuracy_spread, accuracy_summary, best_worst_format
 from formlens.operators.scoring import format_accuracy
 from formlens.operators.states import select_layer
+from formlens.sources.examples import read_sorted_examples
+from formlens.sources.generations import read_generations
+from formlens.sources.tables import stored
 
 
 def study_formats(spark: SparkSession, n: int, seed: int) -> DataFrame:
@@ -50,13 +53,22 @@ class Evaluation:
 
 
 def evaluate(generations: DataFrame, examples: DataFrame, strict: bool = True) -> Evaluation:
-    accuracy = format_accuracy(generations, examples, strict=strict)
+    # A row per format, stored, so that the generations are scored once for all four tables.
+    accuracy = stored(format_accuracy(generations, examples, strict=strict), "accuracy")
     keys = ["experiment"]
     return Evaluation(
         accuracy, accuracy_summary(accuracy, keys), accuracy_spread(accuracy, keys), best_worst_format(accuracy, keys)
     )
 
 
+def evaluate_folder(spark: SparkSession, examples_path: str, arrays_path: str, strict: bool = True) -> Evaluation:
+    """An experiment folder of other tools to results: sorted examples, and arrays of generations in their order."""
+    examples = read_sorted_examples(spark, examples_path)
+    arrays = read_generations(spark, arrays_path, with_experiment=True)
+    generations = arrays.join(examples.select("ordinal", "example_id"), "ordinal", "left").drop("ordinal")
+    return evaluate(generations, examples.drop("ordinal"), strict)
+
+
 def format_directions(
     states: DataFrame,
     layer: int,
@@ -71,7 +83,7 @@ def format_directions(
     if target_format is not None:
         return principal_directions(contrast_diffs(chosen, target_format), k)
     pairs = sampled_format_pairs(chosen, n_blocks, block_size, seed)
-    return principal_directions(format_pair_diffs(chosen, pairs, n_blocks * block_size), k)
+    return principal_directions(format_pair_diffs(chosen, pairs), k)
 
 
 def training_set(

@@ -78,19 +78,13 @@ def write_sorted_examples(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("ordinal", "example_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-def one_experiment(spark: SparkSession, folder: str) -> DataFrame:
-    return at.generations(spark, folder).filter(F.col("experiment") == at.EXPERIMENTS[0])
-
-
-ONE_EXPERIMENT_SQL = f"SELECT * FROM ({at.GENERATIONS_SQL}) WHERE experiment = '{at.EXPERIMENTS[0]}'"
-
-
-@query(digest_sql(ONE_EXPERIMENT_SQL, "generation", "format_id", "example_id AS ordinal"))
+@query(digest_sql(at.GENERATIONS_SQL, "generation", "experiment", "format_id", "example_id AS ordinal"))
 def read_generations(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "generation-arrays")
-    rows = one_experiment(spark, folder).withColumnRenamed("example_id", "ordinal")
+    rows = at.generations(spark, folder).withColumnRenamed("example_id", "ordinal")
     generation_files.write_generation_arrays(rows, path)
-    return digest(generation_files.read_generations(spark, path), "generation", "format_id", "ordinal")
+    found = generation_files.read_generations(spark, path, with_experiment=True)
+    return digest(found, "generation", "experiment", "format_id", "ordinal")
 
 
 @query(digest_sql(at.GENERATIONS_SQL, "generation", "experiment", "format_id", "example_id"))
@@ -210,7 +204,7 @@ def tagged_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, 'system' AS first_role, 'Answer briefly.' AS first_content, 'user' AS last_role, md5(text) AS text_md5,
+SELECT conv_id, turn, 'system' AS first_role, 'Answer briefly.' AS first_content, coalesce(role, 'user') AS last_role, md5(text) AS text_md5,
        CAST(2 AS INT) AS n_messages
 FROM conversations""")
 def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -389,6 +383,42 @@ def format_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(accuracy(spark, folder), "accuracy")
 
 
+@query(f"SELECT experiment, format_id, round(accuracy, 6) AS accuracy, n_scored FROM ({ACCURACY_SQL})")
+def folder_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """From files to figures: examples and generations are written as other tools keep them, and scored from there."""
+    examples_path, arrays_path = scratch_path(spark, "sorted-examples"), scratch_path(spark, "generation-arrays")
+    example_files.write_sorted_examples(at.examples(spark, folder), examples_path)
+    ordinals = example_files.read_sorted_examples(spark, examples_path).select("example_id", "ordinal")
+    rows = at.generations(spark, folder).join(ordinals, "example_id").drop("example_id")
+    generation_files.write_generation_arrays(rows, arrays_path)
+    return rounded(studies.evaluate_folder(spark, examples_path, arrays_path).accuracy, "accuracy")
+
+
+# A third of the generations is lost, a seventh is there twice, and an eleventh answers unknown questions.
+DAMAGED_SQL = f"""
+SELECT experiment, format_id, CASE WHEN example_id % 11 = 0 THEN -1 - example_id ELSE example_id END AS example_id, generation
+FROM ({at.GENERATIONS_SQL}), range(2) AS r(copy)
+WHERE (example_id + format_id) % 3 <> 0 AND (copy = 0 OR example_id % 7 = 0)"""
+
+
+@query(f"""
+WITH d AS ({DAMAGED_SQL}), e AS (
+    SELECT experiment, format_id, example_id, count(*) AS n FROM d GROUP BY ALL)
+SELECT experiment, format_id, sum(CASE WHEN example_id >= 0 THEN n ELSE 0 END)::BIGINT AS n_scored,
+       sum(CASE WHEN example_id < 0 THEN n ELSE 0 END)::BIGINT AS n_unmatched,
+       sum(CASE WHEN example_id >= 0 THEN n - 1 ELSE 0 END)::BIGINT AS n_duplicates,
+       (SELECT count(*) FROM documents) - count(*) FILTER (example_id >= 0) AS n_missing
+FROM e GROUP BY ALL""")
+def score_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What is amiss with damaged generations, per format."""
+    rows = at.generations(spark, folder).filter("(example_id + format_id) % 3 <> 0")
+    copies = F.when(F.col("example_id") % 7 == 0, 2).otherwise(1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+    rows = rows.withColumn("example_id", F.expr("CASE WHEN example_id % 11 = 0 THEN -1 - example_id ELSE example_id END"))
+    counts = scoring.score_counts(rows, ex.reference_answers(at.examples(spark, folder)))
+    return counts.drop("accuracy")
+
+
 @query(f"SELECT experiment, round(max(accuracy) - min(accuracy), 6) AS spread FROM ({ACCURACY_SQL}) GROUP BY ALL")
 def accuracy_spread(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(report.accuracy_spread(accuracy(spark, folder), EXPERIMENT), "spread")

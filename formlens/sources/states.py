@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +10,24 @@ from formlens import schemas
 from formlens.operators.states import select_layer
 from formlens.sources.generations import replace_partitions
 
+KEYS = ["format_id", "layer"]
 
-def write_hidden_states(states: DataFrame, path: str) -> None:
-    replace_partitions(states, path, ["format_id", "layer"])
+
+def stored_layers(spark: SparkSession, path: str) -> DataFrame:
+    """Format and layer of everything below ``path``; empty when nothing is there yet."""
+    try:
+        return spark.read.schema(schemas.HIDDEN_STATES).parquet(path).select(*KEYS).distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "format_id INT, layer INT")
+
+
+def write_hidden_states(states: DataFrame, path: str, force: bool = True) -> None:
+    """Store one folder per format and layer; unless ``force``, what is there stays."""
+    if not force:
+        states = states.join(stored_layers(states.sparkSession, path), KEYS, "left_anti")
+    replace_partitions(states, path, KEYS)
 
 
 def save_state_table(states: DataFrame, table: str, buckets: int) -> None:

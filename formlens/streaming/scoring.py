@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from formlens import schemas
 from formlens.operators.scoring import accuracy_of, predictions
+from formlens.sources.tables import stored
 
 SCORE_KEYS = ["experiment", "format_id", "example_id"]
 
@@ -24,22 +25,31 @@ def score_stream(
 ) -> StreamingQuery:
     """Score new generations against ``references`` and keep one row per generation.
 
-    Every micro-batch goes to a folder of its own, which a retry overwrites, so a lost
-    executor or a restart never counts a row twice. No state is kept: what has been
-    scored is in the folders.
+    Every micro-batch goes to a folder of its own, named by the query (which its checkpoint
+    keeps) and the batch. A retry overwrites it, so a lost executor or a restart never counts a
+    row twice, and a query with a new checkpoint leaves the folders of others alone. No state is
+    kept: what has been scored is in the folders. The references are stored once, not read from
+    the examples for every batch; a generation without one is kept with a null.
     """
+    references = stored(references.select("example_id", "reference", F.lit(True).alias("_known")), "references")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = predictions(batch).join(references, "example_id")
-        rows = scored.select(*SCORE_KEYS, F.col("prediction").eqNullSafe(F.col("reference")).alias("correct"))
-        rows.write.mode("overwrite").parquet(f"{scores_path}/batch_id={batch_id}")
+        scored = predictions(batch).join(references, "example_id", "left")
+        correct = F.when(F.col("_known"), F.col("prediction").eqNullSafe(F.col("reference")))
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rows = scored.select(*SCORE_KEYS, correct.alias("correct"))
+        rows.write.mode("overwrite").parquet(f"{scores_path}/run={run}/batch_id={batch_id}")
 
     writer = generations.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def running_accuracy(spark: SparkSession, scores_path: str) -> DataFrame:
-    """Accuracy of all that has been scored so far; the latest batch wins for an example scored twice."""
-    scores = spark.read.schema(f"{schemas.SCORES}, batch_id BIGINT").parquet(scores_path)
-    latest = scores.groupBy(*SCORE_KEYS).agg(F.max_by("correct", "batch_id").alias("correct"))
+    """Accuracy of all that has been scored so far; the latest batch wins for an example scored twice.
+
+    Generations without a reference don't count.
+    """
+    scores = spark.read.schema(f"{schemas.SCORES}, run STRING, batch_id BIGINT").parquet(scores_path)
+    written = F.struct(F.col("_metadata.file_modification_time").alias("at"), "batch_id")
+    latest = scores.filter("correct IS NOT NULL").groupBy(*SCORE_KEYS).agg(F.max_by("correct", written).alias("correct"))
     return accuracy_of(latest)

@@ -1,7 +1,9 @@
 import json
 import os
+import uuid
 
 import pytest
+from pyspark import TaskContext
 
 from formlens.operators.examples import order_by_question_length, reference_answers
 from formlens.operators.inference import batch_embed, batch_generate
@@ -185,3 +187,57 @@ def test_stream_equals_batch_and_counts_once(spark, tmp_path, toy_examples):
     assert {r["format_id"]: (round(r["accuracy"], 6), r["n_scored"]) for r in batch.collect()} == run()
     land(0, ["42", "0", "1000"])
     assert run() == {0: (1.0, 3), 1: (1.0, 3)}
+
+
+def test_ids_are_unique_over_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.json").write_text(f'{{"question": "{folder}1"}}\n{{"question": "{folder}2"}}\n')
+    found = example_files.read_examples(spark, str(tmp_path), "json").orderBy("example_id").collect()
+    assert [(r["example_id"], r["question"]) for r in found] == [(0, "a1"), (1, "a2"), (2, "b1"), (3, "b2")]
+
+
+def test_arrays_refuse_gaps_and_keep_experiments_apart(spark, tmp_path):
+    fields = "experiment STRING, format_id INT, ordinal BIGINT, generation STRING"
+    for ordinals in ((1, 3), (0, 0, 2, 2), (0, 1, 1)):
+        rows = spark.createDataFrame([("e", 0, n, "x") for n in ordinals], fields)
+        with pytest.raises(Exception, match="ordinals are not"):
+            generation_files.write_generation_arrays(rows, str(tmp_path / "gap"))
+    rows = [(e, 0, n, f"{e}{n}") for e in ("one", "two") for n in range(4)]
+    generation_files.write_generation_arrays(spark.createDataFrame(rows, fields), str(tmp_path / "both"))
+    found = generation_files.read_generations(spark, str(tmp_path / "both"), with_experiment=True)
+    assert sorted(map(tuple, found.collect())) == rows
+
+
+def test_stored_layers_stay_unless_forced(spark, tmp_path):
+    def states(value, layers):
+        rows = [(0, 1, layer, [value]) for layer in layers]
+        return spark.createDataFrame(rows, "format_id INT, example_id BIGINT, layer INT, embedding ARRAY<FLOAT>")
+
+    path = str(tmp_path / "states")
+    state_files.write_hidden_states(states(1.0, [0, 1]), path, force=False)
+    state_files.write_hidden_states(states(2.0, [1, 2]), path, force=False)
+    found = {r["layer"]: r["embedding"][0] for r in state_files.read_hidden_states(spark, path).collect()}
+    assert found == {0: 1.0, 1: 1.0, 2: 2.0}
+
+
+def test_prompts_are_spread_and_a_worker_makes_one_model(spark):
+    """One input partition becomes several tasks; a model is made once per process, not per task."""
+    def model(temperature):
+        name = uuid.uuid4().hex
+        return lambda texts: [f"{os.getpid()} {TaskContext.get().partitionId()} {name}" for _ in texts]
+
+    rows = batch_generate(prompts(spark).coalesce(1), model, batch_size=4).collect()
+    pids, tasks, models = zip(*(r["generation"].split() for r in rows), strict=True)
+    assert len(set(tasks)) == 8 and len(set(models)) == len(set(pids))
+
+
+def test_unknown_answers_and_new_checkpoints(spark, tmp_path, toy_examples):
+    landing, scores = str(tmp_path / "landing"), str(tmp_path / "scores")
+    rows = [("exp", 0, e, "42") for e in (1, 99)]
+    spark.createDataFrame(rows, GENERATIONS).write.parquet(landing)
+    for progress in ("first", "second"):
+        query = score_stream(stream_generations(spark, landing), reference_answers(toy_examples), scores, str(tmp_path / progress))
+        query.awaitTermination()
+    assert len(os.listdir(scores)) == 2
+    assert [(r["accuracy"], r["n_scored"]) for r in running_accuracy(spark, scores).collect()] == [(1.0, 1)]

@@ -9,7 +9,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "conversations", "labels"]
+TABLES = ["documents", "embeddings", "conversations", "labels", "pages", "benchmark"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from conftest import make_formats
 from formlens.operators import report
+from formlens.operators.examples import select_few_shot
+from formlens.operators.prompts import chat_messages
 from formlens.operators.scoring import check_counts, format_accuracy
 from formlens.plans.studies import evaluate, evaluation_prompts, study_formats, training_set
 
@@ -90,3 +92,32 @@ def test_training_set_holds_out_test_formats(toy_examples):
     rows = texts.collect()
     assert len(rows) == 12 and all(r["has_response"] for r in rows)
     assert not {r["format_id"] for r in rows} & {r["format_id"] for r in held_out.collect()}
+
+
+def test_strict_scores_are_not_fooled(spark, toy_examples):
+    """The right number of generations, but one repeated, unknown or of another format."""
+    def table(*rows):
+        return spark.createDataFrame([("exp", f, e, "42") for f, e in rows], GENERATIONS)
+
+    whole = [(0, 1), (0, 2), (0, 3)]
+    for rows, amiss in (
+        ([(0, 1), (0, 1), (0, 2)], "repeated 1, missing 1"),
+        ([(0, 1), (0, 2), (0, 99)], "without a reference 1, repeated 0, missing 1"),
+        (whole + [(1, 97), (1, 98), (1, 99)], "format 1.*without a reference 3"),
+    ):
+        with pytest.raises(Exception, match=amiss):
+            format_accuracy(table(*rows), toy_examples).collect()
+    loose = format_accuracy(table(*whole, (1, 97)), toy_examples, strict=False).collect()
+    assert {r["format_id"]: (r["accuracy"] is None, r["n_scored"]) for r in loose} == {0: (False, 3), 1: (True, 0)}
+
+
+def test_few_shot_examples_have_answers(spark):
+    rows = [(1, "q", None), (2, "q", "long answer #### 1"), (3, "q", "a #### 1")]
+    shots = select_few_shot(spark.createDataFrame(rows, "example_id BIGINT, question STRING, answer STRING"), 1, 3)
+    assert [r["example_id"] for r in shots.orderBy("shot_rank").collect()] == [3, 2]
+
+
+def test_messages_keep_their_roles(spark):
+    turns = spark.createDataFrame([("assistant", "a"), (None, "b")], "role STRING, prompt STRING")
+    assert [[m["role"] for m in r["messages"]] for r in chat_messages(turns, "s").collect()] == [["system", "assistant"], ["system", "user"]]
+    assert chat_messages(turns.drop("role")).first()["messages"][0]["role"] == "user"
