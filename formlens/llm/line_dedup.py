@@ -170,6 +170,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = stored(_windows(candidates, min_words).distinct(), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # Stored, so that the join reads both sides from shuffles and Spark can split a crowded window.
+    first = stored(first, "first-windows")
     later = windows.join(first.select("window", "first"), "window").filter(place != F.col("first"))
     kept = _kept(later)
 
