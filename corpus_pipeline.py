@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from formlens.llm import language
-from formlens.llm.common import stored
+from formlens.llm.common import fresh_name, stored
 from formlens.llm.decontamination import find_items
 from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.packing import pack_documents
@@ -33,9 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    labelled = language.label_languages(docs.select("*", F.struct("*").alias("_document")), model, keep=["_document"])
-    accepted = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= MIN_LANGUAGE_SHARE)
-    return labelled.filter(accepted).select("_document.*")
+    labelled = language.label_languages(docs, model)
+    predicted, score = labelled.columns[len(docs.columns)], labelled.columns[len(docs.columns) + 1]
+    accepted = (F.col(predicted) != language.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SHARE)
+    return labelled.filter(accepted).select(*columns_of(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +44,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows a shortened text.
     """
-    plain = docs.select(F.struct("*").alias("_document"), F.col("doc_id"), F.col("text"))
-    result = dedup_lines(plain).filter("n_deleted = 0 OR n_deleted < n_lines")
-    shortened = F.col("n_deleted") > 0
-    changed = {"text": F.col("text"), "n_chars": F.length("text")}
-    kept = [
-        F.when(shortened, changed[name].cast(kind)).otherwise(F.col(f"_document.`{name}`")).alias(name)
-        if name in changed
-        else F.col(f"_document.`{name}`")
-        for name, kind in docs.dtypes
-    ]
-    return result.select(*kept)
+    result = dedup_lines(docs)
+    n_lines, n_deleted = (F.col(name) for name in result.columns[len(docs.columns) :])
+    n_chars = F.when(n_deleted > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    kept = result.filter((n_deleted == 0) | (n_deleted < n_lines)).withColumn("n_chars", n_chars)
+    return kept.select(*columns_of(docs))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,17 +58,17 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.filter("doc_id IS NOT NULL").join(first.hint("shuffle_hash"), "doc_id", "left_semi")
-    place = fresh = "_row_of_id"
+    place = fresh_name(docs, "place")
     ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    single = ranked.filter(F.col(fresh) == 1).select(*columns_of(docs))
+    single = ranked.filter(F.col(place) == 1).select(*columns_of(docs))
     return single.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_items(docs.select(F.struct("*").alias("_document"), "text"), items, keep=["_document"])
-    return found.filter(F.size("items_found") == 0).select("_document.*")
+    found = find_items(docs, items)
+    return found.filter(F.size(found.columns[-1]) == 0).select(*columns_of(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlens.session import scratch_path
+from formlens.sources.tables import stored
+
+__all__ = ["bounded_batches", "components", "fresh_name", "sampled", "stored", "text_slices", "texts_of"]
 
 BATCH_BYTES = 8 << 20
 
@@ -18,11 +20,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: computed once, safe from lost executors."""
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+def sampled(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """About ``n`` of the rows (all of fewer), chosen by a hash of the columns ``by``."""
+    parts = 1 << 30
+    share = min(parts, parts * n // max(1, rows.count()))
+    return rows.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) < share)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -52,18 +54,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges`` ``(a, b)``; a component is named by its smallest node.
 
     Alternates large-star and small-star steps until the edges are stars. A step needs the
-    smallest neighbour of each node (combined in the map tasks) and one join by node, so a hub
-    is never gathered in one place. Each round's edges are a stored table.
+    smallest neighbour of each node (combined in the map tasks) and one join by node. Both are
+    stored tables: a join of two shuffled scans is one that Spark can split at a hub.
     """
     edges = edges.select("a", "b").filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
     edges = stored(edges, "links")
     before = _checksum(edges)
     while before[0]:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = large.filter("a <> b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.filter("a <> b"), "links")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         after = _checksum(edges)

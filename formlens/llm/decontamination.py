@@ -298,18 +298,20 @@ def find_items(
     bounded_batches(spark)
     keep = docs.columns if keep is None else keep
     name = fresh_name(docs, "items_found")
-    texts = fresh_name(docs, "_decontamination_text")
+    texts = "text" if "text" in keep else fresh_name(docs, "_decontamination_text")
     fields = [docs.schema[column] for column in keep]
     out = T.StructType([*fields, T.StructField(name, T.ArrayType(T.LongType()))])
     blocks = list(_index_blocks(items, block_bytes, max_edits, recall))
     if not blocks:
         return docs.select(*(f"`{column}`" for column in keep), F.array().cast("array<long>").alias(name))
-    current = docs.select(*(f"`{column}`" for column in keep), F.col("text").alias(texts))
+    extra = [] if texts in keep else [F.col("text").alias(texts)]
+    current = docs.select(*(f"`{column}`" for column in keep), *extra)
     for k, index in enumerate(blocks):
         shared = spark.sparkContext.broadcast(index)
         last = k + 1 == len(blocks)
-        schema = out if last else T.StructType([*out.fields, T.StructField(texts, T.StringType())])
-        current = current.mapInArrow(_scanner(shared, name, texts, last), schema)
+        carried = [] if last or not extra else [T.StructField(texts, T.StringType())]
+        columns = [*keep, name, *(field.name for field in carried)]
+        current = current.mapInArrow(_scanner(shared, name, texts, columns), T.StructType([*out.fields, *carried]))
     return current
 
 
@@ -320,19 +322,16 @@ def _index_blocks(items: DataFrame, block_bytes: int, max_edits: float, recall:
             yield index
 
 
-def _scanner(shared, name: str, text_name: str, last: bool):
+def _scanner(shared, name: str, texts: str, columns: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            found = index.search(texts_of(batch, text_name))
-            names = [column for column in batch.schema.names if column not in (name, text_name)]
+            found = index.search(texts_of(batch, texts))
             before = batch.column(name).to_pylist() if name in batch.schema.names else [[]] * batch.num_rows
             merged = [sorted({*old, *new}) for old, new in zip(before, found, strict=True)]
-            arrays = [batch.column(column) for column in names] + [pa.array(merged, pa.list_(pa.int64()))]
-            if not last:
-                names, arrays = [*names, name, text_name], [*arrays, batch.column(text_name)]
-            else:
-                names = [*names, name]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            arrays = [
+                pa.array(merged, pa.list_(pa.int64())) if column == name else batch.column(column) for column in columns
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return scan

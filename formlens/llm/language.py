@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formlens.llm.common import bounded_batches, text_slices
+from formlens.llm.common import bounded_batches, fresh_name, text_slices
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 1_500
@@ -189,7 +189,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     shares = F.create_map(
         *[F.lit(x) for lang in languages for x in (lang, min(parts, parts * sample // counts[lang]))]
     )
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < shares[F.col("lang")]).select("lang", "text")
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < shares[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -266,24 +266,28 @@ def label_languages(docs: DataFrame, model: LanguageModel, keep: list[str] | Non
     by name among equals, and the score its share of the words with letters.
 
     Null texts and texts without letters are ``und`` with score 0 and no spans, and so is every text
-    if no language was learnt. ``keep`` names the columns to pass through (all by default); those
-    called like a result column are replaced. Repeated rows fare alike; an empty table stays empty.
+    if no language was learnt. ``keep`` names the columns to pass through (all by default); if some are
+    called like a result column, that one gets underscores in front. Repeated rows fare alike; an
+    empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    results = ("lang_pred", "lang_score", "lang_spans")
-    keep = [name for name in (docs.columns if keep is None else keep) if name.lower() not in results]
+    keep = docs.columns if keep is None else keep
+    source = docs.select(*(F.col(f"`{name}`") for name in keep))
+    results = [fresh_name(source, name) for name in ("lang_pred", "lang_score", "lang_spans")]
+    n_kept = len(keep)
+    if "text" not in keep:
+        source = docs.select(*(F.col(f"`{name}`") for name in keep), "text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, SLICE_ROWS):
-                names, scores, spans = _spans(shared.value, part.column(part.num_columns - 1))
-                arrays = [*part.columns[:-1], pa.array(names), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:-1], *results])
+                names, scores, spans = _spans(shared.value, part.column("text"))
+                arrays = [*part.columns[:n_kept], pa.array(names), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:n_kept], *results])
 
     kept = [docs.schema[name] for name in keep]
     schema = T.StructType(
-        [*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_spans", SPANS)]
+        [*kept, *(T.StructField(name, kind) for name, kind in zip(results, (T.StringType(), T.DoubleType(), SPANS), strict=True))]
     )
-    source = docs.select(*(F.col(f"`{name}`") for name in keep), F.col("text").alias("_language_text"))
     return source.mapInArrow(label, schema)

@@ -162,7 +162,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     table = _line_table(docs, min_words)
     anchors = table.select("doc_id", "key", F.explode("anchors").alias("anchor"))
     anchors = anchors.select("doc_id", "key", "anchor.fingerprint", "anchor.line")
-    repeated = anchors.groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+    # Stored, as are the first windows: a join of two shuffled scans is one that Spark can split at a common line.
+    repeated = stored(anchors.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "repeated-lines")
     lines = anchors.join(repeated, "fingerprint", "left_semi").groupBy("doc_id", "key")
     lines = lines.agg(F.collect_set("line").alias("lines"))
     lines = lines.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "lines")
@@ -170,7 +171,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = stored(_windows(candidates, min_words).distinct(), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # Stored, so that the join reads both sides from shuffles and Spark can split a crowded window.
     first = stored(first, "first-windows")
     later = windows.join(first.select("window", "first"), "window").filter(place != F.col("first"))
     kept = _kept(later)

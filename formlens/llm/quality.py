@@ -207,7 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, epochs:
             )
 
     schema = "doc_id long, quality int, columns array<int>, values array<double>, dense array<double>"
-    table = chosen.mapInArrow(extract, schema).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    # One row per sampled id and label, also if a table repeats an id very often.
+    row = F.struct("columns", "values", "dense")
+    single = chosen.mapInArrow(extract, schema).groupBy("doc_id", "quality").agg(F.min(row).alias("row"))
+    table = single.select("doc_id", "quality", "row.*").toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     machine = FactorisationMachine()
     if table.num_rows:
         sizes = np.array([len(row) for row in table["columns"]])

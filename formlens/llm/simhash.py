@@ -131,8 +131,8 @@ def near_duplicates(
     groups = components(links)
     named = nodes.join(groups, nodes["print"] == groups["node"], "left")
     group = F.coalesce("component", "print")
-    named = named.select("print", "first", group.alias("group"))
-    names = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = stored(named.select("print", "first", group.alias("group")), "print-groups")
+    names = stored(named.groupBy("group").agg(F.min("first").alias("component_id")), "group-names")
     of_print = stored(named.join(names, "group").select("print", "component_id"), "print-components")
     return table.join(of_print, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import bounded_batches, stored, text_slices, texts_of
+from formlens.llm.common import bounded_batches, sampled, stored, text_slices, texts_of
 from formlens.llm.vocabularies import BYTE_PIECES, BYTE_VOCABULARY, ODD_SPACE, load, special_strings
 
 SAMPLE_DOCUMENTS = 4_000
@@ -58,10 +58,7 @@ def _frequent_pieces(docs: DataFrame, vocabulary: str, sample: int, limit: int)
 
     Only how rows travel depends on it, never a result: these pre-tokens are looked up in the tasks.
     """
-    parts = 1 << 30
-    share = min(parts, parts * sample // max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
-    counts = _distinct_pieces(chosen, vocabulary).groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = _distinct_pieces(sampled(docs, sample, "doc_id", "text"), vocabulary).groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = [row.piece for row in counts.orderBy(F.desc("n"), "piece").limit(limit).select("piece").toLocalIterator()]
     tokenizer = load(vocabulary)
     found: dict[str, int] = {}

@@ -199,7 +199,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
     group = components(found.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.join(degrees, "node", "left").join(group, "node", "left")
     named = named.withColumn("group", F.coalesce("component", "node"))
-    smallest = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    # Stored, as a join of two shuffled scans is one that Spark can split at a large group.
+    smallest = stored(named.groupBy("group").agg(F.min("first").alias("component_id")), "group-names")
     named = named.join(smallest, "group")
     n_links = F.coalesce("near", F.lit(0)) + F.col("copies") - 1
     result = named.select("embedding", n_links.alias("n_links"), "component_id")

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlens.llm.common import bounded_batches, stored
+from formlens.llm.common import bounded_batches, sampled, stored
 from formlens.session import scratch_path
 
 # Values of the WARC and Zstandard formats.
@@ -95,10 +95,8 @@ def _dictionary(pages: DataFrame, date: str, sample: int) -> bytes:
 
     Too few records to train on make a dictionary of plain content.
     """
-    parts = 1 << 30
-    share = min(parts, parts * sample // max(1, pages.count()))
     rows = (
-        pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(parts)) < share)
+        sampled(pages, sample, "page_id", "html")
         .filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= SAMPLE_RECORD_BYTES)
         .limit(2 * sample)
         .collect()
@@ -163,6 +161,7 @@ def write_archives(
     digest = F.unhex(F.sha1(F.coalesce("html", F.lit(""))))
     keyed = pages.withColumn("digest", digest)
     latest = keyed.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("latest"))
+    latest = stored(latest, "latest-pages")  # a join of two shuffled scans is one that Spark can split at a common payload
     joined = keyed.join(latest.hint("shuffle_hash"), "digest")
     revisits = (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("latest"))
     rows = joined.select("page_id", "url", F.when(~revisits, F.col("html")).alias("html"), "digest", revisits.alias("revisits"),
