@@ -238,6 +238,11 @@ def longest_examples(spark: SparkSession, folder: str) -> DataFrame:
     return ex.longest_examples(at.examples(spark, folder), 150).select("example_id", F.md5("answer").alias("answer_md5"))
 
 
+@query(f"SELECT example_id, md5(answer) AS answer_md5 FROM ({LONGEST_SQL.format(n=8000)})")
+def longest_8000_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return ex.longest_examples(at.examples(spark, folder), 8000).select("example_id", F.md5("answer").alias("answer_md5"))
+
+
 @query(f"""
 SELECT example_id, place - 1 AS sample_rank, CAST(CASE WHEN place <= 64 THEN 0 ELSE 1 END AS INT) AS half, md5(question) AS question_md5
 FROM (SELECT *, row_number() OVER (ORDER BY md5('{at.SEED}:' || example_id), example_id) AS place FROM ({at.EXAMPLES_SQL}))
@@ -299,6 +304,25 @@ def augment_examples(spark: SparkSession, folder: str) -> DataFrame:
     return digest(texts, "text", *PROMPT_KEYS)
 
 
+@query(digest_sql(augmented_sql(8000, 4, 110, 10), "text", *PROMPT_KEYS))
+def augment_8000_examples(spark: SparkSession, folder: str) -> DataFrame:
+    _, train_formats = fm.split_formats(at.formats(spark, 110), 10)
+    texts = prompts.augment_examples(at.examples(spark, folder), train_formats, 8000, 4, at.SEED)
+    return digest(texts, "text", *PROMPT_KEYS)
+
+
+@query("""
+SELECT doc_id AS example_id, 1000::BIGINT AS n_formats, sum(i * (doc_id % 7 + 1))::BIGINT AS weighted
+FROM documents, range(1000) AS r(i) GROUP BY doc_id""")
+def wide_format_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every example in each of a thousand formats, more than the catalogue has."""
+    grid = fm.format_grid(spark, [f"separator {k}" for k in range(50)], [f"space {k}" for k in range(5)])
+    wide = grid.filter("idx < 1000").withColumnRenamed("idx", "format_id")
+    pairs = for_each_format(at.examples(spark, folder).select("example_id"), wide)
+    weight = F.col("spec.format_id").cast("bigint") * (F.col("example_id") % 7 + 1)
+    return pairs.groupBy("example_id").agg(F.count("*").alias("n_formats"), F.sum(weight).alias("weighted"))
+
+
 @query(f"""
 SELECT example_id, format_id, contains(text, '{RESPONSE_TAG}') AS has_response,
        md5(substr(text, 1, instr(text, '{RESPONSE_TAG}') + {len(RESPONSE_TAG)} - 1)) AS instruction_md5,
