@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import components, stored
+from formlens.llm.common import bounded_batches, components, stored
 
 THRESHOLD = 0.9
 BLOCK_ROWS = 8192
+BLOCK_BYTES = 8 << 20
 LEVELS = 127
 STEP = 1024
 
@@ -91,15 +92,16 @@ def _valid(vector: str = "embedding") -> str:
 
 
 def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """``(block, width, n, nodes, copies, data)``: distinct vectors of one width, packed in blocks."""
+    """``(block, width, nodes, copies, data)``: distinct vectors of one width, in blocks of bounded rows and bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths = np.array([len(vector) for vector in batch.column(1)])
             for width in np.unique(widths):
                 places = np.flatnonzero(widths == width)
-                for low in range(0, len(places), rows):
-                    part = pa.array(places[low : low + rows])
+                fitting = max(1, min(rows, BLOCK_BYTES // (8 * int(width))))
+                for low in range(0, len(places), fitting):
+                    part = pa.array(places[low : low + fitting])
                     chosen = batch.take(part)
                     data = chosen.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
                     single = data.astype("<f4")
@@ -180,6 +182,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: i
     its smallest non-null id. Repeated rows are copies of one another. An empty table gives no rows;
     other columns are ignored.
     """
+    bounded_batches(vectors.sparkSession)
     source = vectors.selectExpr("CAST(vec_id AS LONG) AS vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding")
     # 0.0 + x makes minus zero plain zero, so that equal vectors have equal bits.
     usable = source.filter(_valid()).selectExpr("vec_id", "transform(embedding, x -> 0.0D + x) AS embedding")
