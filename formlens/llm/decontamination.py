@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from formlens.functions.process import per_process
 from formlens.llm.common import bounded_batches, fresh_name, texts_of
+from formlens.llm.vocabularies import Memory
 
-MAX_EDITS = 0.1
-RECALL = 0.95
+MAX_EDITS = 0.2
+RECALL = 0.9
 LONG = 32
 TABLES_PER_WALK = 8
 BLOCK_BYTES = 8 << 20
 CHUNK_WINDOWS = 32_768
+CHUNK_CANDIDATES = 2_048
 GAP, SPACE = 0, 32
 
 _KEPT = {*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256), GAP}
@@ -41,36 +44,52 @@ def folded_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where words begin; in scripts without spaces (first byte 0xE3 or more) every character is one."""
     inside = (data != SPACE) & (data != GAP)
-    inside[1:] &= (data[:-1] == SPACE) | (data[:-1] == GAP)
+    inside[1:] &= (data[:-1] == SPACE) | (data[:-1] == GAP) | (data[1:] >= 0xE3)
     return np.flatnonzero(inside)
 
 
-def within_edits(item: bytes, region: bytes, most: int) -> bool:
-    """Whether some part of ``region`` is at most ``most`` edits from ``item`` (bit-parallel, whole item)."""
-    n = len(item)
-    masks: dict[int, int] = {}
-    for i, byte in enumerate(item):
-        masks[byte] = masks.get(byte, 0) | 1 << i
-    everything, top = (1 << n) - 1, 1 << (n - 1)
-    up, down, edits = everything, 0, n
-    for byte in region:
-        equal = masks.get(byte, 0)
-        vertical = equal | down
-        diagonal = (((equal & up) + up) ^ up) | equal
-        rises = down | (everything & ~(diagonal | up))
-        falls = up & diagonal
-        if rises & top:
-            edits += 1
-        elif falls & top:
-            edits -= 1
-            if edits <= most:
-                return True
-        # The match may begin anywhere, so the first row does not rise.
-        rises, falls = (rises << 1) & everything, (falls << 1) & everything
-        up = falls | (everything & ~(vertical | rises))
-        down = rises & vertical
-    return edits <= most
+def symbol_masks(item: bytes) -> np.ndarray:
+    """For every byte value, in 64-bit words, the places of the item where it stands."""
+    n_words = -(-len(item) // 64)
+    bits = np.zeros((256, 64 * n_words), dtype=np.uint8)
+    bits[np.frombuffer(item, dtype=np.uint8), np.arange(len(item))] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def least_edits(masks: np.ndarray, sizes: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """The edit distance of every item from the nearest part of its region, all side by side.
+
+    ``masks`` has the items' ``symbol_masks`` (item, byte, word), all of as many words; ``regions`` a
+    column per item, filled up with gaps at the end, which match nothing. Myers' bit vectors hold
+    the differences down a column of the distance table; a part may begin and end anywhere.
+    """
+    n, _, n_words = masks.shape
+    one = np.uint64(1)
+    up = np.full((n_words, n), ~np.uint64(0))
+    down = np.zeros((n_words, n), dtype=np.uint64)
+    last = ((sizes - 1) % 64).astype(np.uint64)
+    edits, best, across = sizes.astype(np.int64), sizes.astype(np.int64), np.arange(n)
+    for symbols in regions:
+        equal_words = masks[across, symbols]
+        rise = fall = np.zeros(n, dtype=np.uint64)
+        for word in range(n_words):
+            equal, above, below = equal_words[:, word], up[word], down[word]
+            vertical = equal | below
+            equal = equal | fall
+            diagonal = (((equal & above) + above) ^ above) | equal
+            rises = below | ~(diagonal | above)
+            falls = above & diagonal
+            shift = last if word == n_words - 1 else np.uint64(63)
+            next_rise, next_fall = (rises >> shift) & one, (falls >> shift) & one
+            rises, falls = (rises << one) | rise, (falls << one) | fall
+            up[word] = falls | ~(vertical | rises)
+            down[word] = rises & vertical
+            rise, fall = next_rise, next_fall
+        edits += rise.astype(np.int64) - fall.astype(np.int64)
+        np.minimum(best, edits, out=best)
+    return best
 
 
 @dataclass
@@ -159,7 +178,8 @@ class ItemIndex:
         self.items = [text.strip() for _, text in pairs]
         self.most = [int(len(item) * max_edits) for item in self.items]
         self.classes: list[ItemClass] = []
-        sizes = np.array([min(LONG, 1 << (len(item).bit_length() - 1)) for item in self.items], dtype=np.int64)
+        # At most half an item, so that windows within it begin at several of its words.
+        sizes = np.array([min(LONG, max(1, (1 << len(item).bit_length()) // 4)) for item in self.items], dtype=np.int64)
         for size in np.unique(sizes).tolist():
             self._add_class(np.flatnonzero(sizes == size), size, max_edits, recall, seed)
 
@@ -183,7 +203,7 @@ class ItemIndex:
         # so many symbols a window meets a wrong item window about once in 100,000 times.
         n_symbols = int(np.ceil(np.log(1e5 * len(starts)) / np.log(4.3)))
         mark_bits = int(np.clip(np.ceil(np.log2(64 * len(starts))), 10, 24))
-        found = ItemClass(max(1, size // 2), [], owners, offsets)
+        found = ItemClass(size // 2 if size == LONG else 1, [], owners, offsets)
         self.classes.append(found)
         trials = self._edited(members, max_edits, seed)
         missed = list(range(len(trials)))
@@ -238,16 +258,30 @@ class ItemIndex:
                 candidates.update(
                     zip(texts[low + places].tolist(), found.items[windows].tolist(), (begin // 16).tolist(), strict=True)
                 )
-        done: set[tuple[int, int]] = set()
-        for text, item, place in sorted(candidates):
-            if (text, item) in done:
-                continue
-            slack = self.most[item] + 16
-            low = max(int(bounds[text]), 16 * place - slack)
-            high = min(int(bounds[text + 1]) - 1, 16 * place + 16 + len(self.items[item]) + slack)
-            if within_edits(self.items[item], data[low:high].tobytes(), self.most[item]):
-                done.add((text, item))
-                yield text, item
+        yield from self._verified(data, bounds, sorted(candidates))
+
+    def _verified(
+        self, data: np.ndarray, bounds: np.ndarray, candidates: list[tuple[int, int, int]]
+    ) -> Iterator[tuple[int, int]]:
+        """Text and item of the candidates (text, item, begin in sixteens) that are within the allowed edits."""
+        masks = per_process("item masks", lambda: Memory(symbol_masks, 2_000))
+        by_words: dict[int, list[tuple[int, int, int]]] = {}
+        for candidate in candidates:
+            by_words.setdefault(-(-len(self.items[candidate[1]]) // 64), []).append(candidate)
+        for group in by_words.values():
+            for low in range(0, len(group), CHUNK_CANDIDATES):
+                part = group[low : low + CHUNK_CANDIDATES]
+                texts, items, places = (np.array(column) for column in zip(*part, strict=True))
+                sizes = np.array([len(self.items[item]) for item in items.tolist()])
+                most = np.array([self.most[item] for item in items.tolist()])
+                starts = np.maximum(bounds[texts], 16 * places - most - 16)
+                stops = np.minimum(bounds[texts + 1] - 1, 16 * places + 32 + sizes + most)
+                steps = np.arange(max(1, int((stops - starts).max())))[:, None]
+                regions = np.where(starts + steps < stops, data[np.minimum(starts + steps, len(data) - 1)], GAP)
+                own, place = np.unique(items, return_inverse=True)
+                table = np.stack([masks[self.items[item]] for item in own.tolist()])[place]
+                near = least_edits(table, sizes, regions) <= most
+                yield from set(zip(texts[near].tolist(), items[near].tolist(), strict=True))
 
     def search(self, texts: list[str]) -> list[list[int]]:
         """For every text the ids of the items it holds, each once, in order."""
@@ -283,10 +317,11 @@ def find_items(
     An item ``(item_id, text)`` is held if some part of the text is at most ``max_edits`` times the
     item's length (rounded down, in bytes) away from it, both in lower case with everything but
     letters and digits folded to single spaces. Windows of an item's size begin at a word in every
-    cell of 16 bytes of a text and at every word of an item; a random-walk embedding turns edits into
+    cell of 16 bytes of a text (at every word if items are shorter than 64) and at every word of an item; a random-walk embedding turns edits into
     few differing places, and windows that agree in a table of sampled places are candidates, which
     are checked by exact edit distance. Walks with tables are added until ``recall`` of sample items,
-    each with as many edits as allowed, are found; unedited items are always found.
+    each with as many edits as allowed, are found. Unedited items whose words have up to 16 bytes are
+    always found.
 
     Items are taken in blocks of ``block_bytes``, each scanning the documents once without a shuffle.
     Null and empty texts hold nothing; null items and items without letters or digits are held

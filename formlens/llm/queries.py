@@ -137,7 +137,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    """The benchmark items that every document holds, up to edits of a tenth of their length."""
+    """The benchmark items that every document holds, up to edits of a fifth of their length."""
     found = find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
     n_items = F.size("items_found")
     return found.select("doc_id", (n_items > 0).alias("contaminated"), n_items.alias("n_items"), "items_found")

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from formlens.llm.decontamination import ItemIndex, find_items, folded, within_edits
+from formlens.llm.decontamination import ItemIndex, find_items, folded, least_edits, symbol_masks
 
 WORDS = [a + b + c for a in ("th", "er", "on", "sta", "re", "in") for b in ("an", "ou", "ti", "es", "ly") for c in ("", "n", "re", "sh")]
 
@@ -28,18 +29,51 @@ def edited(rng, text, n):
     return "".join(text)
 
 
-def test_exact_check():
+def within_edits(item: bytes, text: bytes, most: int) -> bool:
+    """The same by whole numbers of any size, for long texts; a match may begin anywhere."""
+    masks = {}
+    for i, byte in enumerate(item):
+        masks[byte] = masks.get(byte, 0) | 1 << i
+    everything, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, edits = everything, 0, len(item)
+    for byte in text:
+        equal = masks.get(byte, 0)
+        vertical = equal | down
+        diagonal = (((equal & up) + up) ^ up) | equal
+        rises, falls = down | (everything & ~(diagonal | up)), up & diagonal
+        edits += bool(rises & top) - bool(falls & top)
+        if edits <= most:
+            return True
+        rises, falls = (rises << 1) & everything, (falls << 1) & everything
+        up, down = falls | (everything & ~(vertical | rises)), rises & vertical
+    return edits <= most
+
+
+def test_whole_numbers_agree_with_the_table():
     rng = random.Random(1)
-    for _ in range(300):
+    for _ in range(200):
         item, text = ("".join(rng.choices("abc", k=rng.randint(1, n))) for n in (9, 30))
-        best = edits_to_part(item, text)
         for most in range(len(item) + 1):
-            assert within_edits(item.encode(), text.encode(), most) == (best <= most)
+            assert within_edits(item.encode(), text.encode(), most) == (edits_to_part(item, text) <= most)
+
+
+@pytest.mark.parametrize("longest", [9, 64, 65, 150])
+def test_exact_check(longest):
+    rng = random.Random(1)
+    for words in range(1, -(-longest // 64) + 1):
+        sizes = [rng.randint(64 * words - 63, min(longest, 64 * words)) for _ in range(40)]
+        items = ["".join(rng.choices("abc", k=n)) for n in sizes]
+        texts = ["".join(rng.choices("abc", k=rng.randint(0, 60))) + (item[3:-2] if rng.random() < 0.5 else "") for item in items]
+        regions = np.zeros((max(map(len, texts)) + 3, 40), dtype=np.uint8)
+        for k, text in enumerate(texts):
+            regions[: len(text), k] = list(text.encode())
+        found = least_edits(np.stack([symbol_masks(item.encode()) for item in items]), np.array(sizes), regions)
+        assert found.tolist() == [edits_to_part(item, text) for item, text in zip(items, texts, strict=True)]
 
 
 @pytest.fixture(scope="module")
 def planted():
-    """Items, documents, and by document the items within a tenth of edits, by brute force."""
+    """Items, documents, and by document the items within a fifth of edits: every item against every whole text."""
     rng = random.Random(5)
     items = [(k, prose(rng, rng.randint(14, 50))) for k in range(12)]
     docs = []
@@ -47,14 +81,14 @@ def planted():
         text = prose(rng, rng.randint(5, 120))
         if k % 3:
             item = items[k % 12][1]
-            n = rng.randint(0, len(folded(item)) // 10) if k % 3 == 2 else 0
+            n = rng.randint(0, len(folded(item)) // 5) if k % 3 == 2 else 0
             text = f"{text} {edited(rng, item, n) if n else item.upper() if k % 2 else item}\n{prose(rng, 40)}"
         docs.append((k, text))
     truth = {}
     for k, text in docs:
         for i, item in items:
-            pattern, whole = folded(item), folded(text)
-            if within_edits(pattern.strip(), whole, len(pattern.strip()) // 10):
+            pattern = folded(item).strip()
+            if within_edits(pattern, folded(text), int(0.2 * len(pattern))):
                 truth.setdefault(k, set()).add(i)
     return items, docs, truth
 
@@ -99,3 +133,13 @@ def test_odd_rows(spark):
     assert got == [(0, [1]), (1, []), (2, []), (3, [1]), (3, [1])]
     assert {tuple(r._items_found) for r in find_items(docs, bench.limit(0)).collect()} == {()}
     assert find_items(docs.limit(0), bench).count() == 0
+
+
+def test_items_of_any_length_and_script_are_found():
+    rng = random.Random(9)
+    items = [" ".join(rng.choices(WORDS, k=n)) for n in (1, 2, 3, 5, 7, 8, 9, 10, 12, 15)] + ["東京都は日本の首都であり世界最大級の都市圏を持つ"]
+    texts = [f"{prose(rng, rng.randint(1, 30))} {item} {prose(rng, 20)}" for item in items for _ in range(20)]
+    texts += [f"これは長い文の中にある{items[-1]}という部分です"]
+    index = ItemIndex(list(range(len(items))), items, 0.2, 0.9)
+    found = index.search(texts)
+    assert all(k // 20 in found[k] for k in range(20 * len(items))) and len(items) - 1 in found[-1]

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from formlens.llm.decontamination import folded, within_edits
+from formlens.llm.decontamination import MAX_EDITS, folded
+from test_decontamination import within_edits
 from test_line_dedup import brute_force as dedup_by_force
 from test_packing import check
 from test_simhash import brute_force as groups_by_force
@@ -62,7 +63,7 @@ def test_documents_with_items_go(spark, stages):
     items = [folded(r.text).strip() for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     clean = [
         row for row in rows_of(docs)
-        if not any(within_edits(item, folded(row[1]), len(item) // 10) for item in items)
+        if not any(within_edits(item, folded(row[1]), int(len(item) * MAX_EDITS)) for item in items)
     ]
     assert rows_of(kept) == clean and len(clean) < docs.count()
 
