@@ -30,12 +30,22 @@ ANSWER = f"concat(substr(text, {HALF} + 1), ' #### ', CAST(n_chars AS {{string}}
 EXAMPLES_SQL = f"SELECT doc_id AS example_id, {QUESTION} AS question, {ANSWER.format(string='VARCHAR')} AS answer FROM documents"
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by key, at every size: a small part of the product that each is about to become."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def examples(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).selectExpr(
         "doc_id AS example_id", f"{QUESTION} AS question", f"{ANSWER.format(string='STRING')} AS answer"
     )
 
 
+def dealt_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples for a product with formats."""
+    return dealt(examples(spark, folder), "example_id")
+
+
 PARSED_SQL = f"""
 SELECT example_id, question, split_part(answer, '####', 1) AS reasoning, split_part(answer, '####', 2) AS answer
 FROM ({EXAMPLES_SQL})"""
@@ -55,7 +65,7 @@ FROM documents, range({N_FORMATS}) AS f(format_id), range({len(EXPERIMENTS)}) AS
 
 
 def generations(spark: SparkSession, folder: str) -> DataFrame:
-    each = documents(spark, folder).select(
+    each = dealt(documents(spark, folder), "doc_id").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(N_FORMATS - 1))).alias("format_id")
     )
     each = each.select("*", F.posexplode(F.array(*[F.lit(name) for name in EXPERIMENTS])).alias("model", "experiment"))

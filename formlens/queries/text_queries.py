@@ -103,7 +103,7 @@ def load_format_specs(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "format-specs")
     format_files.save_format_specs(at.formats(spark), path)
     loaded = format_files.load_format_specs(spark, path)
-    parsed = ex.parse_examples(at.examples(spark, folder))
+    parsed = ex.parse_examples(at.dealt_examples(spark, folder))
     return digest(prompts.render_prompts(parsed, loaded, True), "prompt", *PROMPT_KEYS)
 
 
@@ -132,7 +132,7 @@ def rejected_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(digest_sql(prompts_sql(at.PARSED_SQL, True), "prompt", *PROMPT_KEYS))
 def render_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = ex.parse_examples(at.examples(spark, folder))
+    parsed = ex.parse_examples(at.dealt_examples(spark, folder))
     return digest(prompts.render_prompts(parsed, at.formats(spark), True), "prompt", *PROMPT_KEYS)
 
 
@@ -146,7 +146,7 @@ FROM ({at.PARSED_SQL}) JOIN ({GRID_FORMATS_SQL}) ON example_id % 960 = idx""")
 def format_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every example in one format of the full grid, taken in turn."""
     grid = fm.label_descriptors(fm.with_descriptors(fm.format_grid(spark)))
-    parsed = ex.parse_examples(at.examples(spark, folder)).withColumn("idx", F.pmod("example_id", F.lit(960)).cast("int"))
+    parsed = ex.parse_examples(at.dealt_examples(spark, folder)).withColumn("idx", F.pmod("example_id", F.lit(960)).cast("int"))
     rows = parsed.join(F.broadcast(grid.select("idx", F.struct("*").alias("spec"))), "idx")
     text = rendered(F.col("question"), F.col("reasoning"), F.col("answer"), F.col("spec"), False)
     shown = ["separator_pos", "space_pos", "transform_pos", "first_label", "second_label", "third_label"]
@@ -158,7 +158,7 @@ SELECT example_id, first_label, third_label, count(*) AS n_formats
 FROM ({at.EXAMPLES_SQL}), ({at.formats_sql()}) GROUP BY ALL""")
 def transform_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     """How often every example meets each spelling of its descriptors."""
-    pairs = for_each_format(at.examples(spark, folder).select("example_id"), fm.label_descriptors(at.formats(spark)))
+    pairs = for_each_format(at.dealt_examples(spark, folder).select("example_id"), fm.label_descriptors(at.formats(spark)))
     return pairs.groupBy("example_id", "spec.first_label", "spec.third_label").agg(F.count("*").alias("n_formats"))
 
 
@@ -190,7 +190,7 @@ prompts AS (
     FROM ({at.EXAMPLES_SQL}), formats JOIN worked USING (format_id))
 {digest_sql("SELECT * FROM prompts", "prompt", *PROMPT_KEYS)}""")
 def few_shot_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = at.examples(spark, folder)
+    rows = at.dealt_examples(spark, folder)
     built = prompts.few_shot_prompts(rows, ex.select_few_shot(rows, at.SEED), at.formats(spark))
     return digest(built, "prompt", *PROMPT_KEYS)
 
@@ -200,7 +200,7 @@ TAGGED_SQL = prompts_sql(at.EXAMPLES_SQL, True, reasoning="NULL", answer="NULL")
 
 @query(digest_sql(TAGGED_SQL, "prompt", *PROMPT_KEYS))
 def tagged_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    return digest(prompts.tagged_prompts(at.examples(spark, folder), at.formats(spark)), "prompt", *PROMPT_KEYS)
+    return digest(prompts.tagged_prompts(at.dealt_examples(spark, folder), at.formats(spark)), "prompt", *PROMPT_KEYS)
 
 
 @query("""
@@ -256,7 +256,7 @@ def split_disjoint(spark: SparkSession, folder: str) -> DataFrame:
 SELECT example_id, format_id, idx, separator || space AS pieces FROM ({at.EXAMPLES_SQL}), ({at.formats_sql(20)})""")
 def sample_formats(spark: SparkSession, folder: str) -> DataFrame:
     """The work list of a study with twenty sampled formats."""
-    pairs = for_each_format(at.examples(spark, folder).select("example_id"), at.formats(spark, 20))
+    pairs = for_each_format(at.dealt_examples(spark, folder).select("example_id"), at.formats(spark, 20))
     return pairs.select(
         "example_id", "spec.format_id", "spec.idx", F.concat("spec.separator", "spec.space").alias("pieces")
     )
@@ -278,7 +278,7 @@ def split_formats(spark: SparkSession, folder: str) -> DataFrame:
     test, train = fm.split_formats(at.formats(spark, 60), 30)
     leaks = fm.leaked_formats(test, train).select("format_id", F.lit(True).alias("leaked"))
     parts = test.withColumn("part", F.lit("test")).unionByName(train.withColumn("part", F.lit("train")))
-    parsed = ex.parse_examples(at.examples(spark, folder))
+    parsed = ex.parse_examples(at.dealt_examples(spark, folder))
     sizes = prompts.render_prompts(parsed, parts.drop("part"), True).groupBy("format_id").agg(
         F.sum(F.length("prompt")).alias("prompt_chars")
     )
@@ -318,7 +318,7 @@ def wide_format_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every example in each of a thousand formats, more than the catalogue has."""
     grid = fm.format_grid(spark, [f"separator {k}" for k in range(50)], [f"space {k}" for k in range(5)])
     wide = grid.filter("idx < 1000").withColumnRenamed("idx", "format_id")
-    pairs = for_each_format(at.examples(spark, folder).select("example_id"), wide)
+    pairs = for_each_format(at.dealt_examples(spark, folder).select("example_id"), wide)
     weight = F.col("spec.format_id").cast("bigint") * (F.col("example_id") % 7 + 1)
     return pairs.groupBy("example_id").agg(F.count("*").alias("n_formats"), F.sum(weight).alias("weighted"))
 
@@ -498,7 +498,7 @@ def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id AS example_id, CAST(format_id AS INT) AS format_id FROM documents, range({at.N_FORMATS}) AS f(format_id)")
 def example_format_grid(spark: SparkSession, folder: str) -> DataFrame:
-    return fm.example_format_grid(at.examples(spark, folder), at.formats(spark))
+    return fm.example_format_grid(at.dealt_examples(spark, folder), at.formats(spark))
 
 
 @query(f"""
@@ -506,7 +506,7 @@ SELECT doc_id AS example_id, CAST(format_id AS INT) AS format_id FROM documents,
 WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND labels.quality = format_id)""")
 def pending_work(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents count as done in the format numbered like their label."""
-    work = fm.example_format_grid(at.examples(spark, folder), at.formats(spark))
+    work = fm.example_format_grid(at.dealt_examples(spark, folder), at.formats(spark))
     done = at.table(spark, folder, "labels").selectExpr("doc_id AS example_id", "quality AS format_id")
     return fm.pending_work(work, done, ["example_id", "format_id"])
 
@@ -525,7 +525,7 @@ WHERE format_id >= {at.N_FORMATS}""")
 def evaluation_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts of a study with twelve formats, ten of which have generations already."""
     built = studies.evaluation_prompts(
-        at.examples(spark, folder), None, at.formats(spark, 12), at.generations(spark, folder), at.SEED
+        at.dealt_examples(spark, folder), None, at.formats(spark, 12), at.generations(spark, folder), at.SEED
     )
     return digest(built, "prompt", *PROMPT_KEYS).drop("text_chars")
 
@@ -543,7 +543,7 @@ def counting_encoder():
 
 @query(f"SELECT example_id, format_id, md5(prompt) AS generation FROM ({TAGGED_SQL})")
 def batch_generate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prompts.tagged_prompts(at.examples(spark, folder), at.formats(spark))
+    rows = prompts.tagged_prompts(at.dealt_examples(spark, folder), at.formats(spark))
     return inference.batch_generate(rows, checksum_model, n_tasks=8).drop("prompt")
 
 
@@ -553,7 +553,7 @@ SELECT format_id, example_id, CAST(layer AS INT) AS layer,
        CAST(layer + 1 AS DOUBLE) AS second
 FROM ({TAGGED_SQL}), range(2) AS l(layer)""")
 def batch_embed(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prompts.tagged_prompts(at.examples(spark, folder), at.formats(spark))
+    rows = prompts.tagged_prompts(at.dealt_examples(spark, folder), at.formats(spark))
     embedded = inference.batch_embed(rows, counting_encoder, n_tasks=8)
     return embedded.select(
         "format_id", "example_id", "layer",
