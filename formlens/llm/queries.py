@@ -129,6 +129,42 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicated.select("doc_id", "text", "n_lines", "n_deleted")
 
 
+# All runs of 50 words, from and up to every line, compared as texts.
+SQL["op8_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+    FROM documents WHERE text IS NOT NULL
+), parts AS (
+    SELECT *, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS words FROM lines
+), folded AS (
+    SELECT doc_id, n, line, array_to_string(words, ' ') AS folded, len(words) AS size,
+           sum(len(words)) OVER (PARTITION BY doc_id ORDER BY n) AS upto
+    FROM parts
+), runs AS (
+    SELECT a.doc_id, a.n AS start, b.n AS stop FROM folded a JOIN folded b
+      ON a.doc_id = b.doc_id AND a.n <= b.n AND b.upto - a.upto + a.size >= 50
+), windows AS (
+    SELECT doc_id, start, min(stop) AS stop FROM runs GROUP BY doc_id, start
+    UNION SELECT doc_id, max(start) AS start, stop FROM runs GROUP BY doc_id, stop
+), spelled AS (
+    SELECT w.doc_id, w.start, w.stop, string_agg(f.folded, chr(10) ORDER BY f.n) AS run
+    FROM windows w JOIN folded f ON f.doc_id = w.doc_id AND f.n BETWEEN w.start AND w.stop GROUP BY w.doc_id, w.start, w.stop
+), later AS (
+    SELECT doc_id, start, stop FROM (
+        SELECT *, min(struct_pack(d := doc_id, s := start)) OVER (PARTITION BY run) AS first FROM spelled)
+    WHERE first <> struct_pack(d := doc_id, s := start)
+), gone AS (
+    SELECT DISTINCT f.doc_id, f.n FROM folded f JOIN later l ON f.doc_id = l.doc_id AND f.n BETWEEN l.start AND l.stop
+), kept AS (
+    SELECT f.doc_id, string_agg(f.line, chr(10) ORDER BY f.n) FILTER (g.n IS NULL) AS text,
+           count(*) AS n_lines, count(g.n) AS n_deleted
+    FROM folded f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.n = g.n GROUP BY f.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+       CAST(coalesce(k.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(k.n_deleted, 0) AS INTEGER) AS n_deleted
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a window of 2,048 tokens."""
