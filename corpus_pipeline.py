@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from formlens.llm import language
 from formlens.llm.common import fresh_name, stored
@@ -54,14 +53,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates, that with the smallest id.
 
-    Of rows that repeat that id the first by text stays. Documents without an id name no group and stay.
+    Of different texts with that id the one of least hash stays; rows equal in id and text are one
+    document. Documents without an id name no group and stay. Texts are dealt out once and not sorted.
     """
     first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(first.hint("shuffle_hash"), "doc_id", "left_semi")
-    place = fresh_name(docs, "place")
-    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    single = ranked.filter(F.col(place) == 1).select(*columns_of(docs))
-    return single.unionByName(docs.filter("doc_id IS NULL"))
+    text = fresh_name(docs, "text_hash")
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn(text, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    least = keyed.groupBy("doc_id").agg(F.min(text).alias(text)).join(first, "doc_id", "left_semi")
+    kept = keyed.join(least.hint("shuffle_hash"), ["doc_id", text], "left_semi")
+    return kept.select(*columns_of(docs)).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

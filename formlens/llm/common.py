@@ -12,7 +12,7 @@ from formlens.sources.tables import stored
 
 __all__ = ["bounded_batches", "components", "fresh_name", "sampled", "stored", "text_slices", "texts_of"]
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

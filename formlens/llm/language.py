@@ -22,6 +22,7 @@ WORD_LIMIT = 6.0
 SCRIPT_SHARE = 0.005
 SMOOTHING = 0.5
 SLICE_ROWS = 2_000
+SCORED_WORDS = 16_384
 CELLS = 1 << 20
 UNDETERMINED = "und"
 
@@ -112,6 +113,10 @@ class LanguageModel:
         Languages that don't write in the word's script are out; in a script of no language the word
         says nothing.
         """
+        if len(spelled) > SCORED_WORDS:
+            # Part by part, as the n-grams of many words take many times their memory.
+            parts = [self.word_scores(spelled[low : low + SCORED_WORDS]) for low in range(0, len(spelled), SCORED_WORDS)]
+            return tuple(np.concatenate(arrays) for arrays in zip(*parts, strict=True))
         n, size = len(spelled), len(self.languages)
         owners, buckets, script = grams(spelled)
         scores = np.column_stack(

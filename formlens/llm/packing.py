@@ -89,7 +89,7 @@ def pack_documents(
         encode = word_ids(vocabulary).encode
         windows = _Windows(TaskContext.get().partitionId(), capacity, piece, group, end_id)
         for batch in batches:
-            for part in text_slices(batch, 2000):
+            for part in text_slices(batch, 1000):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     windows.add(doc_id, ids)
                 yield windows.rows()

@@ -55,7 +55,7 @@ def _bucket(word: str) -> int:
 def features(texts: pa.Array, n_chars: np.ndarray) -> Features:
     """Hashed words with damped counts of unit length, and statistics of structure and metadata."""
     n = len(texts)
-    buckets = per_process("quality buckets", lambda: Memory(_bucket, 300_000))
+    buckets = per_process("quality buckets", lambda: Memory(_bucket, 200_000))
     pieces, ends = latin_pieces(texts)
     coded = pieces.dictionary_encode()
     known = np.array([buckets[word] for word in coded.dictionary.to_pylist()], dtype=np.int64)

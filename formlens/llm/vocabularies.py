@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from formlens.functions.process import per_process
 
@@ -155,7 +155,7 @@ class WordIds:
     tokenizer; texts with special strings go to it whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 120_000):
         self.tokenizer = load(path)
         self.special = special_strings(self.tokenizer)
         words = self.tokenizer.get_vocab()
@@ -163,8 +163,7 @@ class WordIds:
         self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
         self.pieces = Memory(self._whole, limit)
         # For words that are cut and in lower case already.
-        self.words = _load(path)
-        self.words.normalizer = normalizers.Sequence([])
+        self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
