@@ -155,7 +155,7 @@ class WordIds:
     tokenizer; texts with special strings go to it whole.
     """
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.tokenizer = load(path)
         self.special = special_strings(self.tokenizer)
         words = self.tokenizer.get_vocab()
