@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,9 +20,13 @@ MAX_EDITS = 0.2
 RECALL = 0.9
 LONG = 32
 TABLES_PER_WALK = 8
+MOST_WALKS = 64
+BAND = 1.15
+BAND_TRIALS = 512
 BLOCK_BYTES = 8 << 20
 CHUNK_WINDOWS = 32_768
 CHUNK_CANDIDATES = 2_048
+EXACT_STEP = 256
 GAP, SPACE = 0, 32
 
 _KEPT = {*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256), GAP}
@@ -30,7 +35,7 @@ FOLD = bytes(code if code in _KEPT else SPACE for code in range(256))
 
 def folded(text: str) -> bytes:
     """Lower case; runs of ASCII other than letters and digits are one space."""
-    return b" ".join(text.lower().encode("utf-8", "surrogatepass").replace(b"\0", b" ").translate(FOLD).split(b" "))
+    return re.sub(rb" +", b" ", text.lower().encode("utf-8", "surrogatepass").replace(b"\0", b" ").translate(FOLD))
 
 
 def folded_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +166,13 @@ class Walk:
 
 @dataclass
 class ItemClass:
-    """Items that are searched with one set of walks."""
+    """Items that are searched with one set of walks, and those that walks do not find: they meet whole texts."""
 
     cell: int
     walks: list[Walk]
     items: np.ndarray
     offsets: np.ndarray
+    exact: list[int] = field(default_factory=list)
 
 
 class ItemIndex:
@@ -184,7 +190,7 @@ class ItemIndex:
             self._add_class(np.flatnonzero(sizes == size), size, max_edits, recall, seed)
 
     def _add_class(self, members: np.ndarray, size: int, max_edits: float, recall: float, seed: int) -> None:
-        """Walks for items of ``size`` bytes or more: as many as find ``recall`` of edited sample items."""
+        """Walks for items of ``size`` bytes or more: as many as find ``recall`` of edited samples in every band of lengths."""
         n_steps = max(1, 3 * size // 2)
         data, starts, owners, offsets = [], [], [], []
         at = 0
@@ -199,29 +205,45 @@ class ItemIndex:
             at += len(item) + 1
         data = np.concatenate((*data, np.zeros(n_steps))).astype(np.uint8)
         starts, owners, offsets = np.concatenate(starts), np.concatenate(owners), np.concatenate(offsets)
-        # Unrelated windows of one language agree in up to one of four symbols that a table samples; with
-        # so many symbols a window meets a wrong item window about once in 100,000 times.
-        n_symbols = int(np.ceil(np.log(1e5 * len(starts)) / np.log(4.3)))
-        mark_bits = int(np.clip(np.ceil(np.log2(64 * len(starts))), 10, 24))
         found = ItemClass(size // 2 if size == LONG else 1, [], owners, offsets)
         self.classes.append(found)
-        trials = self._edited(members, max_edits, seed)
-        missed = list(range(len(trials)))
-        while not found.walks or len(missed) > (1 - recall) * len(trials):
-            if len(found.walks) == 64:
-                break
-            walk = Walk.drawn(seed * 1000 + 64 * len(self.classes) + len(found.walks), n_steps, n_symbols)
-            walk.index(data, starts, np.arange(len(starts)), mark_bits)
+        # Long items have more windows than short ones, so every narrow band of lengths has trials of its own;
+        # of short items every length, as one byte more may allow one edit more.
+        lengths = np.array([len(self.items[member]) for member in members.tolist()])
+        bands = lengths if size < LONG else np.floor(np.log(lengths / lengths.min()) / np.log(BAND)).astype(np.int64)
+        band_of = np.full(len(self.items), -1)
+        band_of[members] = bands
+        pending = np.unique(bands).tolist()
+        trials = {band: self._edited(members[bands == band], max_edits, seed + band) for band in pending}
+        missed = {band: list(range(len(trials[band]))) for band in pending}
+        useful = 0
+        while pending and len(found.walks) < MOST_WALKS:
+            # Later walks hold the items of the bands that still need them.
+            windows = np.flatnonzero(np.isin(band_of[owners], pending))
+            # Unrelated windows of one language agree in up to one of four symbols that a table samples; with
+            # so many symbols a window meets a wrong item window about once in 100,000 times.
+            n_symbols = int(np.ceil(np.log(1e5 * len(windows)) / np.log(4.3)))
+            mark_bits = int(np.clip(np.ceil(np.log2(64 * len(windows))), 10, 24))
+            walk = Walk.drawn(seed * 100_000 + 1_000 * len(self.classes) + len(found.walks), n_steps, n_symbols)
+            walk.index(data, starts[windows], windows, mark_bits)
             found.walks.append(walk)
-            hits = self._hit([trials[trial][1] for trial in missed], found, [walk])
-            missed = [trial for k, trial in enumerate(missed) if (k, trials[trial][0]) not in hits]
+            for band in list(pending):
+                hits = self._hit([trials[band][trial][1] for trial in missed[band]], found, [walk])
+                missed[band] = [trial for k, trial in enumerate(missed[band]) if (k, trials[band][trial][0]) not in hits]
+                # Two standard errors above the target, as walks stop at the first number that passes.
+                share = 1 - len(missed[band]) / len(trials[band])
+                if share >= min(1.0, recall + 2 * (recall * (1 - recall) / len(trials[band])) ** 0.5):
+                    pending.remove(band)
+                    useful = len(found.walks)
+        found.exact = members[np.isin(bands, pending)].tolist()
+        del found.walks[useful:]
 
     def _edited(self, members: np.ndarray, max_edits: float, seed: int) -> list[tuple[int, bytes]]:
-        """Up to 256 sample items with as many random edits as allowed, at different distances into a text."""
+        """Sample items with as many random edits as allowed, at different distances into a text."""
         draw = np.random.default_rng(seed)
         trials = []
         letters = np.frombuffer(b"etaoinshrdlu ", dtype=np.uint8)
-        for member in draw.choice(members, min(256, 4 * len(members)), replace=True).tolist():
+        for member in draw.choice(members, BAND_TRIALS, replace=True).tolist():
             text = list(self.items[member])
             for _ in range(self.most[member]):
                 place, kind = int(draw.integers(0, max(1, len(text)))), int(draw.integers(0, 3))
@@ -283,6 +305,22 @@ class ItemIndex:
                 near = least_edits(table, sizes, regions) <= most
                 yield from set(zip(texts[near].tolist(), items[near].tolist(), strict=True))
 
+    def _whole(self, data: np.ndarray, bounds: np.ndarray, item: int) -> Iterator[tuple[int, int]]:
+        """Text and item for every text that holds the item, by its edit distance from all parts of all texts."""
+        size, most = len(self.items[item]), self.most[item]
+        n_cells = -(-(bounds[1:] - 1 - bounds[:-1]) // EXACT_STEP)
+        texts = np.repeat(np.arange(len(n_cells)), n_cells)
+        starts = bounds[texts] + EXACT_STEP * (np.arange(len(texts)) - np.repeat(np.cumsum(n_cells) - n_cells, n_cells))
+        stops = np.minimum(bounds[texts + 1] - 1, starts + EXACT_STEP + size + most)
+        masks = symbol_masks(self.items[item])
+        steps = np.arange(EXACT_STEP + size + most)[:, None]
+        for low in range(0, len(texts), CHUNK_CANDIDATES):
+            part, ends = starts[low : low + CHUNK_CANDIDATES], stops[low : low + CHUNK_CANDIDATES]
+            regions = np.where(part + steps < ends, data[np.minimum(part + steps, len(data) - 1)], GAP)
+            table = np.broadcast_to(masks, (len(part), *masks.shape))
+            near = least_edits(table, np.full(len(part), size), regions) <= most
+            yield from ((text, item) for text in set(texts[low : low + CHUNK_CANDIDATES][near].tolist()))
+
     def search(self, texts: list[str]) -> list[list[int]]:
         """For every text the ids of the items it holds, each once, in order."""
         data, bounds = folded_batch(texts)
@@ -290,6 +328,9 @@ class ItemIndex:
         for found in self.classes:
             for text, item in self._search(data, bounds, found, found.walks):
                 held[text].add(self.ids[item])
+            for exact in found.exact:
+                for text, item in self._whole(data, bounds, exact):
+                    held[text].add(self.ids[item])
         return [sorted(ids) for ids in held]
 
 
@@ -320,7 +361,8 @@ def find_items(
     cell of 16 bytes of a text (at every word if items are shorter than 64) and at every word of an item; a random-walk embedding turns edits into
     few differing places, and windows that agree in a table of sampled places are candidates, which
     are checked by exact edit distance. Walks with tables are added until ``recall`` of sample items,
-    each with as many edits as allowed, are found. Unedited items whose words have up to 16 bytes are
+    each with as many edits as allowed, are found in every narrow band of item lengths; items of bands
+    that 64 walks do not bring there meet all parts of all texts. Unedited items whose words have up to 16 bytes are
     always found.
 
     Items are taken in blocks of ``block_bytes``, each scanning the documents once without a shuffle.

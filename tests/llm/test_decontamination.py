@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from formlens.llm.decontamination import ItemIndex, find_items, folded, least_edits, symbol_masks
+from formlens.llm.decontamination import ItemIndex, find_items, folded, folded_batch, least_edits, symbol_masks
 
 WORDS = [a + b + c for a in ("th", "er", "on", "sta", "re", "in") for b in ("an", "ou", "ti", "es", "ly") for c in ("", "n", "re", "sh")]
 
@@ -143,3 +143,39 @@ def test_items_of_any_length_and_script_are_found():
     index = ItemIndex(list(range(len(items))), items, 0.2, 0.9)
     found = index.search(texts)
     assert all(k // 20 in found[k] for k in range(20 * len(items))) and len(items) - 1 in found[-1]
+
+
+def test_recall_in_every_band_of_lengths():
+    rng = random.Random(21)
+
+    def item(low, high):
+        text = prose(rng, 1)
+        while len(text) < low:
+            text += " " + rng.choice(WORDS)
+        return folded(text).decode().strip() if len(text) <= high else item(low, high)
+
+    for short, long in (((64, 110), (300, 400)), ((20, 22), (27, 31)), ((6, 7), (6, 7))):
+        items = [item(*short) for _ in range(30)] + [item(*long) for _ in range(70)]
+        index = ItemIndex(list(range(len(items))), items, 0.2, 0.9)
+        tried = [k for k in range(30) for _ in range(20)]
+        texts = [f"{prose(rng, rng.randint(1, 9))} {edited(rng, items[k], len(items[k]) // 5)} {prose(rng, 9)}" for k in tried]
+        found = [k in ids for k, ids in zip(tried, index.search(texts), strict=True)]
+        assert np.mean(found) >= 0.88, short
+
+
+def test_items_that_walks_miss_meet_whole_texts():
+    items = ["stan", "rely", "theses", "station"]
+    index = ItemIndex([0, 1, 2, 3], items, 0.2, 0.9)
+    index.classes[0].exact = list(range(4))
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("stanrelyhi ", k=rng.randint(0, 700))) for _ in range(60)] + ["", "thses" + " x" * 600 + " statio"]
+    want = [[k for k, item in enumerate(items) if within_edits(item.encode(), folded(text), len(item) // 5)] for text in texts]
+    index.classes = index.classes[:1]
+    index.classes[0].walks = []
+    assert index.search(texts) == want
+
+
+def test_items_are_folded_as_texts_are():
+    for text in ("One, two; three... and -- four!", " (a)  b\t\n c", "", "?!", "x\0y, z"):
+        data, bounds = folded_batch([text])
+        assert bytes(data[: bounds[1] - 1]) == folded(text)
