@@ -30,6 +30,10 @@ EXACT_STEP = 256
 GAP, SPACE = 0, 32
 
 _KEPT = {*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(128, 256), GAP}
+# By first byte (0xE0, 0xE1) and second byte: whether the script has no spaces.
+UNSPACED = np.zeros((2, 256), dtype=bool)
+UNSPACED[0, 0xB8:] = True
+UNSPACED[1, [0x80, 0x81, 0x82, 0x9E, 0x9F, *range(0xA5, 0xAB)]] = True
 FOLD = bytes(code if code in _KEPT else SPACE for code in range(256))
 
 
@@ -49,9 +53,16 @@ def folded_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
-    """Where words begin; in scripts without spaces (first byte 0xE3 or more) every character is one."""
+    """Where words begin; in scripts without spaces every character is one.
+
+    These are first bytes of 0xE3 or more, 0xE0 before 0xB8 or more (Thai, Lao, Tibetan), and 0xE1 before
+    0x80 to 0x82 (Burmese), 0x9E and 0x9F (Khmer) or 0xA5 to 0xAA (scripts of the Tai, Khmer signs).
+    """
     inside = (data != SPACE) & (data != GAP)
-    inside[1:] &= (data[:-1] == SPACE) | (data[:-1] == GAP) | (data[1:] >= 0xE3)
+    unspaced = data >= 0xE3
+    at = np.flatnonzero((data[:-1] == 0xE0) | (data[:-1] == 0xE1))
+    unspaced[at] = UNSPACED[data[at] - 0xE0, data[at + 1]]
+    inside[1:] &= (data[:-1] == SPACE) | (data[:-1] == GAP) | unspaced[1:]
     return np.flatnonzero(inside)
 
 
@@ -357,9 +368,11 @@ def find_items(
 
     An item ``(item_id, text)`` is held if some part of the text is at most ``max_edits`` times the
     item's length (rounded down, in bytes) away from it, both in lower case with everything but
-    letters and digits folded to single spaces. Windows of an item's size begin at a word in every
-    cell of 16 bytes of a text (at every word if items are shorter than 64) and at every word of an item; a random-walk embedding turns edits into
-    few differing places, and windows that agree in a table of sampled places are candidates, which
+    letters and digits folded to single spaces. Windows begin at a word in every cell of 16 bytes of a
+    text (at every word if items are shorter than 64) and at every word of an item. They are seeds of 32 bytes
+    (of a quarter to half the item if it is shorter than 64), not of an item's size: in a window as long as the
+    item, a fifth of edits leaves no sampled table whole, while some of many short ones have few edits. A
+    random-walk embedding turns edits into few differing places, and windows that agree in a table of sampled places are candidates, which
     are checked by exact edit distance. Walks with tables are added until ``recall`` of sample items,
     each with as many edits as allowed, are found in every narrow band of item lengths; items of bands
     that 64 walks do not bring there meet all parts of all texts. Unedited items whose words have up to 16 bytes are

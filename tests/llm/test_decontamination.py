@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from formlens.llm.decontamination import ItemIndex, find_items, folded, folded_batch, least_edits, symbol_masks
+from formlens.llm.decontamination import ItemIndex, find_items, folded, folded_batch, least_edits, symbol_masks, word_starts
 
 WORDS = [a + b + c for a in ("th", "er", "on", "sta", "re", "in") for b in ("an", "ou", "ti", "es", "ly") for c in ("", "n", "re", "sh")]
 
@@ -179,3 +179,14 @@ def test_items_are_folded_as_texts_are():
     for text in ("One, two; three... and -- four!", " (a)  b\t\n c", "", "?!", "x\0y, z"):
         data, bounds = folded_batch([text])
         assert bytes(data[: bounds[1] - 1]) == folded(text)
+
+
+@pytest.mark.parametrize("first, last", [(0xE01, 0xE2E), (0xE81, 0xEAE), (0xF40, 0xF6C), (0x1000, 0x1021), (0x1780, 0x17A2)])
+def test_items_inside_runs_of_unspaced_scripts(first, last):
+    rng = random.Random(first)
+    run = "".join(map(chr, range(first, last + 1)))
+    assert len(word_starts(np.frombuffer(run.encode(), dtype=np.uint8))) == len(run)
+    items = ["".join(chr(rng.randint(first, last)) for _ in range(rng.randint(25, 60))) for _ in range(10)]
+    texts = ["".join(chr(rng.randint(first, last)) for _ in range(rng.randint(1, 40))) + item + chr(first) * 9 for item in items]
+    found = ItemIndex(list(range(10)), items, 0.2, 0.9).search(texts)
+    assert all(k in ids for k, ids in enumerate(found))
