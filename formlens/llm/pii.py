@@ -22,6 +22,8 @@ ROUNDS = 8
 DAMPING = 0.3
 CERTAIN = 0.9
 AGREEMENT = 4.0
+# Labels of what is often written in groups of digits: cards and phones.
+GROUPED = {3, 4}
 SLICE_ROWS = 1_000
 
 # Patterns of the contract.
@@ -33,7 +35,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # What may be a part of an entity: it holds a digit or an at sign. All else is none for sure.
-CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*")
+CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 CONTEXT = re.compile(r"[A-Za-z]+[^A-Za-z0-9]*\Z")
 EDGES = ".,;:!?\"'()[]{}<>=*#%&$"
 
@@ -284,10 +286,8 @@ def plausible(kind: int, token: str) -> bool:
 def all_spans(texts: list[str], field: SkipChainField) -> tuple[list, list]:
     """Base spans and added spans of every text, by kind."""
     base = [base_spans(text) for text in texts]
-    busy = [row for row, text in enumerate(texts) if any(base[row])]
     added: list[list[list[tuple[int, int]]]] = [[[] for _ in KINDS] for _ in texts]
-    # Without anything the patterns found there is nothing to be consistent with.
-    graph = build_graph([texts[row] for row in busy], [base[row] for row in busy])
+    graph = build_graph(texts, base)
     if len(graph.texts):
         chances = field.chances(graph)
         label = chances.argmax(axis=1)
@@ -297,15 +297,68 @@ def all_spans(texts: list[str], field: SkipChainField) -> tuple[list, list]:
             alike = label[a] == label[b]
             np.logical_or.at(linked, a[alike], True)
             np.logical_or.at(linked, b[alike], True)
-        for node in np.flatnonzero((label > 0) & (graph.observed == 0) & (chances.max(axis=1) >= CERTAIN) & linked).tolist():
-            row, kind = busy[graph.texts[node]], int(label[node])
-            token = texts[row][graph.starts[node] : graph.stops[node]]
-            if plausible(kind, token):
-                start = graph.starts[node] + len(token) - len(token.lstrip(EDGES))
-                added[row][kind - 1].append((start, graph.stops[node] - (len(token) - len(token.rstrip(EDGES)))))
+        sure = np.flatnonzero((label > 0) & (graph.observed == 0) & (chances.max(axis=1) >= CERTAIN)).tolist()
+        for run in runs(graph, texts, sure, label):
+            text, kind = texts[graph.texts[run[0]]], int(label[run[0]])
+            tokens = [(graph.starts[node], graph.stops[node]) for node in run]
+            for first, stop in segments(kind, text, tokens):
+                if linked[run[first:stop]].any():
+                    start, end = tokens[first][0], tokens[stop - 1][1]
+                    span = text[start:end]
+                    start += len(span) - len(span.lstrip(EDGES))
+                    added[graph.texts[run[0]]][kind - 1].append((start, end - (len(span) - len(span.rstrip(EDGES)))))
     return base, added
 
 
+def runs(graph: Graph, texts: list[str], nodes: list[int], label: np.ndarray) -> Iterator[list[int]]:
+    """Cards and phones: the tokens of one label with one space in between, and no mark that ends a phrase. Others: each token."""
+    run: list[int] = []
+    for node in nodes:
+        text = texts[graph.texts[node]]
+        follows = (
+            run and run[-1] == node - 1 and label[run[-1]] == label[node] and label[node] in GROUPED
+            and graph.texts[run[-1]] == graph.texts[node] and text[graph.stops[run[-1]] : graph.starts[node]] == " "
+            and text[graph.stops[run[-1]] - 1] not in ",.;:!?"
+        )
+        if run and not follows:
+            yield run
+            run = []
+        run.append(node)
+    if run:
+        yield run
+
+
+def segments(kind: int, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run of tokens, as first and stop, that have the makings of their kind.
+
+    Tokens that all have them alone stay alone. Otherwise as many tokens as possible are in some part,
+    in as few parts as possible, of digits as even as possible.
+    """
+    n = len(tokens)
+    if all(plausible(kind, text[start:stop]) for start, stop in tokens):
+        return [(k, k + 1) for k in range(n)]
+    # By the number of tokens so far: tokens left out, parts, unevenness; and where the last part begins.
+    best: list[tuple[tuple[int, int, int], int]] = [((0, 0, 0), 0)]
+    for stop in range(1, n + 1):
+        (out, parts, uneven), _ = best[stop - 1]
+        options = [((out + 1, parts, uneven), stop)]
+        # Every token has a digit, so a part has no more tokens than the most digits of a kind.
+        for first in range(max(0, stop - 19), stop):
+            span = text[tokens[first][0] : tokens[stop - 1][1]]
+            if plausible(kind, span):
+                (out, parts, uneven), _ = best[first]
+                size = len(NOT_DIGITS.sub("", span))
+                options.append(((out, parts + 1, uneven + size * size), first))
+        best.append(min(options))
+    chosen, stop = [], n
+    while stop:
+        first = best[stop][1]
+        if first < stop:
+            chosen.append((first, stop))
+        stop = min(first, stop - 1)
+    return chosen[::-1]
+
+
 def joined(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, found in zip(KINDS, spans, strict=True) for a, b in sorted(found))
 
@@ -355,7 +408,9 @@ def find_personal_data(docs: DataFrame, field: SkipChainField) -> DataFrame:
     list. Tokens that hold a digit or an at sign and touch no such span may be added: the field labels
     them together with their neighbours and with the same or similar tokens anywhere in the document,
     whose potentials pull them to one label. A token is added if its label is at least 0.9 certain, an
-    alike token agrees, and it has the makings of its kind. ``spans`` lists all of them as
+    alike token agrees, and it has the makings of its kind. Tokens of a card or phone written in groups
+    (one space in between) are one span, which needs the makings as a whole and one token with an alike
+    one. Documents without any pattern match are labelled, too. ``spans`` lists all of them as
     ``kind:start:end`` by kind and start, in code points, and ``n_added`` counts the added ones.
 
     Null texts are empty and have no spans (the SHA-256 of the empty string). Null and repeated ids and

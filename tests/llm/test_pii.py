@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from formlens.llm.pii import CARD, EMAIL, IP, PHONE, Graph, SkipChainField, all_spans, base_spans, find_personal_data, joined, passes_luhn, train
+from formlens.llm.pii import CARD, EMAIL, IP, PHONE, Graph, SkipChainField, all_spans, base_spans, find_personal_data, joined, passes_luhn, segments, train
 
 
 def plain_spans(text):
@@ -99,3 +99,36 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_email, r.spans) for r in find_personal_data(docs, train(docs)).collect())
     assert got == [(0, 1, "email:0:6"), (1, 0, ""), (2, 0, ""), (3, 0, ""), (3, 0, ""), (4, 1, "email:120000:120006")]
     assert find_personal_data(docs.limit(0), SkipChainField()).count() == 0
+
+
+def test_groups_of_digits_are_one_span(field):
+    text = "call +49 170 765 4321 today or later 170 765 4321 or again 170 765 4321 thanks"
+    base, added = all_spans([text], field)
+    assert len(base[0][3]) == 1 and [text[a:b] for a, b in added[0][3]] == ["170 765 4321"] * 2
+
+
+def test_runs_are_joined_if_the_whole_is_plausible():
+    def parts(kind, text):
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        return [text[tokens[a][0] : tokens[b - 1][1]] for a, b in segments(kind, text, tokens)]
+
+    assert parts(3, "4111 1111 1111 1112") == ["4111 1111 1111 1112"]
+    assert parts(3, "4111 1111 1111 1112 4111 1111 1111 1113") == ["4111 1111 1111 1112", "4111 1111 1111 1113"]
+    assert parts(4, "030 1234567") == ["030 1234567"]
+    assert parts(4, "7654321 7654321") == ["7654321", "7654321"]
+    assert parts(4, "170 765 4321 170 765 4321") == ["170 765 4321"] * 2
+    assert parts(4, "12 34") == []
+
+
+class Sure(SkipChainField):
+    """Every token with a digit is a phone, for sure."""
+
+    def chances(self, graph):
+        return np.eye(5)[np.full(len(graph.observed), 4)]
+
+
+def test_documents_without_patterns_are_labelled():
+    texts = ["first 170 765 4321, then 170 765 4321", "first 170\n765 4321, 170 765", "no digits"]
+    base, added = all_spans(texts, Sure())
+    assert not any(base[0]) and [texts[0][a:b] for a, b in added[0][3]] == ["170 765 4321"] * 2
+    assert [texts[1][a:b] for a, b in added[1][3]] == ["765 4321"] and not any(added[2])
