@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """The spans of every kind: leftmost matches that don't overlap; those failing the check are dropped."""
     found: list[list[tuple[int, int]]] = [list(emails(text)), [], [], []]
     for match in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match.group().split(".")):
+        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in match.group().split(".")):
             found[1].append(match.span())
     for match in CARD.finditer(text):
         digits = NOT_DIGITS.sub("", match.group())

@@ -132,3 +132,8 @@ def test_documents_without_patterns_are_labelled():
     base, added = all_spans(texts, Sure())
     assert not any(base[0]) and [texts[0][a:b] for a, b in added[0][3]] == ["170 765 4321"] * 2
     assert [texts[1][a:b] for a, b in added[1][3]] == ["765 4321"] and not any(added[2])
+
+
+def test_parts_of_very_many_zeros():
+    text = "0" * 5000 + ".1.1.1 " + "0" * 5000 + "256.1.1.1"
+    assert base_spans(text)[1] == [(0, 5006)]
