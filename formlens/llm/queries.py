@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm import language, pii, quality
+from formlens.llm.common import stored
 from formlens.llm.decontamination import find_items
 from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.packing import pack_documents
+from formlens.llm.prefix_trie import numbered_turns, prefix_trie, shared_heads
 from formlens.llm.simhash import near_duplicates
 from formlens.llm.token_counts import count_tokens
 from formlens.llm.vector_dedup import near_vectors
@@ -177,3 +179,58 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
     n_items = F.size("items_found")
     return found.select("doc_id", (n_items > 0).alias("contaminated"), n_items.alias("n_items"), "items_found")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct sequence of first turns of the conversations, with totals of its subtree."""
+    turns = stored(numbered_turns(table(spark, folder, "conversations")), "turns")
+    return prefix_trie(*shared_heads(turns))
+
+
+# A node is its smallest member and depth; prefixes are compared as lists, and the nodes above a node are prefixes of that member.
+SQL["op11_prefix_trie"] = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+    FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (
+    SELECT conv_id, count(*) AS size,
+           xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, 1 + len(conv_id::VARCHAR)),
+               lambda p: ascii(substr(conv_id::VARCHAR, p::INT, 1))::BIGINT)),
+               lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+                   lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) % 9 AS h
+    FROM turns GROUP BY conv_id
+), heads AS (
+    SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS head, c.h, least(c.h, coalesce(b.size, 0)) AS taken,
+           least(c.h, coalesce(b.size, 0)) + greatest(c.size - c.h, 0) AS total
+    FROM sizes c LEFT JOIN sizes b ON b.conv_id = c.conv_id - c.conv_id % 5
+), rebuilt AS (
+    SELECT h.conv_id, t.n AS depth, t.role, t.text, h.total FROM heads h JOIN turns t ON t.conv_id = h.head AND t.n <= h.taken
+    UNION ALL
+    SELECT h.conv_id, h.taken + t.n - h.h, t.role, t.text, h.total FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.n > h.h
+), prefixes AS (
+    SELECT conv_id, depth, total, strlen(text) AS n_bytes,
+           list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, total, 0, [] FROM heads
+), named AS (
+    SELECT *, min(conv_id) OVER (PARTITION BY prefix) AS least FROM prefixes
+), nodes AS (
+    SELECT least, depth, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = total), '')) AS ends_sha256
+    FROM named GROUP BY least, depth
+), edges AS (
+    SELECT n.*, p.least AS parent FROM nodes n LEFT JOIN named p ON p.conv_id = n.least AND p.depth = n.depth - 1
+), children AS (
+    SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM edges WHERE depth > 0 GROUP BY ALL
+), whole AS (
+    SELECT e.*, coalesce(c.n_children, 0) AS n_children
+    FROM edges e LEFT JOIN children c ON c.parent = e.least AND c.depth = e.depth
+), totals AS (
+    SELECT a.least, a.depth, sum((w.n_children = 0)::INT) AS n_leaves, sum((w.n_convs - 1) * w.n_bytes) AS saved_tokens
+    FROM whole w JOIN named a ON a.conv_id = w.least AND a.depth <= w.depth GROUP BY ALL
+)
+SELECT w.least AS conv_id, w.depth::BIGINT AS depth, w.parent AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children,
+       t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN totals t ON t.least = w.least AND t.depth = w.depth"""
