@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.sources.tables import stored
 
-__all__ = ["bounded_batches", "components", "fresh_name", "sampled", "stored", "text_slices", "texts_of"]
+__all__ = [
+    "bit_map", "bit_words", "bounded_batches", "components", "fresh_name", "in_bit_map", "may_hold", "sampled", "stored", "text_slices",
+    "texts_of",
+]
 
 BATCH_BYTES = 4 << 20
+MAP_BITS = 25
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -74,3 +79,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def bit_map(keys: DataFrame, name: str) -> DataFrame:
+    """``(word, bits)``: a bit per key, by the first 25 bits of the hash ``name``; at most 2^19 rows, 4 MiB of bits.
+
+    Keys share bits, so a set bit says that a key *may* be among them; what it lets pass must be
+    told apart by an exact step. The size does not grow with the keys.
+    """
+    slot = F.shiftrightunsigned(name, 64 - MAP_BITS)
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{name}`, {64 - MAP_BITS}) & 63 AS INT))")
+    return keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def may_hold(frame: DataFrame, name: str, words: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose hash ``name`` has its bit set; the map's bounded size is broadcast."""
+    word, bits = fresh_name(frame, "word"), fresh_name(frame, "bits")
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    keyed = frame.join(F.broadcast(words), F.shiftrightunsigned(name, 70 - MAP_BITS) == F.col(word))
+    bit = F.expr(f"shiftrightunsigned(`{bits}`, CAST(shiftrightunsigned(`{name}`, {64 - MAP_BITS}) & 63 AS INT)) & 1")
+    return keyed.filter(bit == 1).drop(word, bits)
+
+
+def bit_words(words: DataFrame) -> np.ndarray:
+    """The map as an array for Python tasks."""
+    rows = words.toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return bits
+
+
+def in_bit_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)

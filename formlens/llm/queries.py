@@ -14,6 +14,7 @@ from formlens.llm.line_dedup import dedup_lines
 from formlens.llm.packing import pack_documents
 from formlens.llm.prefix_trie import numbered_turns, prefix_trie, shared_heads
 from formlens.llm.simhash import near_duplicates
+from formlens.llm.suffix_dedup import remove_repeats
 from formlens.llm.token_counts import count_tokens
 from formlens.llm.vector_dedup import near_vectors
 from formlens.llm.warc import archive_pages
@@ -234,3 +235,45 @@ WITH turns AS (
 SELECT w.least AS conv_id, w.depth::BIGINT AS depth, w.parent AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children,
        t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
 FROM whole w JOIN totals t ON t.least = w.least AND t.depth = w.depth"""
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document keeps without the bytes of 100-byte strings that start earlier, too."""
+    result = remove_repeats(table(spark, folder, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, run: total + run["stop"] - run["start"])
+    return result.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+# Every string of 100 bytes, grouped; later starts in one run as long as their strings touch.
+SQL["op13_suffix_dedup"] = """
+WITH texts AS (
+    SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+    SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS s FROM texts
+), strings AS (
+    SELECT doc_id, s, min(struct_pack(d := doc_id, s := s)) OVER (PARTITION BY array_slice(b, s + 1, s + 100)) AS first FROM starts
+), later AS (
+    SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1) AS begins
+    FROM strings WHERE first <> struct_pack(d := doc_id, s := s)
+), numbered AS (
+    SELECT doc_id, s, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later
+), runs AS (
+    SELECT doc_id, min(s) AS start, max(s) + 100 AS stop, lag(max(s) + 100, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS upto
+    FROM numbered GROUP BY doc_id, run
+), cut AS (
+    SELECT t.doc_id, count(*) AS n_spans, sum(r.stop - r.start) AS n_removed,
+           unhex(coalesce(string_agg(hex(array_slice(t.b, r.upto + 1, r.start)), '' ORDER BY r.start) FILTER (r.start > r.upto), '')
+                 || CASE WHEN max(r.stop) < octet_length(any_value(t.b))
+                         THEN hex(array_slice(any_value(t.b), max(r.stop) + 1, octet_length(any_value(t.b)))) ELSE '' END) AS kept
+    FROM texts t JOIN runs r USING (doc_id) GROUP BY t.doc_id
+)
+SELECT t.doc_id, octet_length(t.b)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(c.n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(c.kept, t.b)) AS kept_sha256
+FROM texts t LEFT JOIN cut c USING (doc_id)"""
