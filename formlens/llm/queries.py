@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.llm import language, pii, quality
+from formlens.llm.collocations import collocations
 from formlens.llm.common import stored
 from formlens.llm.decontamination import find_items
 from formlens.llm.line_dedup import dedup_lines
@@ -237,6 +238,50 @@ SELECT w.least AS conv_id, w.depth::BIGINT AS depth, w.parent AS parent_conv_id,
 FROM whole w JOIN totals t ON t.least = w.least AND t.depth = w.depth"""
 
 
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of two to four words of every language."""
+    return collocations(table(spark, folder, "documents"))
+
+
+# Every phrase of one to four words, spelled and counted.
+SQL["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+    FROM documents
+), parts AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS words FROM pieces
+), phrases AS (
+    SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase
+    FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM parts, range(1, 5) t(k))
+), f AS (
+    SELECT lang, k, phrase, count(*) AS a FROM phrases GROUP BY ALL
+), candidates AS (
+    SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND a >= 30
+), inside AS (
+    SELECT DISTINCT c.lang, array_to_string(list_slice(c.words, i, i + m - 1), ' ') AS phrase, c.a
+    FROM (SELECT c.*, m, unnest(range(1, k - m + 2)) AS i FROM candidates c, range(2, 4) t(m) WHERE m < k) c
+), longer AS (
+    SELECT lang, phrase, max(a) AS a FROM inside GROUP BY ALL
+), kept AS (
+    SELECT c.* FROM candidates c LEFT JOIN longer o USING (lang, phrase)
+    WHERE o.a IS NULL OR 100 * o.a::HUGEINT < 80 * c.a::HUGEINT
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, i, l.a AS l, r.a AS r, (2000000 * c.a::HUGEINT // (l.a + r.a))::BIGINT AS score
+    FROM (SELECT kept.*, unnest(range(1, k)) AS i FROM kept) c
+    JOIN f l ON l.lang = c.lang AND l.k = c.i AND l.phrase = array_to_string(list_slice(c.words, 1, c.i), ' ')
+    JOIN f r ON r.lang = c.lang AND r.k = c.k - c.i AND r.phrase = array_to_string(list_slice(c.words, c.i + 1, c.k), ' ')
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
+), n AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
 @query
 def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What every document keeps without the bytes of 100-byte strings that start earlier, too."""
@@ -256,12 +301,12 @@ SQL["op13_suffix_dedup"] = """
 WITH texts AS (
     SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
 ), starts AS (
-    SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS s FROM texts
-), strings AS (
-    SELECT doc_id, s, min(struct_pack(d := doc_id, s := s)) OVER (PARTITION BY array_slice(b, s + 1, s + 100)) AS first FROM starts
+    SELECT doc_id, s, array_slice(b, s + 1, s + 100) AS string FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS s FROM texts)
+), firsts AS (
+    SELECT string, min(struct_pack(d := doc_id, s := s)) AS first FROM starts GROUP BY string HAVING count(*) > 1
 ), later AS (
     SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1) AS begins
-    FROM strings WHERE first <> struct_pack(d := doc_id, s := s)
+    FROM starts JOIN firsts USING (string) WHERE first <> struct_pack(d := doc_id, s := s)
 ), numbered AS (
     SELECT doc_id, s, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later
 ), runs AS (
