@@ -108,8 +108,10 @@ def first_bundles(batch: pa.RecordBatch, length: int) -> Iterator[dict[str, np.n
         n = np.minimum(np.append(begins[1:], len(anchor)), offsets[row + 1] - length + 1 - low) - begins
         offset = anchor[begins] - begins
         extent = joined(run_hashes(grams, begins, n + length - 1, length), offset.astype(np.uint64))
+        # Least hashes are small numbers; the core must be spread over all of them.
+        core = mixed(grams[anchor[begins]])
         yield {
-            "row": row, "core": grams[anchor[begins]].view(np.int64), "extent": extent.view(np.int64),
+            "row": row, "core": core.view(np.int64), "extent": extent.view(np.int64),
             "start": begins + low - offsets[row], "n": n, "offset": offset,
         }
 
