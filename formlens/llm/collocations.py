@@ -31,7 +31,7 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 
 SEGMENT_BYTES = 1 << 20
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 21
 HELD_WORDS = 200_000
 HELD_WORD_BYTES = 64
 SAMPLED_DOCS = 20_000
@@ -129,28 +129,31 @@ def grams(words: np.ndarray) -> list[np.ndarray]:
 
 
 def summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows added up, as far as they meet in the order of a hash of theirs."""
+    """Equal rows added up, as far as they meet in the order of a hash of theirs.
+
+    They come out by their outer words, so that what a shuffle compresses together is alike.
+    """
     order = np.argsort(_hash_long(rows[0] ^ _turned(rows[2], 17), rows[1]))
     rows = rows[:, order]
     begins = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
-    return rows[:, begins], np.diff(np.append(begins, rows.shape[1]))
+    rows, n = rows[:, begins], np.diff(np.append(begins, rows.shape[1]))
+    order = np.argsort((rows[0] >> np.uint64(32) << np.uint64(32)) | (rows[2] >> np.uint64(32)))
+    return rows[:, order], n[order]
 
 
-def _grams(docs: DataFrame, heavy=None) -> DataFrame:
-    """``(w1, w23, w4, n)`` of the texts, added up by task, and ``dealt``: by pair, heavy pairs by word, too."""
+def _grams(docs: DataFrame) -> DataFrame:
+    """``(w1, w4, w23, n)`` of the texts, added up by task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, _Words] = {}
-        common = np.empty(0, dtype=np.uint64) if heavy is None else heavy.value.view(np.uint64)
         held: list[np.ndarray] = []
         tail = np.zeros(1, dtype=np.uint64)
 
         def flush() -> pa.RecordBatch:
             (w1, w23, w4), n = summed(np.concatenate(held, axis=1))
             held.clear()
-            dealt = np.where(w23 == 0, w1, np.where(np.isin(w23, common), w23 ^ w1, w23))
-            arrays = [pa.array(column.view(np.int64)) for column in (w1, w23, w4)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(n.astype(np.int64)), pa.array(dealt.view(np.int64))], names=[*EDGE, "n", "dealt"])
+            arrays = [pa.array(column.view(np.int64)) for column in (w1, w4, w23)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(n.astype(np.int64))], names=["w1", "w4", "w23", "n"])
 
         none = np.zeros(3, dtype=np.uint64)
         waiting: list[np.ndarray] = []
@@ -169,7 +172,7 @@ def _grams(docs: DataFrame, heavy=None) -> DataFrame:
         if sum(rows.shape[1] for rows in held):
             yield flush()
 
-    return docs.mapInArrow(count, f"{COUNTS}, dealt long")
+    return docs.mapInArrow(count, "w1 long, w4 long, w23 long, n long")
 
 
 class _RunSums:
@@ -192,11 +195,13 @@ class _RunSums:
         return [column[:-1] for column in sums]
 
 
-def _flows(rows: DataFrame, heavy, min_count: int) -> DataFrame:
+def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
     """``(size, w1, w23, w4, n)``: edges, nodes and pairs that are frequent, and parts of the counts of words.
 
-    Pairs that are heavy were dealt out by word, too: their counts are parts as well.
+    Rows are dealt out by pair, those of the at most 2,000 ``common`` pairs by word, too: the counts of
+    these are parts as well.
     """
+    heavy = rows.sparkSession.sparkContext.broadcast(common)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, nodes, pairs = _RunSums(), _RunSums(), _RunSums()
@@ -231,10 +236,11 @@ def _flows(rows: DataFrame, heavy, min_count: int) -> DataFrame:
 
         empty = np.empty(0, dtype=np.int64)
         for batch in batches:
-            yield from feed([batch.column(k).to_numpy() for k in (1, 0, 2, 3)], False)
+            yield from feed([batch.column(k).to_numpy() for k in (2, 0, 1, 3)], False)
         yield from feed([empty] * 4, True)
 
-    dealt = rows.repartition("dealt").drop("dealt").sortWithinPartitions("w23", "w1", "w4")
+    outer = (F.col("w23") == 0) | F.col("w23").isin(common.tolist())
+    dealt = rows.repartition("w23", F.when(outer, F.col("w1"))).sortWithinPartitions("w23", "w1", "w4")
     return dealt.mapInArrow(walk, f"size long, {COUNTS}")
 
 
@@ -370,16 +376,13 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     spread over many tasks; every count is over all documents.
     """
     bounded_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     columns = [F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text")]
     texts = docs.select(*columns)
     sample = _grams(sampled(docs, SAMPLED_DOCS, "text").select(*columns)).filter("w23 <> 0")
     sample = stored(sample.groupBy("w23").agg(F.sum("n").alias("n")).filter("n > 20"), "common-pairs")
     total = sample.agg(F.sum("n")).first()[0] or 0
     common = sample.filter(F.col("n") > total // HEAVY_SHARE).select("w23").toPandas()
-    heavy = context.broadcast(common["w23"].to_numpy(dtype=np.int64))
-
-    counts = stored(_flows(_grams(texts, heavy), heavy, min_count), "flows")
+    counts = stored(_flows(_grams(texts), common["w23"].to_numpy(dtype=np.int64), min_count), "flows")
     often = F.col("f") >= min_count
     pairs = counts.filter("size = 2").groupBy("w23").agg(F.sum("n").alias("f")).filter(often).withColumnRenamed("f", "f2")
     words = counts.filter("size = 1").groupBy("w1").agg(F.sum("n").alias("f")).filter(often)
