@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formlens import schemas
-from formlens.operators.scoring import accuracy_of, predictions
+from formlens.operators.scoring import FORMAT_KEYS, accuracy_of, predictions
 from formlens.sources.tables import stored
 
 SCORE_KEYS = ["experiment", "format_id", "example_id"]
@@ -53,3 +57,62 @@ def running_accuracy(spark: SparkSession, scores_path: str) -> DataFrame:
     written = F.struct(F.col("_metadata.file_modification_time").alias("at"), "batch_id")
     latest = scores.filter("correct IS NOT NULL").groupBy(*SCORE_KEYS).agg(F.max_by("correct", written).alias("correct"))
     return accuracy_of(latest)
+
+
+COUNTERS = "experiment STRING, format_id INT, n_correct BIGINT, n_scored BIGINT"
+
+
+def _rescored(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the newest score of an example changes in its format's counters."""
+    correct = max((row.prediction, bool(row.correct)) for rows in batches for row in rows.itertuples(index=False))[1]
+    before = state.get[0] if state.exists else None
+    if before != correct:
+        state.update((correct,))
+        gained, added = int(correct) - int(bool(before)), int(before is None)
+        yield pd.DataFrame({"experiment": [key[0]], "format_id": [key[1]], "n_correct": [gained], "n_scored": [added]})
+
+
+def accuracy_stream(
+    generations: DataFrame, references: DataFrame, counters_path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep the accuracy per experiment and format up to date as generations come in.
+
+    Spark's state store holds one flag per example of a format: whether its newest generation is
+    right. A batch looks up its own examples alone; a new one adds to its format's counters, a
+    re-scored one corrects them. The counters of a batch are those of the batch before plus what changed, one
+    row per format in a folder named by query and batch. A retry starts from the same state and the
+    same counters and overwrites its folder; a restart with the same checkpoint goes on from there.
+
+    The last batch wins for an example that is scored again; within a batch it is the greatest prediction in the
+    order of strings. Generations without a reference do not count. The references are stored once.
+    """
+    known = stored(references.select("example_id", "reference"), "references")
+    scored = predictions(generations).join(known, "example_id")
+    scored = scored.select(*SCORE_KEYS, F.coalesce("prediction", F.lit("")).alias("prediction"), F.col("prediction").eqNullSafe(F.col("reference")).alias("correct"))
+    changes = scored.groupBy(*SCORE_KEYS).applyInPandasWithState(
+        _rescored, COUNTERS, "correct BOOLEAN", "update", GroupStateTimeout.NoTimeout
+    )
+
+    def add_up(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{counters_path}/run={spark.sparkContext.getLocalProperty('sql.streaming.queryId')}"
+        counters = batch.groupBy(*FORMAT_KEYS).agg(F.sum("n_correct").alias("n_correct"), F.sum("n_scored").alias("n_scored"))
+        if batch_id:
+            counters = counters.union(spark.read.schema(COUNTERS).parquet(f"{folder}/batch_id={batch_id - 1}"))
+            counters = counters.groupBy(*FORMAT_KEYS).agg(F.sum("n_correct").alias("n_correct"), F.sum("n_scored").alias("n_scored"))
+        counters.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    writer = changes.writeStream.outputMode("update").foreachBatch(add_up).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_accuracy(spark: SparkSession, counters_path: str) -> DataFrame:
+    """Accuracy per experiment and format after the last batch of ``accuracy_stream``.
+
+    A row per format and batch is all there is to read. Queries that share the path are expected
+    to score different generations; their counters are added up.
+    """
+    counters = spark.read.schema(f"{COUNTERS}, run STRING, batch_id BIGINT").parquet(counters_path)
+    last = counters.groupBy("run", *FORMAT_KEYS).agg(F.max_by(F.struct("n_correct", "n_scored"), "batch_id").alias("last"))
+    total = last.groupBy(*FORMAT_KEYS).agg(F.sum("last.n_correct").alias("n_correct"), F.sum("last.n_scored").alias("n_scored"))
+    return total.select(*FORMAT_KEYS, (F.col("n_correct") / F.col("n_scored")).alias("accuracy"), "n_scored")

@@ -13,7 +13,7 @@ from formlens.sources import generations as generation_files
 from formlens.sources import metrics as metric_files
 from formlens.sources import states as state_files
 from formlens.sources.lines import numbered_lines
-from formlens.streaming.scoring import running_accuracy, score_stream, stream_generations
+from formlens.streaming.scoring import accuracy_stream, latest_accuracy, running_accuracy, score_stream, stream_generations
 
 GENERATIONS = "experiment STRING, format_id INT, example_id BIGINT, generation STRING"
 
@@ -241,3 +241,48 @@ def test_unknown_answers_and_new_checkpoints(spark, tmp_path, toy_examples):
         query.awaitTermination()
     assert len(os.listdir(scores)) == 2
     assert [(r["accuracy"], r["n_scored"]) for r in running_accuracy(spark, scores).collect()] == [(1.0, 1)]
+
+
+def test_counters_follow_scores_that_change(spark, tmp_path, toy_examples):
+    landing, counters, progress = (str(tmp_path / name) for name in ("landing", "counters", "progress"))
+    references = reference_answers(toy_examples)
+
+    def land(rows):
+        spark.createDataFrame([("exp", *row) for row in rows], GENERATIONS).coalesce(1).write.mode("append").parquet(landing)
+
+    def run():
+        query = accuracy_stream(stream_generations(spark, landing), references, counters, progress)
+        query.awaitTermination()
+        found = {r["format_id"]: (round(r["accuracy"], 6), r["n_scored"]) for r in latest_accuracy(spark, counters).collect()}
+        work = [p for p in query.recentProgress if p["numInputRows"]]
+        return found, sum(p["numInputRows"] for p in work), sum(p["stateOperators"][0]["numRowsUpdated"] for p in work)
+
+    land([(f, e, answer) for f in range(40) for e, answer in ((1, "42"), (2, "0"), (3, "7"), (99, "no reference"))])
+    assert run() == ({f: (0.666667, 3) for f in range(40)}, 160, 120)
+    # One example scored anew: work for one row, whatever has been counted before.
+    land([(5, 3, "1000")])
+    found, n_read, n_updated = run()
+    assert (found[5], found[6], n_read, n_updated) == ((1.0, 3), (0.666667, 3), 1, 1)
+    # Right again, wrong again, twice in a batch (the greater string counts), a new format, nothing new.
+    land([(5, 3, "1000"), (6, 1, "41"), (7, 2, "0"), (7, 2, "9"), (41, 1, "42")])
+    found, n_read, n_updated = run()
+    assert (found[5], found[6], found[7], found[41], n_read) == ((1.0, 3), (0.333333, 3), (0.333333, 3), (1.0, 1), 5)
+    assert run() == (found, 0, 0)
+    batch = format_accuracy(spark.read.schema(GENERATIONS).parquet(landing).filter("format_id = 41"), toy_examples, strict=False)
+    assert [(r["accuracy"], r["n_scored"]) for r in batch.collect()] == [found[41]]
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path, toy_examples):
+    landing, counters, progress = (str(tmp_path / name) for name in ("landing", "counters", "progress"))
+    references = reference_answers(toy_examples)
+    for format_id, answer in ((0, "42"), (0, "41")):
+        spark.createDataFrame([("exp", format_id, 1, answer), ("exp", 1, 1, "42")], GENERATIONS).coalesce(1).write.mode("append").parquet(landing)
+        accuracy_stream(stream_generations(spark, landing), references, counters, progress).awaitTermination()
+        # As after a loss before the commit: the batch's counters are there, its commit is not.
+        last = max(int(name) for name in os.listdir(f"{progress}/commits") if name.isdigit())
+        for name in (f"{last}", f".{last}.crc"):
+            if os.path.exists(f"{progress}/commits/{name}"):
+                os.remove(f"{progress}/commits/{name}")
+        accuracy_stream(stream_generations(spark, landing), references, counters, progress).awaitTermination()
+    found = {r["format_id"]: (r["accuracy"], r["n_scored"]) for r in latest_accuracy(spark, counters).collect()}
+    assert found == {0: (0.0, 1), 1: (1.0, 1)}
