@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlens.functions.vectors import dot, norm
-from formlens.operators import differences, directions, projection
+from formlens.operators import differences, directions, projection, singular
 from formlens.operators import states as st
 from formlens.operators.dimensions import as_array
 from formlens.operators.sampling import hash_ranked
 from formlens.operators.sampling import sample_pairs as drawn_pairs
 from formlens.queries import inputs as at
-from formlens.queries.text_queries import query, rounded
+from formlens.queries.text_queries import SQL, query, rounded
 from formlens.session import scratch_path
 from formlens.sources import states as state_files
 
@@ -260,6 +260,21 @@ def principal_directions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(SQL["principal_directions"])
+def singular_directions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for directions by a tree of QR factors; the Gram matrix only checks them."""
+    diffs = contrasts(spark, folder)
+    found = singular.singular_directions(diffs, CHECKED_DIRECTIONS)
+    gram = directions.gram_rows(diffs).filter("row_idx >= 0").select("*", F.explode(as_array(found, "component")).alias("d"))
+    image = dot(F.col("values"), F.col("d.vector"))
+    expected = F.col("d.singular_value") ** 2 * F.element_at("d.vector", F.col("row_idx") + 1)
+    return gram.groupBy("d.component").agg(
+        F.round(norm(F.first("d.vector")), 6).alias("length"),
+        F.abs(F.round(F.max(F.abs(image - expected)), 6)).alias("residual"),
+        F.round(F.first("d.total_variance"), 6).alias("total_variance"),
+    )
+
+
 def gram_sql(elements: str, *keys: str) -> str:
     each = ", ".join(keys)
     return f"""
