@@ -97,6 +97,35 @@ def normalized(answer: Column) -> Column:
     return F.lower(F.btrim(answer, F.lit(ANSWER_TRIM)))
 
 
+# Digits with or without commas between groups of three, a fraction, a sign in front and a per cent sign behind.
+WRITTEN_NUMBER = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?%?"
+
+
+def written_number(text: Column) -> Column:
+    """The last number as it is written, with sign, commas and per cent sign, or an empty string; null for null."""
+    numbers = F.regexp_extract_all(text, F.lit(WRITTEN_NUMBER), F.lit(0))
+    return F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.when(text.isNotNull(), ""))
+
+
+def canonical_number(text: Column) -> Column:
+    """The last number of a text in the one spelling of its value: ``+1,050.50`` is ``1050.5``, ``-0`` is ``0``, ``5%`` is ``0.05``.
+
+    Digits are moved as text, so that numbers of any length stay exact. Without a number it is the empty string.
+    """
+    written = written_number(text)
+    plain = F.regexp_replace(written, r"[+,%-]", "")
+    whole, part = F.substring_index(plain, ".", 1), F.regexp_extract(plain, r"\.([0-9]+)", 1)
+    percent = F.endswith(written, F.lit("%"))
+    padded = F.concat(F.lit("00"), whole)
+    # Per cent moves the point by two digits.
+    part = F.when(percent, F.concat(F.right(padded, F.lit(2)), part)).otherwise(part)
+    whole = F.when(percent, F.substring(padded, F.lit(1), F.length(padded) - 2)).otherwise(whole)
+    whole, part = F.ltrim(whole, F.lit("0")), F.rtrim(part, F.lit("0"))
+    value = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    signed = F.when(F.startswith(written, F.lit("-")) & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
+    return F.when(written == "", "").otherwise(signed)
+
+
 def until_stop(generation: Column, stops: list[str], keep_stop: bool = False) -> Column:
     """The text before the earliest stop string, with that string when ``keep_stop``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR, RESPONSE_TAG
-from formlens.functions.text import answer_parts, normalized
+from formlens.functions.text import answer_parts, canonical_number, normalized
 from formlens.operators.sampling import first_rows, hash_ranked, row_ordinals
 
 
@@ -43,11 +43,14 @@ def rejected_examples(examples: DataFrame, separator: str = ANSWER_SEPARATOR) ->
     return _with_parts(examples, separator).filter(~F.col("_fits")).select(*examples.columns)
 
 
-def reference_answers(examples: DataFrame, separator: str = ANSWER_SEPARATOR, strict: bool = True) -> DataFrame:
-    """The normalised final answer of every example that has one."""
+def reference_answers(
+    examples: DataFrame, separator: str = ANSWER_SEPARATOR, strict: bool = True, strict_numeric: bool = False
+) -> DataFrame:
+    """The normalised final answer of every example that has one; with ``strict_numeric`` its number's canonical spelling."""
     answered = examples.select("example_id", "answer").filter("answer IS NOT NULL")
     parsed = parse_examples(answered, separator, strict)
-    return parsed.select("example_id", normalized(F.col("answer")).alias("reference"))
+    reference = canonical_number if strict_numeric else normalized
+    return parsed.select("example_id", reference(F.col("answer")).alias("reference"))
 
 
 def head_examples(examples: DataFrame, n: int) -> DataFrame:

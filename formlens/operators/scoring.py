@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR, END_TAG, STOP_STRINGS
-from formlens.functions.text import before_end_tag, closing_run, last_number, last_run, normalized, until_stop
+from formlens.functions.text import before_end_tag, canonical_number, closing_run, last_number, last_run, normalized, until_stop
 from formlens.operators.examples import reference_answers
 
 FORMAT_KEYS = ["experiment", "format_id"]
@@ -40,11 +40,18 @@ def normalize_answers(extracted: DataFrame) -> DataFrame:
     return extracted.withColumn("prediction", normalized(F.col("extracted"))).drop("extracted")
 
 
-def predictions(generations: DataFrame) -> DataFrame:
+def predictions(generations: DataFrame, strict_numeric: bool = False) -> DataFrame:
+    """Every generation's ``prediction``: by default its last run of digits, normalised as references are.
+
+    With ``strict_numeric`` it is the value of the last number, sign, thousands and per cent included, in its
+    canonical spelling, so that ``-5`` differs from ``5`` and ``1,000.0`` equals ``1000``.
+    """
+    if strict_numeric:
+        return generations.withColumn("prediction", canonical_number(before_end_tag(F.col("generation")))).drop("generation")
     return normalize_answers(extract_answers(generations))
 
 
-def score_counts(generations: DataFrame, references: DataFrame) -> DataFrame:
+def score_counts(generations: DataFrame, references: DataFrame, strict_numeric: bool = False) -> DataFrame:
     """Per experiment and format: the accuracy over the generations that ``references`` knows, and what is amiss.
 
     ``n_scored`` generations have a reference, ``n_unmatched`` have none, ``n_duplicates`` repeat an
@@ -53,7 +60,7 @@ def score_counts(generations: DataFrame, references: DataFrame) -> DataFrame:
     of one example are counted where the join has put them.
     """
     known = references.select("example_id", "reference", F.lit(True).alias("_known"))
-    joined = predictions(generations).join(known, "example_id", "left")
+    joined = predictions(generations, strict_numeric).join(known, "example_id", "left")
     correct = F.when(F.col("_known"), F.col("prediction").eqNullSafe(F.col("reference")).cast("double"))
     by_example = joined.groupBy(*FORMAT_KEYS, "example_id").agg(
         F.count("*").alias("n"), F.sum(correct).alias("correct"), F.first("_known").alias("known")
@@ -81,15 +88,16 @@ def check_counts(generations: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def format_accuracy(
-    generations: DataFrame, examples: DataFrame, separator: str = ANSWER_SEPARATOR, strict: bool = True
+    generations: DataFrame, examples: DataFrame, separator: str = ANSWER_SEPARATOR, strict: bool = True, strict_numeric: bool = False
 ) -> DataFrame:
-    """Share of exact matches per experiment and format.
+    """Share of exact matches per experiment and format; of equal numbers with ``strict_numeric``.
 
     When ``strict``, a generation without a reference, an example scored twice and an example
     without a generation are errors, as the accuracies could not be compared. Otherwise every
     format stays as ``score_counts`` has it.
     """
-    counts = score_counts(generations, reference_answers(examples, separator))
+    references = reference_answers(examples, separator, strict_numeric=strict_numeric)
+    counts = score_counts(generations, references, strict_numeric)
     if not strict:
         return counts.select(*FORMAT_KEYS, "accuracy", "n_scored")
     n_unanswered = examples.filter("answer IS NULL").agg(F.count("*").alias("n")).scalar()

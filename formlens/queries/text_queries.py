@@ -407,6 +407,49 @@ def format_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(accuracy(spark, folder), "accuracy")
 
 
+# The length of every document, written in seven ways after its text; only some are of equal value.
+WRITTEN = """
+concat(text, ' = ', CASE format_id
+    WHEN 0 THEN CAST(n_chars AS {string})
+    WHEN 1 THEN CASE WHEN n_chars < 1000 THEN CAST(n_chars AS {string})
+        ELSE concat(CAST(floor(n_chars / 1000) AS {long}), ',', lpad(CAST(n_chars % 1000 AS {string}), 3, '0')) END
+    WHEN 2 THEN concat('-', CAST(n_chars AS {string}), '.50')
+    WHEN 3 THEN concat(CAST(n_chars AS {string}), '%.')
+    WHEN 4 THEN concat('+00', CAST(n_chars AS {string}), '.000')
+    WHEN 5 THEN concat('-0.0 or ', CAST(n_chars AS {string}), '00% of it')
+    ELSE concat(CAST(n_chars AS {string}), ' or -0<end_of_response>8') END)"""
+WRITTEN_SQL = f"""
+SELECT 'written' AS experiment, CAST(format_id AS INT) AS format_id, doc_id AS example_id, n_chars
+FROM documents, range(7) AS f(format_id) WHERE text IS NOT NULL AND n_chars IS NOT NULL"""
+CANONICAL_SQL = f"""
+SELECT experiment, format_id, example_id, n_chars, CASE
+    WHEN format_id IN (0, 1, 4, 5) THEN CAST(n_chars AS VARCHAR) WHEN format_id = 2 THEN concat('-', n_chars, '.5') WHEN format_id = 6 THEN '0'
+    ELSE rtrim(rtrim(concat(n_chars // 100, '.', lpad(CAST(n_chars % 100 AS VARCHAR), 2, '0')), '0'), '.') END AS prediction
+FROM ({WRITTEN_SQL})"""
+
+
+def written(spark: SparkSession, folder: str) -> DataFrame:
+    each = at.dealt(at.documents(spark, folder), "doc_id").filter("text IS NOT NULL AND n_chars IS NOT NULL")
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("format_id"))
+    text = WRITTEN.format(string="STRING", long="BIGINT")
+    return each.selectExpr("'written' AS experiment", "format_id", "doc_id AS example_id", f"{text} AS generation")
+
+
+@query(f"SELECT experiment, format_id, example_id, prediction FROM ({CANONICAL_SQL})")
+def canonical_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The value of the last number of every text, in one spelling."""
+    return scoring.predictions(written(spark, folder), strict_numeric=True)
+
+
+@query(f"""
+SELECT experiment, format_id, round(avg(CASE WHEN prediction = CAST(n_chars AS VARCHAR) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
+       count(*) AS n_scored FROM ({CANONICAL_SQL}) GROUP BY ALL""")
+def strict_numeric_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy by value: numbers that are written otherwise are right, opposite signs and per cent are not."""
+    documents = at.examples(spark, folder).filter("answer IS NOT NULL")
+    return rounded(scoring.format_accuracy(written(spark, folder), documents, strict_numeric=True), "accuracy")
+
+
 @query(f"SELECT experiment, format_id, round(accuracy, 6) AS accuracy, n_scored FROM ({ACCURACY_SQL})")
 def folder_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     """From files to figures: examples and generations are written as other tools keep them, and scored from there."""

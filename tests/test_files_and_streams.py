@@ -32,6 +32,33 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
     assert [r["value"] for r in sorted(rows, key=lambda r: r["line_no"])] == lines
 
 
+@pytest.mark.parametrize("split_bytes", ["700", "3k", "1m"])
+def test_lines_are_counted_and_not_copied(spark, tmp_path, split_bytes):
+    sizes = [1, 0, 400, 2500, 3, 90]
+    texts = [[f"{part} {i} " + "x" * (i * 7 % 60) for i in range(n)] for part, n in enumerate(sizes)]
+    for part, lines in enumerate(texts):
+        (tmp_path / f"part-{part}").write_text("".join(line + "\n" for line in lines))
+    shared = os.path.join(spark.conf.get("spark.checkpoint.dir"), "formlens")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    limits = {"spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": "100"}
+    kept = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        lines = numbered_lines(spark, str(tmp_path), "^.*/")
+        found = [r["value"] for r in sorted(lines.collect(), key=lambda r: r["line_no"])]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert found == [line for part in texts for line in part]
+    # Fewer and longer splits of a later scan: the same numbers.
+    assert [r["value"] for r in sorted(lines.select("*").collect(), key=lambda r: r["line_no"])] == found
+    new = set(os.listdir(shared)) - before
+    assert {name.split("-")[0] for name in new} == {"lines"}
+    stored_bytes = sum(os.path.getsize(os.path.join(shared, name, file)) for name in new for file in os.listdir(os.path.join(shared, name)))
+    assert split_bytes == "700" or stored_bytes < 40_000 < sum(len(line) for part in texts for line in part)
+
+
 def test_example_ids_are_line_numbers(spark, tmp_path):
     rows = [{"question": f"q{i}\n", "answer": f"a {i} #### {i}"} for i in range(200)]
     (tmp_path / "set.jsonl").write_text("".join(json.dumps(row) + "\n" for row in rows))

@@ -121,3 +121,28 @@ def test_messages_keep_their_roles(spark):
     turns = spark.createDataFrame([("assistant", "a"), (None, "b")], "role STRING, prompt STRING")
     assert [[m["role"] for m in r["messages"]] for r in chat_messages(turns, "s").collect()] == [["system", "assistant"], ["system", "user"]]
     assert chat_messages(turns.drop("role")).first()["messages"][0]["role"] == "user"
+
+
+@pytest.mark.parametrize("text, value", [
+    ("1,000", "1000"), ("is 12,345,678.900 then", "12345678.9"), ("1,00", "0"), ("1,0000", "0"), ("-5", "-5"), ("+5", "5"), ("-0.00", "0"),
+    ("5%", "0.05"), ("0.5 %", "0.5"), ("100%", "1"), ("-1,250.50%", "-12.505"), ("007", "7"), ("none", ""), ("", ""), (None, None),
+    ("3.14 or 2", "2"), ("2. Done", "2"), ("t 1-2", "-2"), ("9" * 60 + ".10", "9" * 60 + ".1"), ("42<end_of_response> 7", "42"), ("٣", ""),
+    (".5", "5"), ("1.2.3", "3"), ("$1,000,000!", "1000000"), ("0%", "0"), ("1e5", "5"),
+])
+def test_canonical_numbers(spark, text, value):
+    from formlens.operators.scoring import predictions
+
+    frame = spark.createDataFrame([("e", 0, 1, text)], "experiment STRING, format_id INT, example_id BIGINT, generation STRING")
+    assert predictions(frame, strict_numeric=True).first()["prediction"] == value
+
+
+def test_accuracy_by_value(spark):
+    from formlens.operators.scoring import format_accuracy
+
+    examples = spark.createDataFrame([(1, "q", "r #### 1,000"), (2, "q", "r #### -5")], "example_id BIGINT, question STRING, answer STRING")
+    rows = [("e", 0, 1, "1000.00"), ("e", 0, 2, "5"), ("e", 1, 1, "100000%"), ("e", 1, 2, "-5.0")]
+    generations = spark.createDataFrame(rows, "experiment STRING, format_id INT, example_id BIGINT, generation STRING")
+    found = {r["format_id"]: r["accuracy"] for r in format_accuracy(generations, examples, strict_numeric=True).collect()}
+    assert found == {0: 0.5, 1: 1.0}
+    found = {r["format_id"]: r["accuracy"] for r in format_accuracy(generations, examples).collect()}
+    assert found == {0: 0.5, 1: 0.0}
