@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formlens.functions.process import latest_of_process
 from formlens.sources.tables import stored
 
 __all__ = [
-    "bit_map", "bit_words", "bounded_batches", "components", "fresh_name", "in_bit_map", "may_hold", "sampled", "stored", "text_slices",
-    "texts_of",
+    "bit_map", "bit_words", "bounded_batches", "components", "fresh_name", "in_bit_map", "may_hold", "sampled", "shipped", "stored",
+    "text_slices", "texts_of",
 ]
 
 BATCH_BYTES = 4 << 20
@@ -32,6 +36,16 @@ def sampled(rows: DataFrame, n: int, *by: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) < share)
 
 
+def shipped(spark: SparkSession, value: Any, slot: str) -> Callable[[], Any]:
+    """A function that has ``value`` in tasks, loaded once per process; ``slot`` keeps the latest of a kind.
+
+    A broadcast object is looked up by its class's name. Here the class travels with it, so that workers need
+    not have this package.
+    """
+    blob, token = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: latest_of_process(slot, token, lambda: cloudpickle.loads(blob.value))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [text or "" for text in batch.column(name).to_pylist()]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formlens.functions.process import per_process
-from formlens.llm.common import bounded_batches, fresh_name, texts_of
+from formlens.llm.common import bounded_batches, fresh_name, shipped, texts_of
 from formlens.llm.vocabularies import Memory
 
 MAX_EDITS = 0.2
@@ -397,7 +397,7 @@ def find_items(
     extra = [] if texts in keep else [F.col("text").alias(texts)]
     current = docs.select(*(f"`{column}`" for column in keep), *extra)
     for k, index in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(index)
+        shared = shipped(spark, index, f"items-{k}")
         last = k + 1 == len(blocks)
         carried = [] if last or not extra else [T.StructField(texts, T.StringType())]
         columns = [*keep, name, *(field.name for field in carried)]
@@ -414,7 +414,7 @@ def _index_blocks(items: DataFrame, block_bytes: int, max_edits: float, recall:
 
 def _scanner(shared, name: str, texts: str, columns: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = shared()
         for batch in batches:
             found = index.search(texts_of(batch, texts))
             before = batch.column(name).to_pylist() if name in batch.schema.names else [[]] * batch.num_rows

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formlens.llm.common import bounded_batches, fresh_name, text_slices
+from formlens.llm.common import bounded_batches, fresh_name, shipped, text_slices
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 1_500
@@ -276,7 +276,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, keep: list[str] | Non
     empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model, "language")
     keep = docs.columns if keep is None else keep
     source = docs.select(*(F.col(f"`{name}`") for name in keep))
     results = [fresh_name(source, name) for name in ("lang_pred", "lang_score", "lang_spans")]
@@ -287,7 +287,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, keep: list[str] | Non
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, SLICE_ROWS):
-                names, scores, spans = _spans(shared.value, part.column("text"))
+                names, scores, spans = _spans(shared(), part.column("text"))
                 arrays = [*part.columns[:n_kept], pa.array(names), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(SPAN))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:n_kept], *results])
 

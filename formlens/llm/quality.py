@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formlens.functions.process import per_process
-from formlens.llm.common import bounded_batches, text_slices
+from formlens.llm.common import bounded_batches, shipped, text_slices
 from formlens.llm.vocabularies import Memory, latin_pieces, text_bytes
 
 BUCKETS = 1 << 15
@@ -232,10 +232,10 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine) -> DataFrame:
     document the (smoothed) share of label 1.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = shipped(docs.sparkSession, machine, "quality")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             for part in text_slices(batch, SLICE_ROWS):
                 scores = pa.array(model.scores(_batch_features(part)))
