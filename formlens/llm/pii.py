@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import bounded_batches, sampled, text_slices, texts_of
+from formlens.llm.common import bounded_batches, sampled, shipped, text_slices, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -29,6 +29,8 @@ SLICE_ROWS = 1_000
 # Patterns of the contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The same matches: digits and dots do not overlap, so a run of digits matches from its first digit or not at all.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -72,7 +74,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """The spans of every kind: leftmost matches that don't overlap; those failing the check are dropped."""
     found: list[list[tuple[int, int]]] = [list(emails(text)), [], [], []]
-    for match in IP.finditer(text):
+    for match in IP_RUNS.finditer(text):
         if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in match.group().split(".")):
             found[1].append(match.span())
     for match in CARD.finditer(text):
@@ -136,7 +138,7 @@ def token_features(token: str, before: str) -> list[int]:
         on.append("hex" if n and not re.search(r"[^0-9a-fA-F]", core) else "letters")
     if 13 <= n <= 19 and not letters and passes_luhn(digits):
         on.append("luhn")
-    if dots == 3 and all(part.isdigit() and len(part) <= 3 and int(part) <= 255 for part in core.split(".")):
+    if dots == 3 and all(re.fullmatch("[0-9]{1,3}", part) and int(part) <= 255 for part in core.split(".")):
         on.append("octets")
     if re.search(r"[:/]", core):
         on.append("colon or slash")
@@ -417,12 +419,12 @@ def find_personal_data(docs: DataFrame, field: SkipChainField) -> DataFrame:
     repeated rows each get their own row. An empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = shipped(docs.sparkSession, field, "pii")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, SLICE_ROWS):
-                base, added = all_spans(texts_of(part), shared.value)
+                base, added = all_spans(texts_of(part), shared())
                 counts = [pa.array([len(found[k]) for found in base], pa.int64()) for k in range(len(KINDS))]
                 digests = [hashlib.sha256(joined(found).encode()).hexdigest() for found in base]
                 every = [joined([a + b for a, b in zip(*both, strict=True)]) for both in zip(base, added, strict=True)]

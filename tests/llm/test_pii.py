@@ -137,3 +137,21 @@ def test_documents_without_patterns_are_labelled():
 def test_parts_of_very_many_zeros():
     text = "0" * 5000 + ".1.1.1 " + "0" * 5000 + "256.1.1.1"
     assert base_spans(text)[1] == [(0, 5006)]
+
+
+def test_addresses_by_runs_are_those_of_the_pattern():
+    import random
+    import time
+
+    from formlens.llm.pii import IP, IP_RUNS, all_spans, base_spans
+
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123459..²⁴٣ a") for _ in range(rng.randrange(30)))
+        assert [m.span() for m in IP.finditer(text)] == [m.span() for m in IP_RUNS.finditer(text)]
+    began = time.perf_counter()
+    assert base_spans("7" * 1_000_000) == [[], [], [], []]
+    assert base_spans("1." * 300_000 + "1")[1]
+    assert time.perf_counter() - began < 10
+    for digit in ("²", "⁴", "٣", "①", "๓"):
+        all_spans([f"see 1.2.3.{digit} and {digit}.1.1.1 or +{digit}23 456 789 {digit}@x.de"], SkipChainField())
