@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ from formlens.llm.common import bounded_batches, fresh_name, stored, texts_of
 
 MIN_WORDS = 50
 HASH_BYTES = 16
+LONG_RUN = 64
+PRIME = (1 << 61) - 1
+BASES = (1_000_000_007, 998_244_353)
 ANCHORS = pa.list_(pa.struct([("fingerprint", pa.int64()), ("line", pa.int32())]))
 RANGES = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
 
@@ -50,12 +54,50 @@ def window_minima(hashes: bytes, words: np.ndarray, min_words: int) -> list[int]
     these. Hashes are divided by the line's words, which favours long lines over common short ones.
     """
     order = (np.frombuffer(hashes, dtype="<u8")[::2] / np.maximum(words, 0.5)).tolist()
-    chosen = set()
+    chosen, waiting, upto = set(), deque(), 0
+    # Windows move on at both ends: lines wait as long as no later one of the window is less.
     for start, stop in zip(*(ends.tolist() for ends in forward_windows(words, min_words)), strict=True):
-        chosen.add(min(range(start, stop), key=order.__getitem__))
+        for line in range(upto, stop):
+            while waiting and order[waiting[-1]] > order[line]:
+                waiting.pop()
+            waiting.append(line)
+        upto = max(upto, stop)
+        while waiting[0] < start:
+            waiting.popleft()
+        chosen.add(waiting[0])
     return sorted(chosen)
 
 
+def run_hashes(hashes: bytes, runs: list[tuple[int, int]]) -> Iterator[bytes]:
+    """A hash of 16 bytes for runs of lines (starts and stops) of a text with these line hashes.
+
+    Runs of many lines, as with blank ones, are hashed from sums over the lines before, so that the time
+    does not grow with their length.
+    """
+    sums = None
+    for start, stop in runs:
+        if stop - start <= LONG_RUN:
+            yield xxhash.xxh3_128_digest(hashes[HASH_BYTES * start : HASH_BYTES * stop])
+            continue
+        if sums is None:
+            sums = _prefix_sums(hashes)
+        lanes = (
+            (int(sums[k][stop]) - int(sums[k][start]) * pow(base, stop - start, PRIME)) % PRIME for k, base in enumerate(BASES)
+        )
+        yield xxhash.xxh3_128_digest(b"".join(lane.to_bytes(8, "little") for lane in (*lanes, stop - start)))
+
+
+def _prefix_sums(hashes: bytes) -> list[np.ndarray]:
+    lanes = np.frombuffer(hashes, dtype="<u8").reshape(-1, 2)
+    sums = np.zeros((len(BASES), len(lanes) + 1), dtype=np.uint64)
+    for k, base in enumerate(BASES):
+        total = 0
+        for line, value in enumerate(lanes[:, k].tolist(), 1):
+            total = (total * base + value) % PRIME
+            sums[k, line] = total
+    return list(sums)
+
+
 def kept_ranges(deleted: list[tuple[int, int]], n_lines: int) -> list[tuple[int, int]]:
     """Start and size of the runs of lines outside all of ``deleted`` (starts and stops)."""
     kept, at = [], 0
@@ -110,8 +152,8 @@ def _windows(candidates: DataFrame, min_words: int) -> DataFrame:
                 for starts, stops in (forward_windows(words, min_words), backward_windows(words, min_words)):
                     held = repeated[stops] > repeated[starts]
                     found.update(zip(starts[held].tolist(), stops[held].tolist(), strict=True))
-                for start, stop in found:
-                    run = xxhash.xxh3_128_digest(hashes[HASH_BYTES * start : HASH_BYTES * stop])
+                runs = sorted(found)
+                for (start, stop), run in zip(runs, run_hashes(hashes, runs), strict=True):
                     out.append((doc_id, key, len(words), run, start, stop))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
@@ -176,13 +218,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = _kept(later)
 
     n_lines, n_deleted = fresh_name(docs, "n_lines"), fresh_name(docs, "n_deleted")
-    key, ranges, gone = (fresh_name(docs, f"_line_dedup_{name}") for name in ("key", "kept", "gone"))
+    key, ranges, gone, of, of_key = (fresh_name(docs, f"_line_dedup_{name}") for name in ("key", "kept", "gone", "id", "hash"))
     kept = kept.select(
-        F.col("doc_id").alias("_line_dedup_id"), F.col("key").alias("_line_dedup_hash"), F.col("kept").alias(ranges),
+        F.col("doc_id").alias(of), F.col("key").alias(of_key), F.col("kept").alias(ranges),
         F.col("n_deleted").alias(gone),
     )
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    same = keyed["doc_id"].cast("long").eqNullSafe(kept["_line_dedup_id"]) & (keyed[key] == kept["_line_dedup_hash"])
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept[of]) & (keyed[key] == kept[of_key])
     joined = keyed.join(kept.hint("shuffle_hash"), same, "left")
     parts = F.split("text", "\n", -1)
     # The outer lambda holds the split text, so that it is split once and not for every run.

@@ -63,3 +63,30 @@ def test_repeats_within_a_document_and_empty_table(spark):
 def test_kept_ranges():
     assert kept_ranges([(3, 5), (1, 2), (4, 6)], 8) == [(0, 1), (2, 1), (6, 2)]
     assert kept_ranges([(0, 4)], 4) == []
+
+
+def test_blank_lines_take_linear_time():
+    import random
+    import time
+
+    import numpy as np
+
+    from formlens.llm.line_dedup import forward_windows, line_hashes, run_hashes, window_minima
+
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "\n".join(" ".join(rng.choice("ab") * rng.randrange(1, 3) for _ in range(rng.choice([0, 0, 1, 2, 7]))) for _ in range(rng.randrange(40)))
+        hashes, words = line_hashes(text)
+        order = (np.frombuffer(hashes, dtype="<u8")[::2] / np.maximum(words, 0.5)).tolist()
+        plain = {min(range(a, b), key=order.__getitem__) for a, b in zip(*(x.tolist() for x in forward_windows(words, 6)), strict=True)}
+        assert window_minima(hashes, words, 6) == sorted(plain)
+    began = time.perf_counter()
+    hashes, words = line_hashes("\n" * 1_000_000 + "word " * 60)
+    assert len(window_minima(hashes, words, 50)) >= 1
+    runs = [(k, 1_000_001) for k in range(0, 1_000_000, 10)]
+    assert len(set(run_hashes(hashes, runs))) == len(runs)
+    assert time.perf_counter() - began < 30
+    # Equal long runs have equal hashes wherever they stand.
+    a, _ = line_hashes("x\n" + "\n" * 100 + "y z")
+    b, _ = line_hashes("q\nr\n" + "\n" * 100 + "y z\nw")
+    assert list(run_hashes(a, [(1, 102)])) == list(run_hashes(b, [(2, 103)])) != list(run_hashes(b, [(1, 102)]))
