@@ -18,6 +18,12 @@ LEVELS = 127
 STEP = 1024
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Every vector times the power of two that brings its largest entry below 1, so that no norm under- or overflows."""
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors as whole numbers up to 127 times a scale per vector, and each one's error norm."""
     units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -72,7 +78,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All linked pairs of rows of two blocks, or of one block with itself, with exact double cosines."""
     same = right is None
-    right = left if same else right
+    left = scaled(left)
+    right = left if same else scaled(right)
     codes, other_codes = quantised(left), quantised(right)
     norms, other_norms = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
     for rows, columns in possible_links(codes, other_codes, threshold):

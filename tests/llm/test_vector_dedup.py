@@ -61,3 +61,14 @@ def test_bounds_miss_nothing():
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_very_small_and_very_large_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [base, base * 1e-200, base * 1e200, -base, base + 1e-9, rng.normal(size=8) * 1e-300, np.full(8, 5e-324), np.full(8, 1.7e308)]
+    frame = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(rows)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    found = {row["vec_id"]: (row["n_links"], row["component_id"]) for row in near_vectors(frame).collect()}
+    assert [found[k] for k in (0, 1, 2, 3, 4, 6, 7)] == [(3, 0), (3, 0), (3, 0), (0, 3), (3, 0), (1, 6), (1, 6)]
