@@ -12,6 +12,7 @@ from formlens.operators.examples import response_segments, select_few_shot
 from formlens.operators.formats import (
     available_formats,
     format_grid,
+    leaked_formats,
     sample_formats,
     split_formats,
     with_descriptors,
@@ -87,8 +88,13 @@ def format_directions(
 
 
 def training_set(
-    train: DataFrame, n: int, per_example: int, seed: int, n_formats: int = 960, n_test: int = 10
+    train: DataFrame, n: int, per_example: int, seed: int, n_formats: int = 960, n_test: int = 10, exclude_leaks: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Training texts in sampled formats, cut for the loss, and the formats held out for testing."""
+    """Training texts in sampled formats, cut for the loss, and the formats held out for testing.
+
+    With ``exclude_leaks`` no training format renders like a test format.
+    """
     test_formats, train_formats = split_formats(study_formats(train.sparkSession, n_formats, seed), n_test)
+    if exclude_leaks:
+        train_formats = train_formats.join(leaked_formats(test_formats, train_formats).select("format_id"), "format_id", "left_anti")
     return response_segments(augment_examples(train, train_formats, n, per_example, seed)), test_formats

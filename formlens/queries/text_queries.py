@@ -12,6 +12,7 @@ from formlens.functions.text import rendered
 from formlens.operators import examples as ex
 from formlens.operators import formats as fm
 from formlens.operators import inference, prompts, report, scoring
+from formlens.operators.conversations import whole_conversations as conversations_of
 from formlens.operators.dimensions import for_each_format
 from formlens.plans import studies
 from formlens.queries import inputs as at
@@ -216,6 +217,20 @@ def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT conv_id, count(*) + 1 AS n_messages, 'system' AS first_role,
+       md5(string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, ''))) AS turns_md5
+FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""")
+def whole_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as one list of messages after a system message."""
+    chats = conversations_of(at.table(spark, folder, "conversations"), "Answer briefly.")
+    said = F.transform(F.slice("messages", 2, 1 << 30), lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return chats.select(
+        "conv_id", F.size("messages").cast("bigint").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"),
+        F.md5(F.array_join(said, "\n")).alias("turns_md5"),
+    )
+
+
 # Sampling and ordering
 
 
@@ -335,6 +350,26 @@ def response_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Formats that a test format renders like, by what they render; the labels are one word each.
+UNLEAKED_SQL = f"""
+SELECT t.format_id FROM ({at.formats_sql(960)}) AS t WHERE t.format_id >= 10 AND NOT EXISTS (
+    SELECT 1 FROM ({at.formats_sql(10)}) AS h WHERE h.separator = t.separator AND h.space = t.space
+      AND h.first_label = t.first_label AND h.second_label = t.second_label AND h.third_label = t.third_label)"""
+
+
+@query(f"""
+SELECT example_id, format_id FROM (
+    SELECT e.example_id, f.format_id, row_number() OVER (
+        PARTITION BY e.example_id ORDER BY md5('{at.SEED}:' || e.example_id || ':' || f.format_id), f.format_id) AS place
+    FROM (SELECT example_id FROM ({at.EXAMPLES_SQL})
+          ORDER BY length(question) + length(answer) DESC, example_id LIMIT 100) AS e, ({UNLEAKED_SQL}) AS f)
+WHERE place <= 4""")
+def unleaked_training_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Which formats each training example gets if those that render like a test format are left out."""
+    texts, _ = studies.training_set(at.examples(spark, folder), 100, 4, at.SEED, exclude_leaks=True)
+    return texts.select("example_id", "format_id")
+
+
 # Generations and scores
 
 CUT_SQL = "split_part(generation, '<end_of_response>', 1)"
