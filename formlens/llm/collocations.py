@@ -8,7 +8,9 @@ have it. Frequent edges are compacted: chains of nodes with one way in and one w
 paths, and a path spells its words and counts once for all phrases in it.
 
 Words are 64-bit hashes of language and word until the end: an edge is ``(w1, w23, w4)`` with one
-hash for the middle pair, a node ``(w1, w23)``; 0 stands for no word.
+hash for the middle pair, a node ``(w1, w23)``; 0 stands for no word. A pair's hash is a hash of its first
+word xor its second word, so the first word tells the second: a pair takes its first word along, once
+in what a task hands on together, and only words are looked up in the texts.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ UNKNOWN = "und"
 
 SEGMENT_BYTES = 1 << 20
 HELD_GRAMS = 1 << 21
+SLOT_BITS = 22
 HELD_WORDS = 200_000
 HELD_WORD_BYTES = 64
 SAMPLED_DOCS = 20_000
@@ -65,12 +68,13 @@ def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64(a, b) | 1`` of two arrays of hashes."""
-    return _hash_long(b, _hash_long(a, np.full(len(a), 42, dtype=np.uint64))) | np.uint64(1)
+    """``pair_hash`` of two arrays of hashes; as all words' hashes are odd, a pair's is, too."""
+    return (_hash_long(a, np.full(len(a), 42, dtype=np.uint64)) & ~np.uint64(1)) ^ b
 
 
 def pair_hash(a: str, b: str) -> Column:
-    return F.xxhash64(a, b).bitwiseOR(F.lit(1))
+    """The hash of a pair of words, or the second word of a pair ``b`` whose first one is ``a``."""
+    return F.xxhash64(a).bitwiseAND(F.lit(-2)).bitwiseXOR(F.col(b))
 
 
 class _Words(dict):
@@ -99,8 +103,8 @@ def segments(text: bytes) -> Iterator[list[bytes]]:
         start = stop
 
 
-def _batch_words(batch: pa.RecordBatch, vocabularies: dict[str, _Words]) -> Iterator[tuple[str, list[bytes], np.ndarray, bool]]:
-    """Language, words, their hashes and whether a text begins, by segment of rows ``(lang, text)``."""
+def _batch_words(batch: pa.RecordBatch, vocabularies: dict[str, _Words]) -> Iterator[tuple[str, list[bytes], _Words, bool]]:
+    """Language, words, their vocabulary and whether a text begins, by segment of rows ``(lang, text)``."""
     for language, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
         if language not in vocabularies:
             if len(vocabularies) >= 8:
@@ -108,13 +112,14 @@ def _batch_words(batch: pa.RecordBatch, vocabularies: dict[str, _Words]) -> Iter
             vocabularies[language] = _Words(language)
         words = vocabularies[language]
         for k, found in enumerate(segments(text or b"")):
-            yield language, found, np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found)), k == 0
+            yield language, found, words, k == 0
 
 
 def grams(words: np.ndarray) -> list[np.ndarray]:
-    """Rows ``(w1, w23, w4)`` of the words of pieces, 0 between pieces and three at the end, from the second on.
+    """Rows ``(w1, w23, w4, w2)`` of the words of pieces, 0 between pieces and three at the end, from the second on.
 
-    Edges; nodes that end a piece, without ``w4``; first pairs, ``w23`` alone; last two words, ``w1`` alone.
+    Edges; nodes that end a piece, without ``w4``; first pairs, ``w23`` alone; last two words, ``w1`` alone. ``w2``
+    is the first word of ``w23``.
     """
     before, w1, w2, w3, w4 = words[:-4], words[1:-3], words[2:-2], words[3:-1], words[4:]
     pair_at = np.flatnonzero((before == 0) & (w1 > 0) & (w2 > 0))
@@ -122,27 +127,34 @@ def grams(words: np.ndarray) -> list[np.ndarray]:
     node_at = np.flatnonzero((w1 > 0) & (w2 > 0) & (w3 > 0))
     none = np.zeros(max(len(pair_at), len(short)), dtype=np.uint64)
     return [
-        np.stack([w1[node_at], pair_hashes(w2[node_at], w3[node_at]), w4[node_at]]),
-        np.stack([none[: len(pair_at)], pair_hashes(w1[pair_at], w2[pair_at]), none[: len(pair_at)]]),
-        np.stack([short, none[: len(short)], none[: len(short)]]),
+        np.stack([w1[node_at], pair_hashes(w2[node_at], w3[node_at]), w4[node_at], w2[node_at]]),
+        np.stack([none[: len(pair_at)], pair_hashes(w1[pair_at], w2[pair_at]), none[: len(pair_at)], w1[pair_at]]),
+        np.stack([short, *[none[: len(short)]] * 3]),
     ]
 
 
 def summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows added up, as far as they meet in the order of a hash of theirs.
 
-    They come out by their outer words, so that what a shuffle compresses together is alike.
+    They come out by their outer words, so that what a shuffle compresses together is alike. Of rows with one pair, one keeps
+    the pair's first word at least, most others get 0.
     """
     order = np.argsort(_hash_long(rows[0] ^ _turned(rows[2], 17), rows[1]))
     rows = rows[:, order]
-    begins = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
+    begins = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     rows, n = rows[:, begins], np.diff(np.append(begins, rows.shape[1]))
     order = np.argsort((rows[0] >> np.uint64(32) << np.uint64(32)) | (rows[2] >> np.uint64(32)))
-    return rows[:, order], n[order]
+    rows, n = rows[:, order], n[order]
+    slot = rows[1] >> np.uint64(64 - SLOT_BITS)
+    teller = np.empty(1 << SLOT_BITS, dtype=np.int64)
+    teller[slot] = np.arange(len(slot))
+    teller = teller[slot]
+    rows[3, (rows[1, teller] == rows[1]) & (teller != np.arange(len(slot)))] = 0
+    return rows, n
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """``(w1, w4, w23, n)`` of the texts, added up by task."""
+    """``(w1, w4, w23, n, w2)`` of the texts, added up by task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, _Words] = {}
@@ -150,18 +162,18 @@ def _grams(docs: DataFrame) -> DataFrame:
         tail = np.zeros(1, dtype=np.uint64)
 
         def flush() -> pa.RecordBatch:
-            (w1, w23, w4), n = summed(np.concatenate(held, axis=1))
+            (w1, w23, w4, w2), n = summed(np.concatenate(held, axis=1))
             held.clear()
-            arrays = [pa.array(column.view(np.int64)) for column in (w1, w4, w23)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(n.astype(np.int64))], names=["w1", "w4", "w23", "n"])
+            arrays = [pa.array(column.view(np.int64)) for column in (w1, w4, w23, n.astype(np.int64), w2)]
+            return pa.RecordBatch.from_arrays(arrays, names=["w1", "w4", "w23", "n", "w2"])
 
         none = np.zeros(3, dtype=np.uint64)
         waiting: list[np.ndarray] = []
         for batch in batches:
-            for _, _, words, begins in _batch_words(batch, vocabularies):
+            for _, found, known, begins in _batch_words(batch, vocabularies):
                 if begins:
                     waiting.append(none)
-                waiting.append(words)
+                waiting.append(np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found)))
                 if sum(map(len, waiting)) > HELD_GRAMS:
                     # The last four words wait for those that follow; the one before them is behind.
                     together = np.concatenate([tail, *waiting])
@@ -172,13 +184,17 @@ def _grams(docs: DataFrame) -> DataFrame:
         if sum(rows.shape[1] for rows in held):
             yield flush()
 
-    return docs.mapInArrow(count, "w1 long, w4 long, w23 long, n long")
+    return docs.mapInArrow(count, "w1 long, w4 long, w23 long, n long, w2 long")
 
 
 class _RunSums:
-    """Sums over runs of equal keys that come in order, batch by batch; the last run waits for the next batch."""
+    """Sums over runs of equal keys that come in order, batch by batch; the last run waits for the next batch.
 
-    def __init__(self) -> None:
+    Columns are ``keys`` keys, a number to add, and words that are one value or 0 within a run.
+    """
+
+    def __init__(self, keys: int) -> None:
+        self.keys = keys
         self.held: list[np.ndarray] = []
 
     def add(self, columns: list[np.ndarray], last: bool = False) -> list[np.ndarray]:
@@ -186,9 +202,10 @@ class _RunSums:
             columns = [np.concatenate(both) for both in zip(self.held, columns, strict=True)]
         if not len(columns[0]):
             return columns
-        keys = np.stack(columns[:-1])
+        keys = np.stack(columns[: self.keys])
         begins = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-        sums = [*keys[:, begins], np.add.reduceat(columns[-1], begins)]
+        sums = [*keys[:, begins], np.add.reduceat(columns[self.keys], begins)]
+        sums += [np.bitwise_or.reduceat(column, begins) for column in columns[self.keys + 1 :]]
         if last:
             return sums
         self.held = [column[-1:] for column in sums]
@@ -198,13 +215,15 @@ class _RunSums:
 def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
     """``(size, w1, w23, w4, n)``: edges, nodes and pairs that are frequent, and parts of the counts of words.
 
+    A pair has its first word as ``w1``.
+
     Rows are dealt out by pair, those of the at most 2,000 ``common`` pairs by word, too: the counts of
-    these are parts as well.
+    these are parts as well, and a part may have 0 as its first word.
     """
     heavy = rows.sparkSession.sparkContext.broadcast(common)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, nodes, pairs = _RunSums(), _RunSums(), _RunSums()
+        edges, nodes, pairs = _RunSums(3), _RunSums(2), _RunSums(1)
         flow: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows_of(size: int, n: np.ndarray, w1=None, w23=None, w4=None) -> pa.RecordBatch:
@@ -219,7 +238,11 @@ def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
             flow.clear()
             return rows_of(1, n, w1)
 
-        def feed(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        def feed(columns: list[np.ndarray], w2: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            paired = columns[0] != 0
+            w23, n, w2 = pairs.add([columns[0][paired], columns[3][paired], w2[paired]], last)
+            often = (n >= min_count) | np.isin(w23, heavy.value)
+            yield rows_of(2, n[often], w2[often], w23[often])
             w23, w1, w4, n = edges.add(columns, last)
             often = (w4 != 0) & (n >= min_count)
             yield rows_of(4, n[often], w1[often], w23[often], w4[often])
@@ -228,66 +251,46 @@ def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
             often = (w1 != 0) & (n >= min_count)
             yield rows_of(3, n[often], w1[often], w23[often])
             flow.append((w1[w1 != 0], n[w1 != 0]))
-            w23, n = pairs.add([w23, n], last)
-            often = (n >= min_count) | np.isin(w23, heavy.value)
-            yield rows_of(2, n[often], None, w23[often])
             if last or sum(len(f[0]) for f in flow) > HELD_GRAMS:
                 yield words()
 
         empty = np.empty(0, dtype=np.int64)
         for batch in batches:
-            yield from feed([batch.column(k).to_numpy() for k in (2, 0, 1, 3)], False)
-        yield from feed([empty] * 4, True)
+            yield from feed([batch.column(k).to_numpy() for k in (2, 0, 1, 3)], batch.column(4).to_numpy(), False)
+        yield from feed([empty] * 4, empty, True)
 
     outer = (F.col("w23") == 0) | F.col("w23").isin(common.tolist())
     dealt = rows.repartition("w23", F.when(outer, F.col("w1"))).sortWithinPartitions("w23", "w1", "w4")
     return dealt.mapInArrow(walk, f"size long, {COUNTS}")
 
 
-def _spellings(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` ``(w23, f2)`` with ``(lang, w2, w3, s2, s3)``, and ``(lang, n)``: the words of each language.
+def _spellings(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``words`` ``(w, f1)`` with ``(lang, s)``, and ``(lang, n)``: the words of each language.
 
-    The pairs' map of bits has a bounded size; what it lets pass by chance goes in a join.
+    The words' map of bits has a bounded size; what it lets pass by chance goes in a join.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bit_words(bit_map(pairs, "w23")))
-    names = ["w23", "lang", "w2", "w3", "s2", "s3", "n"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    bits = docs.sparkSession.sparkContext.broadcast(bit_words(bit_map(words, "w")))
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64()]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, _Words] = {}
-        seen: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
             totals: dict[str, int] = {}
-            last, last_word = np.zeros(1, dtype=np.uint64), BARRIER
-            for language, found, words, begins in _batch_words(batch, vocabularies):
-                totals[language] = totals.get(language, 0) + int(np.count_nonzero(words))
-                if not begins:
-                    found, words = [last_word, *found], np.concatenate([last, words])
-                if not len(words):
-                    continue
-                last, last_word = words[-1:], found[-1]
-                both = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
-                hashes = pair_hashes(words[both], words[both + 1]).view(np.int64)
-                kept = in_bit_map(bits.value, hashes)
-                hashes, first = np.unique(hashes[kept], return_index=True)
-                at = both[kept][first]
-                for pair, k, w2, w3 in zip(
-                    hashes.tolist(), at.tolist(), words[at].view(np.int64).tolist(), words[at + 1].view(np.int64).tolist(), strict=True
-                ):
-                    if pair not in seen:
-                        if len(seen) < HELD_WORDS:
-                            seen.add(pair)
-                        out.append((pair, language, w2, w3, found[k], found[k + 1], None))
-            out += [(0, language, 0, 0, None, None, n) for language, n in totals.items()]
-            arrays = [pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    found = docs.mapInArrow(spell, "w23 long, lang string, w2 long, w3 long, s2 binary, s3 binary, n long")
-    # One row per pair leaves each task's part of the shuffle.
-    found = found.groupBy("w23", "lang").agg(*(F.min(name).alias(name) for name in names[2:6]), F.sum("n").alias("n"))
-    found = stored(found, "spellings")
-    return found.filter("w23 <> 0").drop("n").join(pairs, "w23"), found.filter("w23 = 0").select("lang", "n")
+            for language, found, known, _ in _batch_words(batch, vocabularies):
+                totals[language] = totals.get(language, 0) + len(found) - found.count(BARRIER)
+                # Words that the vocabulary remembers were told when it met them first.
+                fresh = list(set(found).difference(known))
+                hashes = np.fromiter(map(known.__getitem__, fresh), dtype=np.uint64, count=len(fresh)).view(np.int64)
+                out += [(int(hashes[k]), language, fresh[k], None) for k in np.flatnonzero(in_bit_map(bits.value, hashes)).tolist()]
+            out += [(0, language, None, n) for language, n in totals.items()]
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["w", "lang", "s", "n"])
+
+    found = docs.mapInArrow(spell, "w long, lang string, s binary, n long")
+    found = stored(found.groupBy("w", "lang").agg(F.min("s").alias("s"), F.sum("n").alias("n")), "spellings")
+    return found.filter("w <> 0").drop("n").join(words, "w"), found.filter("w = 0").select("lang", "n")
 
 
 def _path_heads(edges: DataFrame) -> DataFrame:
@@ -383,28 +386,26 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     total = sample.agg(F.sum("n")).first()[0] or 0
     common = sample.filter(F.col("n") > total // HEAVY_SHARE).select("w23").toPandas()
     counts = stored(_flows(_grams(texts), common["w23"].to_numpy(dtype=np.int64), min_count), "flows")
-    often = F.col("f") >= min_count
-    pairs = counts.filter("size = 2").groupBy("w23").agg(F.sum("n").alias("f")).filter(often).withColumnRenamed("f", "f2")
-    words = counts.filter("size = 1").groupBy("w1").agg(F.sum("n").alias("f")).filter(often)
-    pairs, n_words = _spellings(texts, stored(pairs, "pairs"))
-    pairs = stored(pairs, "spelled-pairs")
-    spelled = pairs.select(F.col("w2").alias("w"), F.col("s2").alias("s")).union(pairs.select("w3", "s3"))
-    words = spelled.groupBy("w").agg(F.min("s").alias("s")).join(words.select(F.col("w1").alias("w"), F.col("f").alias("f1")), "w")
+    words = counts.filter("size = 1").groupBy(F.col("w1").alias("w")).agg(F.sum("n").alias("f1")).filter(F.col("f1") >= min_count)
+    words, n_words = _spellings(texts, stored(words, "words"))
     words = stored(words, "spelled-words")
 
-    def with_word(frame: DataFrame, k: int, spell: bool = False) -> DataFrame:
-        found = [F.col("w").alias(f"w{k}"), F.col("f1").alias(f"f1_{k}"), *([F.col("s").alias(f"s{k}")] if spell else [])]
+    def with_word(frame: DataFrame, k: int, *more: str) -> DataFrame:
+        found = [F.col("w").alias(f"w{k}"), F.col("f1").alias(f"f1_{k}"), F.col("s").alias(f"s{k}"), *more]
         return frame.join(words.select(*found), f"w{k}")
 
-    pairs = with_word(with_word(pairs, 2), 3)
+    # Most pairs are one row; those of common pairs are parts, of which some have the first word.
+    pairs = counts.filter("size = 2").groupBy("w23").agg(F.sum("n").alias("f2"), F.bit_or("w1").alias("w2"))
+    pairs = pairs.filter(F.col("f2") >= min_count).withColumn("w3", pair_hash("w2", "w23"))
+    pairs = stored(with_word(with_word(pairs, 2, "lang"), 3), "spelled-pairs")
     inner = pairs.withColumnRenamed("f2", "f2_23")
     nodes = counts.filter("size = 3").select("w1", "w23", F.col("n").alias("f3")).join(inner, "w23")
-    nodes = with_word(nodes, 1, spell=True).withColumn("w12", pair_hash("w1", "w2"))
+    nodes = with_word(nodes, 1).withColumn("w12", pair_hash("w1", "w2"))
     nodes = nodes.join(pairs.select(F.col("w23").alias("w12"), F.col("f2").alias("f2_12")), "w12")
     nodes = stored(nodes, "spelled-nodes")
 
     edges = counts.filter("size = 4").select(*EDGE, "n").join(pairs.select("w23", "w2", "w3"), "w23")
-    edges = with_word(edges, 4, spell=True).select(*EDGE, "n", "s4", "f1_4", F.col("w2").alias("to1"), pair_hash("w3", "w4").alias("to23"))
+    edges = with_word(edges, 4).select(*EDGE, "n", "s4", "f1_4", F.col("w2").alias("to1"), pair_hash("w3", "w4").alias("to23"))
     edges = edges.join(pairs.select(F.col("w23").alias("to23"), F.col("f2").alias("f2_34")), "to23")
     edges = edges.join(nodes.select(F.col("w1").alias("to1"), F.col("w23").alias("to23"), F.col("f3").alias("f3_to")), ["to1", "to23"])
     edges = stored(edges, "spelled-edges")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from formlens.llm import collocations as module
-from formlens.llm.collocations import collocations, pair_hashes, segments
+from formlens.llm.collocations import collocations, pair_hash, pair_hashes, segments
 
 SCHEMA = "lang STRING, text STRING, doc_id LONG, n INT, Rank INT"
 
@@ -81,5 +81,7 @@ def test_pair_hashes_are_those_of_spark(spark):
     rng = np.random.default_rng(3)
     a, b = rng.integers(-(1 << 63), (1 << 63) - 1, size=(2, 50), dtype=np.int64)
     frame = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long")
-    hashes = [row[0] for row in frame.selectExpr("xxhash64(a, b) | 1L").collect()]
-    assert pair_hashes(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist() == hashes
+    frame = frame.withColumn("pair", pair_hash("a", "b")).withColumn("second", pair_hash("a", "pair"))
+    hashes, second = zip(*frame.select("pair", "second").collect(), strict=True)
+    assert pair_hashes(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist() == list(hashes)
+    assert list(second) == b.tolist()
