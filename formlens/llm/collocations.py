@@ -9,8 +9,9 @@ paths, and a path spells its words and counts once for all phrases in it.
 
 Words are 64-bit hashes of language and word until the end: an edge is ``(w1, w23, w4)`` with one
 hash for the middle pair, a node ``(w1, w23)``; 0 stands for no word. A pair's hash is a hash of its first
-word xor its second word, so the first word tells the second: a pair takes its first word along, once
-in what a task hands on together, and only words are looked up in the texts.
+word xor its second word, so the first word tells the second: a pair takes the first half of its first word's
+hash along, in the unused half of its count and once in what a task hands on together. Only words are
+looked up in the texts. Words that share this half are all tried; just one leaves a word as the rest.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SEGMENT_BYTES = 1 << 20
 HELD_GRAMS = 1 << 21
 SLOT_BITS = 22
 HELD_WORDS = 200_000
+HELD_LANGUAGES = 8
 HELD_WORD_BYTES = 64
+TOLD_WORDS = 1 << 18
 SAMPLED_DOCS = 20_000
 HEAVY_SHARE = 2_000
 PATH_CUT = 64
@@ -47,6 +50,7 @@ BUCKETS = 256
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BARRIER = b"\xff"
 MARKED = bytes(0xFF if byte in PIECE_ENDS else byte for byte in range(256))
+FIRST_HALF = -1 << 32
 # The primes of XXH64.
 P1, P2, P3, P4, P5 = (
     np.uint64(p)
@@ -83,9 +87,13 @@ class _Words(dict):
     def __init__(self, language: str) -> None:
         super().__init__({BARRIER: 0})
         self.seed = xxhash.xxh64_intdigest(language.encode("utf-8", "surrogatepass"))
+        self.told: set[bytes] = {BARRIER}
+
+    def hash(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word, self.seed) | 1
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, self.seed) | 1
+        value = self.hash(word)
         if len(word) <= HELD_WORD_BYTES and len(self) < HELD_WORDS:
             self[word] = value
         return value
@@ -107,7 +115,7 @@ def _batch_words(batch: pa.RecordBatch, vocabularies: dict[str, _Words]) -> Iter
     """Language, words, their vocabulary and whether a text begins, by segment of rows ``(lang, text)``."""
     for language, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
         if language not in vocabularies:
-            if len(vocabularies) >= 8:
+            if len(vocabularies) >= HELD_LANGUAGES:
                 vocabularies.clear()
             vocabularies[language] = _Words(language)
         words = vocabularies[language]
@@ -133,11 +141,11 @@ def grams(words: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(rows: np.ndarray) -> list[np.ndarray]:
     """Equal rows added up, as far as they meet in the order of a hash of theirs.
 
-    They come out by their outer words, so that what a shuffle compresses together is alike. Of rows with one pair, one keeps
-    the pair's first word at least, most others get 0.
+    They come out by their outer words, so that what a shuffle compresses together is alike. Numbers of rows have the first
+    half of the pair's first word in front; of rows with one pair, one has it at least, most others 0.
     """
     order = np.argsort(_hash_long(rows[0] ^ _turned(rows[2], 17), rows[1]))
     rows = rows[:, order]
@@ -149,12 +157,13 @@ def summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     teller = np.empty(1 << SLOT_BITS, dtype=np.int64)
     teller[slot] = np.arange(len(slot))
     teller = teller[slot]
-    rows[3, (rows[1, teller] == rows[1]) & (teller != np.arange(len(slot)))] = 0
-    return rows, n
+    told = (rows[1, teller] == rows[1]) & (teller != np.arange(len(slot)))
+    first = np.where(told, np.uint64(0), rows[3]).view(np.int64) & FIRST_HALF
+    return [*rows[:3].view(np.int64), first | n]
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """``(w1, w4, w23, n, w2)`` of the texts, added up by task."""
+    """``(w1, w4, w23, n)`` of the texts, added up by task; ``n`` as of ``summed``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, _Words] = {}
@@ -162,10 +171,9 @@ def _grams(docs: DataFrame) -> DataFrame:
         tail = np.zeros(1, dtype=np.uint64)
 
         def flush() -> pa.RecordBatch:
-            (w1, w23, w4, w2), n = summed(np.concatenate(held, axis=1))
+            w1, w23, w4, n = summed(np.concatenate(held, axis=1))
             held.clear()
-            arrays = [pa.array(column.view(np.int64)) for column in (w1, w4, w23, n.astype(np.int64), w2)]
-            return pa.RecordBatch.from_arrays(arrays, names=["w1", "w4", "w23", "n", "w2"])
+            return pa.RecordBatch.from_arrays([pa.array(column) for column in (w1, w4, w23, n)], names=["w1", "w4", "w23", "n"])
 
         none = np.zeros(3, dtype=np.uint64)
         waiting: list[np.ndarray] = []
@@ -184,7 +192,7 @@ def _grams(docs: DataFrame) -> DataFrame:
         if sum(rows.shape[1] for rows in held):
             yield flush()
 
-    return docs.mapInArrow(count, "w1 long, w4 long, w23 long, n long, w2 long")
+    return docs.mapInArrow(count, "w1 long, w4 long, w23 long, n long")
 
 
 class _RunSums:
@@ -215,10 +223,10 @@ class _RunSums:
 def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
     """``(size, w1, w23, w4, n)``: edges, nodes and pairs that are frequent, and parts of the counts of words.
 
-    A pair has its first word as ``w1``.
+    A pair has the first half of its first word as ``w1``.
 
     Rows are dealt out by pair, those of the at most 2,000 ``common`` pairs by word, too: the counts of
-    these are parts as well, and a part may have 0 as its first word.
+    these are parts as well, and a part may have 0 for the first word.
     """
     heavy = rows.sparkSession.sparkContext.broadcast(common)
 
@@ -238,12 +246,13 @@ def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
             flow.clear()
             return rows_of(1, n, w1)
 
-        def feed(columns: list[np.ndarray], w2: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            paired = columns[0] != 0
-            w23, n, w2 = pairs.add([columns[0][paired], columns[3][paired], w2[paired]], last)
-            often = (n >= min_count) | np.isin(w23, heavy.value)
-            yield rows_of(2, n[often], w2[often], w23[often])
-            w23, w1, w4, n = edges.add(columns, last)
+        def feed(w1: np.ndarray, w4: np.ndarray, w23: np.ndarray, n: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            first, n = n & FIRST_HALF, n & ~FIRST_HALF
+            paired = w23 != 0
+            pair, f, first = pairs.add([w23[paired], n[paired], first[paired]], last)
+            often = (f >= min_count) | np.isin(pair, heavy.value)
+            yield rows_of(2, f[often], first[often], pair[often])
+            w23, w1, w4, n = edges.add([w23, w1, w4, n], last)
             often = (w4 != 0) & (n >= min_count)
             yield rows_of(4, n[often], w1[often], w23[often], w4[often])
             flow.append((w1[w23 == 0], n[w23 == 0]))
@@ -256,8 +265,8 @@ def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
 
         empty = np.empty(0, dtype=np.int64)
         for batch in batches:
-            yield from feed([batch.column(k).to_numpy() for k in (2, 0, 1, 3)], batch.column(4).to_numpy(), False)
-        yield from feed([empty] * 4, empty, True)
+            yield from feed(*(column.to_numpy() for column in batch.columns), False)
+        yield from feed(*[empty] * 4, True)
 
     outer = (F.col("w23") == 0) | F.col("w23").isin(common.tolist())
     dealt = rows.repartition("w23", F.when(outer, F.col("w1"))).sortWithinPartitions("w23", "w1", "w4")
@@ -279,10 +288,15 @@ def _spellings(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]
             totals: dict[str, int] = {}
             for language, found, known, _ in _batch_words(batch, vocabularies):
                 totals[language] = totals.get(language, 0) + len(found) - found.count(BARRIER)
-                # Words that the vocabulary remembers were told when it met them first.
-                fresh = list(set(found).difference(known))
-                hashes = np.fromiter(map(known.__getitem__, fresh), dtype=np.uint64, count=len(fresh)).view(np.int64)
-                out += [(int(hashes[k]), language, fresh[k], None) for k in np.flatnonzero(in_bit_map(bits.value, hashes)).tolist()]
+                fresh = list(set(found).difference(known.told))
+                hashes = np.fromiter(map(known.hash, fresh), dtype=np.uint64, count=len(fresh)).view(np.int64)
+                wanted = in_bit_map(bits.value, hashes)
+                out += [(int(hashes[k]), language, fresh[k], None) for k in np.flatnonzero(wanted).tolist()]
+                # Wanted words are told once, others not looked at again; half of the room is for wanted ones alone.
+                room = len(known.told) < TOLD_WORDS // 2
+                if room or len(known.told) < TOLD_WORDS and wanted.any():
+                    both = zip(fresh, wanted.tolist(), strict=True)
+                    known.told.update(word for word, is_wanted in both if (room or is_wanted) and len(word) <= HELD_WORD_BYTES)
             out += [(0, language, None, n) for language, n in totals.items()]
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
@@ -382,7 +396,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     columns = [F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text")]
     texts = docs.select(*columns)
     sample = _grams(sampled(docs, SAMPLED_DOCS, "text").select(*columns)).filter("w23 <> 0")
-    sample = stored(sample.groupBy("w23").agg(F.sum("n").alias("n")).filter("n > 20"), "common-pairs")
+    sample = stored(sample.groupBy("w23").agg(F.sum(F.col("n").bitwiseAND(F.lit(~FIRST_HALF))).alias("n")).filter("n > 20"), "common-pairs")
     total = sample.agg(F.sum("n")).first()[0] or 0
     common = sample.filter(F.col("n") > total // HEAVY_SHARE).select("w23").toPandas()
     counts = stored(_flows(_grams(texts), common["w23"].to_numpy(dtype=np.int64), min_count), "flows")
@@ -390,14 +404,16 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     words, n_words = _spellings(texts, stored(words, "words"))
     words = stored(words, "spelled-words")
 
-    def with_word(frame: DataFrame, k: int, *more: str) -> DataFrame:
-        found = [F.col("w").alias(f"w{k}"), F.col("f1").alias(f"f1_{k}"), F.col("s").alias(f"s{k}"), *more]
+    def with_word(frame: DataFrame, k: int) -> DataFrame:
+        found = [F.col("w").alias(f"w{k}"), F.col("f1").alias(f"f1_{k}"), F.col("s").alias(f"s{k}")]
         return frame.join(words.select(*found), f"w{k}")
 
-    # Most pairs are one row; those of common pairs are parts, of which some have the first word.
-    pairs = counts.filter("size = 2").groupBy("w23").agg(F.sum("n").alias("f2"), F.bit_or("w1").alias("w2"))
-    pairs = pairs.filter(F.col("f2") >= min_count).withColumn("w3", pair_hash("w2", "w23"))
-    pairs = stored(with_word(with_word(pairs, 2, "lang"), 3), "spelled-pairs")
+    # Most pairs are one row; those of common pairs are parts, of which some tell the first word.
+    pairs = counts.filter("size = 2").groupBy("w23").agg(F.sum("n").alias("f2"), F.bit_or("w1").alias("half"))
+    pairs = pairs.filter(F.col("f2") >= min_count)
+    first = words.select("lang", F.col("w").alias("w2"), F.col("f1").alias("f1_2"), F.col("s").alias("s2"), F.col("w").bitwiseAND(F.lit(FIRST_HALF)).alias("half"))
+    pairs = pairs.join(first, "half").drop("half").withColumn("w3", pair_hash("w2", "w23"))
+    pairs = stored(with_word(pairs, 3), "spelled-pairs")
     inner = pairs.withColumnRenamed("f2", "f2_23")
     nodes = counts.filter("size = 3").select("w1", "w23", F.col("n").alias("f3")).join(inner, "w23")
     nodes = with_word(nodes, 1).withColumn("w12", pair_hash("w1", "w2"))
