@@ -141,12 +141,14 @@ def grams(words: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def summed(rows: np.ndarray) -> list[np.ndarray]:
-    """Equal rows added up, as far as they meet in the order of a hash of theirs.
+def summed(held: list[np.ndarray]) -> list[np.ndarray]:
+    """Equal rows of the arrays ``held``, which is emptied, added up, as far as they meet in the order of a hash of theirs.
 
     They come out by their outer words, so that what a shuffle compresses together is alike. Numbers of rows have the first
     half of the pair's first word in front; of rows with one pair, one has it at least, most others 0.
     """
+    rows = np.concatenate(held, axis=1)
+    held.clear()
     order = np.argsort(_hash_long(rows[0] ^ _turned(rows[2], 17), rows[1]))
     rows = rows[:, order]
     begins = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
@@ -171,8 +173,7 @@ def _grams(docs: DataFrame) -> DataFrame:
         tail = np.zeros(1, dtype=np.uint64)
 
         def flush() -> pa.RecordBatch:
-            w1, w23, w4, n = summed(np.concatenate(held, axis=1))
-            held.clear()
+            w1, w23, w4, n = summed(held)
             return pa.RecordBatch.from_arrays([pa.array(column) for column in (w1, w4, w23, n)], names=["w1", "w4", "w23", "n"])
 
         none = np.zeros(3, dtype=np.uint64)
