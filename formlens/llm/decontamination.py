@@ -26,6 +26,7 @@ BAND_TRIALS = 512
 BLOCK_BYTES = 8 << 20
 CHUNK_WINDOWS = 32_768
 CHUNK_CANDIDATES = 2_048
+CHUNK_BYTES = 64 << 20
 EXACT_STEP = 256
 GAP, SPACE = 0, 32
 
@@ -301,9 +302,11 @@ class ItemIndex:
         by_words: dict[int, list[tuple[int, int, int]]] = {}
         for candidate in candidates:
             by_words.setdefault(-(-len(self.items[candidate[1]]) // 64), []).append(candidate)
-        for group in by_words.values():
-            for low in range(0, len(group), CHUNK_CANDIDATES):
-                part = group[low : low + CHUNK_CANDIDATES]
+        for n_words, group in by_words.items():
+            # Each candidate has a copy of its item's masks.
+            n_part = min(CHUNK_CANDIDATES, max(1, CHUNK_BYTES // (2048 * n_words)))
+            for low in range(0, len(group), n_part):
+                part = group[low : low + n_part]
                 texts, items, places = (np.array(column) for column in zip(*part, strict=True))
                 sizes = np.array([len(self.items[item]) for item in items.tolist()])
                 most = np.array([self.most[item] for item in items.tolist()])

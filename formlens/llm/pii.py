@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formlens.llm.common import bounded_batches, sampled, shipped, text_slices, texts_of
+from formlens.llm.common import bounded_batches, sampled, shipped, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -24,7 +25,8 @@ CERTAIN = 0.9
 AGREEMENT = 4.0
 # Labels of what is often written in groups of digits: cards and phones.
 GROUPED = {3, 4}
-SLICE_ROWS = 1_000
+SLICE_BYTES = 256 << 10
+BLOCK_LINKS = 1 << 16
 
 # Patterns of the contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -169,7 +171,8 @@ def build_graph(texts: list[str], spans: list[list[list[tuple[int, int]]]]) -> G
     A token that holds any of a span has the span's kind (the first listed). Alike tokens are linked
     in a row, each to the next one of its text that shares a key, so links grow with the tokens.
     """
-    owners, starts, stops, labels, on = [], [], [], [], []
+    owners, starts, stops, labels = [], [], [], []
+    on = bytearray()
     chain, skip = [], set()
     for row, text in enumerate(texts):
         last, seen, first = None, {}, 0
@@ -188,7 +191,10 @@ def build_graph(texts: list[str], spans: list[list[list[tuple[int, int]]]]) -> G
                 touched += [marked[at][2]] * (marked[at][1] > start)
                 at += 1
             labels.append(min(touched, default=0))
-            on.append(token_features(token, text[max(0, start - 24) : start]))
+            marks = bytearray(len(FEATURES))
+            for place in token_features(token, text[max(0, start - 24) : start]):
+                marks[place] = 1
+            on += marks
             if last is not None and text[stops[last] : start].isspace() and start - stops[last] == 1:
                 chain.append((last, node))
             for key in likeness(token):
@@ -196,9 +202,7 @@ def build_graph(texts: list[str], spans: list[list[list[tuple[int, int]]]]) -> G
                     skip.add((seen[key], node))
                 seen[key] = node
             last = node
-    features = np.zeros((len(owners), len(FEATURES)))
-    for node, places in enumerate(on):
-        features[node, places] = 1
+    features = np.frombuffer(on, dtype=np.uint8).reshape(-1, len(FEATURES))
     pairs = [np.array(sorted(links), dtype=np.int64).reshape(-1, 2) for links in (chain, skip)]
     return Graph(owners, starts, stops, np.array(labels, dtype=np.int64), features, *pairs)
 
@@ -244,7 +248,9 @@ class SkipChainField:
     def chances(self, graph: Graph) -> np.ndarray:
         """Label chances of all tokens by loopy message passing over both kinds of links."""
         n, size = graph.features.shape[0], len(LABELS)
-        own = graph.features @ self.unary
+        own = np.zeros((n, size))
+        for start in range(0, n, BLOCK_LINKS):
+            own[start : start + BLOCK_LINKS] = graph.features[start : start + BLOCK_LINKS].astype(np.float64) @ self.unary
         # What the patterns found stays: its label is certain.
         fixed = graph.observed > 0
         own[fixed] = -1e3
@@ -252,21 +258,28 @@ class SkipChainField:
         links = np.concatenate((graph.chain, graph.skip))
         if not len(links):
             return _normal(own)
-        tables = np.concatenate((np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)))
         source = np.concatenate((links[:, 0], links[:, 1]))
         target = np.concatenate((links[:, 1], links[:, 0]))
-        tables = np.concatenate((tables, tables.transpose(0, 2, 1)))
         back = np.roll(np.arange(len(source)), len(links))
         messages = np.zeros((len(source), size))
+        # Links of one kind and direction share a table; their sums are made a block at a time.
+        ends = np.cumsum([0, len(graph.chain), len(graph.skip), len(graph.chain), len(graph.skip)]).tolist()
+        blocks = [
+            (table, slice(start, min(start + BLOCK_LINKS, stop)))
+            for table, low, stop in zip((self.chain, self.skip, self.chain.T, self.skip.T), ends, ends[1:])
+            for start in range(low, stop, BLOCK_LINKS)
+        ]
         for _ in range(ROUNDS):
             total = own.copy()
             np.add.at(total, target, messages)
-            # What the target sent does not come back to it.
-            sent = (total[source] - messages[back])[:, :, None] + tables
-            top = sent.max(axis=1, keepdims=True)
-            fresh = top[:, 0] + np.log(np.exp(sent - top).sum(axis=1))
-            fresh -= fresh.max(axis=1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * fresh
+            before, messages = messages, np.empty_like(messages)
+            for table, part in blocks:
+                # What the target sent does not come back to it.
+                sent = (total[source[part]] - before[back[part]])[:, :, None] + table
+                top = sent.max(axis=1, keepdims=True)
+                fresh = top[:, 0] + np.log(np.exp(sent - top).sum(axis=1))
+                fresh -= fresh.max(axis=1, keepdims=True)
+                messages[part] = DAMPING * before[part] + (1 - DAMPING) * fresh
         total = own.copy()
         np.add.at(total, target, messages)
         return _normal(total)
@@ -403,6 +416,14 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> SkipChainField:
     return field
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in a row of about ``SLICE_BYTES`` of text, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    stops = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES, append=-1)) + 1
+    for start, stop in zip([0, *stops], stops):
+        yield batch.slice(start, stop - start)
+
+
 def find_personal_data(docs: DataFrame, field: SkipChainField) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)`` of every document.
 
@@ -423,7 +444,7 @@ def find_personal_data(docs: DataFrame, field: SkipChainField) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, SLICE_ROWS):
+            for part in _slices(batch):
                 base, added = all_spans(texts_of(part), shared())
                 counts = [pa.array([len(found[k]) for found in base], pa.int64()) for k in range(len(KINDS))]
                 digests = [hashlib.sha256(joined(found).encode()).hexdigest() for found in base]

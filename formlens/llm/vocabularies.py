@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from collections.abc import Iterable
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,8 @@ from formlens.functions.process import per_process
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
+MEMORY_BYTES = 64 << 20
+
 # The letters and numbers among the first 256 code points, as the tokenizers' patterns class them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -43,24 +47,32 @@ def special_strings(tokenizer) -> list[str]:
 
 
 class Memory(dict):
-    """Values by key, computed when first asked for; at most ``2 * limit`` are kept, those in use longest."""
+    """Values by key, computed when first asked for; at most ``2 * limit`` are kept, those in use longest.
+
+    Keys and values together take about ``2 * max_bytes`` at most, and what was added last; ``size_of`` tells
+    the bytes of a value.
+    """
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, limit: int, max_bytes: int = MEMORY_BYTES, size_of=sys.getsizeof):
         super().__init__()
         self.compute, self.limit, self.older = compute, limit, {}
+        self.max_bytes, self.size_of, self.held = max_bytes, size_of, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        self[key] = value
-        self.trim()
+        self.keep([(key, value)])
         return value
 
-    def trim(self) -> None:
-        if len(self) >= self.limit:
-            self.older = dict(self)
+    def keep(self, pairs: Iterable[tuple]) -> None:
+        for key, value in pairs:
+            self[key] = value
+            self.held += sys.getsizeof(key) + self.size_of(value)
+        if len(self) >= self.limit or self.held >= self.max_bytes:
+            self.older = dict(self) if self.held <= 2 * self.max_bytes else {}
             self.clear()
+            self.held = 0
 
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -186,8 +198,7 @@ class WordIds:
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
                 raw, stops = ids.tobytes(), (4 * stops).tolist()
-                self.pieces.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
-                self.pieces.trim()
+                self.pieces.keep(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=False))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text, little-endian unsigned 32-bit; null is empty."""
