@@ -39,7 +39,7 @@ SLOT_BITS = 22
 HELD_WORDS = 200_000
 HELD_LANGUAGES = 8
 HELD_WORD_BYTES = 64
-TOLD_WORDS = 1 << 18
+TOLD_WORDS = 1 << 17
 SAMPLED_DOCS = 20_000
 HEAVY_SHARE = 2_000
 PATH_CUT = 64
@@ -123,8 +123,8 @@ def _batch_words(batch: pa.RecordBatch, vocabularies: dict[str, _Words]) -> Iter
             yield language, found, words, k == 0
 
 
-def grams(words: np.ndarray) -> list[np.ndarray]:
-    """Rows ``(w1, w23, w4, w2)`` of the words of pieces, 0 between pieces and three at the end, from the second on.
+def grams(words: np.ndarray) -> list[list[np.ndarray]]:
+    """Columns of rows ``(w1, w23, w4, w2)`` of the words of pieces, 0 between pieces and three at the end, from the second on.
 
     Edges; nodes that end a piece, without ``w4``; first pairs, ``w23`` alone; last two words, ``w1`` alone. ``w2``
     is the first word of ``w23``.
@@ -135,33 +135,47 @@ def grams(words: np.ndarray) -> list[np.ndarray]:
     node_at = np.flatnonzero((w1 > 0) & (w2 > 0) & (w3 > 0))
     none = np.zeros(max(len(pair_at), len(short)), dtype=np.uint64)
     return [
-        np.stack([w1[node_at], pair_hashes(w2[node_at], w3[node_at]), w4[node_at], w2[node_at]]),
-        np.stack([none[: len(pair_at)], pair_hashes(w1[pair_at], w2[pair_at]), none[: len(pair_at)], w1[pair_at]]),
-        np.stack([short, *[none[: len(short)]] * 3]),
+        [w1[node_at], pair_hashes(w2[node_at], w3[node_at]), w4[node_at], w2[node_at]],
+        [none[: len(pair_at)], pair_hashes(w1[pair_at], w2[pair_at]), none[: len(pair_at)], w1[pair_at]],
+        [short, *[none[: len(short)]] * 3],
     ]
 
 
-def summed(held: list[np.ndarray]) -> list[np.ndarray]:
-    """Equal rows of the arrays ``held``, which is emptied, added up, as far as they meet in the order of a hash of theirs.
+def summed(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Equal rows of ``held`` added up, as far as they meet in the order of some bits; ``held`` is emptied column by column.
 
-    They come out by their outer words, so that what a shuffle compresses together is alike. Numbers of rows have the first
+    The order is by outer words, so that what a shuffle compresses together is alike. Numbers of rows have the first
     half of the pair's first word in front; of rows with one pair, one has it at least, most others 0.
     """
-    rows = np.concatenate(held, axis=1)
+    columns = []
+    for _ in range(4):
+        columns.append(np.concatenate([part.pop(0) for part in held]))
     held.clear()
-    order = np.argsort(_hash_long(rows[0] ^ _turned(rows[2], 17), rows[1]))
-    rows = rows[:, order]
-    begins = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
-    rows, n = rows[:, begins], np.diff(np.append(begins, rows.shape[1]))
-    order = np.argsort((rows[0] >> np.uint64(32) << np.uint64(32)) | (rows[2] >> np.uint64(32)))
-    rows, n = rows[:, order], n[order]
-    slot = rows[1] >> np.uint64(64 - SLOT_BITS)
-    teller = np.empty(1 << SLOT_BITS, dtype=np.int64)
-    teller[slot] = np.arange(len(slot))
+    w1, w23, w4, _ = columns
+    order = np.where(w1 == 0, w23, w1) >> np.uint64(32) << np.uint64(32)
+    order |= np.where(w4 == 0, w23, w4) >> np.uint64(44) << np.uint64(12)
+    order |= (w23 >> np.uint64(1)) & np.uint64(0xFFF)
+    del w1, w23, w4
+    order = np.argsort(order)
+    fresh = np.zeros(len(order), dtype=bool)
+    fresh[:1] = True
+    for k, column in enumerate(columns):
+        columns[k] = column = column[order]
+        if k < 3:
+            fresh[1:] |= column[1:] != column[:-1]
+    del order
+    begins = np.flatnonzero(fresh)
+    n = np.diff(np.append(begins, len(fresh)))
+    for k, column in enumerate(columns):
+        columns[k] = column[begins]
+    w23, first = columns[1], columns[3]
+    slot = w23 >> np.uint64(64 - SLOT_BITS)
+    teller = np.empty(1 << SLOT_BITS, dtype=np.int32)
+    teller[slot] = np.arange(len(slot), dtype=np.int32)
     teller = teller[slot]
-    told = (rows[1, teller] == rows[1]) & (teller != np.arange(len(slot)))
-    first = np.where(told, np.uint64(0), rows[3]).view(np.int64) & FIRST_HALF
-    return [*rows[:3].view(np.int64), first | n]
+    told = (w23[teller] == w23) & (teller != np.arange(len(slot)))
+    first[told] = 0
+    return [*(column.view(np.int64) for column in columns[:3]), (first.view(np.int64) & FIRST_HALF) | n]
 
 
 def _grams(docs: DataFrame) -> DataFrame:
@@ -169,7 +183,7 @@ def _grams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, _Words] = {}
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
         tail = np.zeros(1, dtype=np.uint64)
 
         def flush() -> pa.RecordBatch:
@@ -187,10 +201,10 @@ def _grams(docs: DataFrame) -> DataFrame:
                     # The last four words wait for those that follow; the one before them is behind.
                     together = np.concatenate([tail, *waiting])
                     held += grams(together)
-                    tail, waiting = together[-4:], []
+                    tail, waiting = together[-4:].copy(), []
                     yield flush()
         held += grams(np.concatenate([tail, *waiting, none, none]))
-        if sum(rows.shape[1] for rows in held):
+        if sum(len(rows[0]) for rows in held):
             yield flush()
 
     return docs.mapInArrow(count, "w1 long, w4 long, w23 long, n long")
