@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR
 from formlens.functions.text import rendered
-from formlens.operators.dimensions import as_array, for_each_format
+from formlens.operators.dimensions import MAX_BYTES, as_array, for_each_format
 from formlens.operators.examples import longest_examples, parse_examples
 from formlens.operators.formats import label_descriptors
-from formlens.operators.sampling import hash_key
+from formlens.operators.sampling import distinct_positions, hash_key
 
 
 def _nothing() -> Column:
@@ -84,10 +84,33 @@ def augment_examples(
     too_few = F.raise_error(F.lit(f"fewer than {per_example} formats to choose from"))
     chosen = F.when(F.size("specs") < per_example, too_few).otherwise(F.slice(F.array_sort(keyed), 1, per_example))
     rows = parsed.withColumn("specs", specs).select("*", F.explode(chosen).alias("pick")).select("*", "pick.spec")
+    return _training_texts(rows)
+
+
+def _training_texts(rows: DataFrame) -> DataFrame:
     text = rendered(F.col("question"), F.col("reasoning"), F.col("answer"), F.col("spec"), True)
     return rows.select("example_id", F.col("spec.format_id").alias("format_id"), text.alias("text"))
 
 
+def augment_with_drawn_formats(
+    train: DataFrame,
+    formats: DataFrame,
+    n: int,
+    per_example: int,
+    seed: int,
+    separator: str = ANSWER_SEPARATOR,
+    max_bytes: int = MAX_BYTES,
+) -> DataFrame:
+    """As ``augment_examples``, but formats are drawn by position: the work for an example does not grow with the catalogue."""
+    parsed = parse_examples(longest_examples(train, n), separator)
+    rows = parsed.withColumn("specs", as_array(label_descriptors(formats), "format_id", max_bytes))
+    too_few = F.raise_error(F.lit(f"fewer than {per_example} formats to choose from"))
+    drawn = distinct_positions(seed, F.col("example_id"), per_example, F.size("specs"))
+    places = F.when(F.size("specs") < per_example, too_few).otherwise(drawn)
+    rows = rows.select("*", F.explode(places).alias("place"))
+    return _training_texts(rows.withColumn("spec", F.get("specs", F.col("place").cast("int"))))
+
+
 def chat_messages(prompts: DataFrame, system: str | None = None, prompt: str = "prompt") -> DataFrame:
     """Every prompt as a list of role/content messages, after an optional system message.
 

@@ -19,10 +19,11 @@ def hash_key(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[part.cast("string") for part in parts]))
 
 
-def draw(seed: int, index: Column, side: str, size: Column | int) -> Column:
+def draw(seed: int, index: Column, side: Column | str, size: Column | int) -> Column:
     """A number in ``[0, size)`` that depends on the seed, the index and the side only."""
+    side = side if isinstance(side, Column) else F.lit(side)
     size = size if isinstance(size, Column) else F.lit(size)
-    digits = F.substring(hash_key(seed, index, F.lit(side)), 1, 15)
+    digits = F.substring(hash_key(seed, index, side), 1, 15)
     return F.pmod(F.conv(digits, 16, 10).cast("bigint"), size.cast("bigint"))
 
 
@@ -128,12 +129,63 @@ def placed(narrow: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def row_ordinals(rows: DataFrame, value: Column, key: str) -> DataFrame:
-    """Add ``ordinal``: the position in the order of ``value`` (null counts as 0) descending, then ``key``.
+    """Add ``ordinal``: the position in the order of ``value`` (a number; null counts as 0) descending, then ``key``.
 
-    Only values and keys are put in order; any ordered type of key will do, dense or sparse.
+    Bounds of the partitions come from a sample of values and keys, so a hot value is cut by its keys, and
+    rows are counted per partition before they move: whole rows are shuffled once, and numbered where
+    they land. The result lies in order, a range per partition. Any ordered type of key will do.
     """
-    narrow = rows.select(key, F.coalesce(value, F.lit(0)).alias("_value"))
-    return rows.join(placed(narrow, F.desc("_value"), F.col(key)).drop("_value"), key)
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size, part = -F.coalesce(value, F.lit(0)), F.col("_part")
+    narrow = rows.select(F.struct(size.alias("size"), F.col(key).alias("key")).alias("_at"))
+    sampled = narrow.orderBy(F.xxhash64("_at.key"), "_at").limit(max(SAMPLED_KEYS, 16 * n_parts))
+    in_order = sampled.agg(F.array_sort(F.collect_list("_at")).alias("_all"))
+    every = F.sequence(F.lit(1), F.lit(max(1, n_parts - 1)))
+    cut = F.transform(every, lambda place: F.get("_all", F.floor(place * F.size("_all") / n_parts).cast("int")))
+    bounds = in_order.select(cut.alias("_bounds")).scalar()
+
+    def ranged(table: DataFrame) -> DataFrame:
+        bounded = table.withColumn("_bounds", bounds)
+        return bounded.withColumn("_part", _bounds_below(F.col("_bounds"), n_parts - 1, F.col("_at"))).drop("_bounds")
+
+    none = rows.sparkSession.range(n_parts).select(F.col("id").cast("int").alias("_part"), F.lit(0).alias("_rows"))
+    counts = ranged(narrow).select("_part", F.lit(1).alias("_rows")).unionByName(none)
+    counts = counts.groupBy("_part").agg(F.sum("_rows").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")  # a row per partition
+    starts = counts.select("_part", before.alias("_start"))
+    starts = starts.agg(F.array_sort(F.collect_list(F.struct("_part", "_start")))).scalar()
+    placed_rows = ranged(rows.withColumn("_at", F.struct(size.alias("size"), F.col(key).alias("key"))))
+    placed_rows = placed_rows.repartitionById(n_parts, part).sortWithinPartitions("_at")
+    # An id is the partition's number above 33 bits that count its rows.
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return placed_rows.withColumn("ordinal", F.get(starts, part)["_start"] + within).drop("_at", "_part")
+
+
+def _bounds_below(bounds: Column, n: int, value: Column) -> Column:
+    """How many of ``n`` ascending bounds are less than ``value``, by halving."""
+    steps = [F.lit(1 << bit) for bit in reversed(range(n.bit_length()))]
+    if not steps:
+        return F.lit(0)
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*steps), F.lit(0), further)
+
+
+def distinct_positions(seed: int, index: Column, k: int, size: Column) -> Column:
+    """``k`` distinct numbers in ``[0, size)`` for every ``index``, each set of ``k`` alike likely.
+
+    The draw of step ``last`` is among the numbers up to ``last``; one that is taken already stands for
+    ``last`` itself. That takes ``k`` draws, however many numbers there are. ``size`` must be ``k`` at least.
+    """
+    size = size.cast("bigint")
+
+    def step(taken: Column, last: Column) -> Column:
+        at = draw(seed, index, last, last + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, at), last).otherwise(at))
+
+    return F.aggregate(F.sequence(size - k, size - 1), F.array().cast("array<bigint>"), step)
 
 
 def sample_pairs(spark: SparkSession, n: int, seed: int, n_left: Column | int, n_right: Column | int) -> DataFrame:

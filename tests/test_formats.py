@@ -7,7 +7,7 @@ from conftest import make_formats
 from formlens.fixed_values import SEPARATORS, SPACES, TRANSFORMS
 from formlens.operators import formats as fm
 from formlens.operators.dimensions import for_each_format
-from formlens.operators.prompts import augment_examples
+from formlens.operators.prompts import augment_examples, augment_with_drawn_formats
 from formlens.plans.studies import study_formats
 from formlens.sources.formats import load_format_specs, save_format_specs
 
@@ -103,3 +103,13 @@ def test_augmentation_gives_distinct_pairs_of_the_longest(spark, toy_examples):
     assert rows != augment_examples(toy_examples, formats, 2, 7, 25).collect()
     with pytest.raises(Exception, match="fewer than 21 formats"):
         augment_examples(toy_examples, formats, 2, 21, 24).collect()
+
+
+def test_drawn_formats_are_distinct_pairs_of_the_longest(spark, toy_examples):
+    formats = study_formats(spark, 20, 24)
+    rows = augment_with_drawn_formats(toy_examples, formats, 2, 7, 24).collect()
+    assert len(rows) == 14 and len({(r["example_id"], r["format_id"]) for r in rows}) == 14
+    rendered = {tuple(r) for r in augment_examples(toy_examples, formats, 2, 20, 24).collect()}
+    assert {tuple(r) for r in rows} <= rendered
+    with pytest.raises(Exception, match="fewer than 21 formats"):
+        augment_with_drawn_formats(toy_examples, formats, 2, 21, 24).collect()

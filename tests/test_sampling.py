@@ -114,3 +114,30 @@ def test_a_missing_question_is_ordered_last_and_kept(spark):
     table = spark.createDataFrame([(5, None), (2**60, "ab"), (2**60 + 1, "ab"), (9, "")], "example_id BIGINT, question STRING")
     found = {r["ordinal"]: r["example_id"] for r in order_by_question_length(table).collect()}
     assert found == {0: 2**60, 1: 2**60 + 1, 2: 5, 3: 9}
+
+
+def test_whole_rows_are_shuffled_once_and_lie_in_order(spark):
+    """Nine tenths of the questions are of one length; the query plan moves the rows once, and parts stay even."""
+    rows = spark.range(20_000).selectExpr("id AS example_id", "repeat('q', IF(id % 10 = 0, CAST(id % 97 AS INT), 50)) AS question")
+    ordered = order_by_question_length(rows)
+    found = [(r["ordinal"], -len(r["question"]), r["example_id"]) for r in ordered.collect()]
+    assert found == sorted(found) and [n for n, _, _ in found] == list(range(20_000))
+    assert [row[1:] for row in found] == sorted(row[1:] for row in found)
+    sizes = [r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+    main = plan.split("Subquery", 1)[0]
+    assert main.count("RepartitionBy") == 1 and "Join" not in plan
+    assert order_by_question_length(rows.limit(0)).collect() == []
+
+
+def test_drawn_positions_are_distinct_and_even(spark):
+    """Every pair out of seven is as likely as any other, and any size from the number wanted will do."""
+    rows = spark.range(21_000).select(sp.distinct_positions(3, F.col("id"), 2, F.lit(7)).alias("at"))
+    counts = {}
+    for row in rows.collect():
+        assert len(set(row["at"])) == 2 and set(row["at"]) <= set(range(7))
+        counts[frozenset(row["at"])] = counts.get(frozenset(row["at"]), 0) + 1
+    assert len(counts) == 21 and all(abs(n - 1000) < 160 for n in counts.values())
+    whole = spark.range(5).select(sp.distinct_positions(3, F.col("id"), 4, F.lit(4)).alias("at")).collect()
+    assert all(sorted(r["at"]) == [0, 1, 2, 3] for r in whole)
