@@ -17,6 +17,7 @@ from formlens.operators.dimensions import for_each_format
 from formlens.plans import studies
 from formlens.queries import inputs as at
 from formlens.session import scratch_path
+from formlens.sources import attempts as attempt_files
 from formlens.sources import examples as example_files
 from formlens.sources import formats as format_files
 from formlens.sources import generations as generation_files
@@ -258,6 +259,15 @@ def longest_8000_examples(spark: SparkSession, folder: str) -> DataFrame:
     return ex.longest_examples(at.examples(spark, folder), 8000).select("example_id", F.md5("answer").alias("answer_md5"))
 
 
+THIRD_SQL = LONGEST_SQL.format(n="(SELECT count(*) // 3 FROM documents)")
+
+
+@query(f"SELECT example_id, md5(answer) AS answer_md5 FROM ({THIRD_SQL})")
+def longest_third_of_examples(spark: SparkSession, folder: str) -> DataFrame:
+    rows = at.examples(spark, folder)
+    return ex.longest_examples(rows, rows.count() // 3).select("example_id", F.md5("answer").alias("answer_md5"))
+
+
 @query(f"""
 SELECT example_id, place - 1 AS sample_rank, CAST(CASE WHEN place <= 64 THEN 0 ELSE 1 END AS INT) AS half, md5(question) AS question_md5
 FROM (SELECT *, row_number() OVER (ORDER BY md5('{at.SEED}:' || example_id), example_id) AS place FROM ({at.EXAMPLES_SQL}))
@@ -326,6 +336,28 @@ def augment_8000_examples(spark: SparkSession, folder: str) -> DataFrame:
     return digest(texts, "text", *PROMPT_KEYS)
 
 
+def drawn_sql(per_example: int, n_formats: int) -> str:
+    """One format more at a time: a draw among the first numbers, and the last of them where it is taken."""
+    rows = f"SELECT *, CAST([] AS BIGINT[]) AS taken FROM ({THIRD_SQL})"
+    for last in range(n_formats - per_example, n_formats):
+        drawn = f"CAST('0x' || substr(md5('{at.SEED}:' || example_id || ':{last}'), 1, 15) AS BIGINT) % {last + 1}"
+        rows = f"""SELECT * EXCLUDE (number, taken), list_append(taken, CASE WHEN list_contains(taken, number) THEN {last} ELSE number END) AS taken
+                   FROM (SELECT *, {drawn} AS number FROM ({rows}))"""
+    return f"SELECT * EXCLUDE (taken), unnest(taken) AS place FROM ({rows})"
+
+
+@query(digest_sql(f"""
+SELECT example_id, format_id, {at.rendered_sql(True)} AS text FROM (
+    SELECT example_id, place, question, split_part(answer, '####', 1) AS reasoning, split_part(answer, '####', 2) AS answer
+    FROM ({drawn_sql(4, 100)})) AS e JOIN ({at.formats_sql(110)}) AS f ON f.format_id = e.place + 10""", "text", *PROMPT_KEYS))
+def augment_with_drawn_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest third of the table, each example in four of a hundred formats."""
+    _, train_formats = fm.split_formats(at.formats(spark, 110), 10)
+    rows = at.examples(spark, folder)
+    texts = prompts.augment_with_drawn_formats(rows, train_formats, rows.count() // 3, 4, at.SEED)
+    return digest(texts, "text", *PROMPT_KEYS)
+
+
 @query("""
 SELECT doc_id AS example_id, 1000::BIGINT AS n_formats, sum(i * (doc_id % 7 + 1))::BIGINT AS weighted
 FROM documents, range(1000) AS r(i) GROUP BY doc_id""")
@@ -589,6 +621,16 @@ def pending_work(spark: SparkSession, folder: str) -> DataFrame:
     return fm.pending_work(work, done, ["example_id", "format_id"])
 
 
+@query(digest_sql(at.GENERATIONS_SQL, "generation", "experiment", "format_id", "example_id"))
+def resume_generations(spark: SparkSession, folder: str) -> DataFrame:
+    """A first attempt stopped within every format, at the longest texts; a second one does what is left."""
+    path, work = scratch_path(spark, "attempts"), at.generations(spark, folder)
+    share = at.documents(spark, folder).agg(F.avg("n_chars").alias("n")).scalar()
+    attempt_files.write_attempt(work.filter(F.length("generation") < share), path)
+    attempt_files.write_attempt(attempt_files.uncommitted(work, path), path)
+    return digest(attempt_files.read_committed(spark, path), "generation", "experiment", "format_id", "example_id")
+
+
 @query(f"SELECT CAST(format_id AS INT) AS format_id, format_id < {at.N_FORMATS} AS available FROM range(12) AS f(format_id)")
 def available_formats(spark: SparkSession, folder: str) -> DataFrame:
     kept, missing = fm.available_formats(at.formats(spark, 12), at.generations(spark, folder))
@@ -639,6 +681,14 @@ def batch_embed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(f"SELECT example_id, format_id, md5(prompt) AS generation FROM ({TAGGED_SQL})")
+def generate_within_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of at most 16,384 padded words, spread over as many tasks as a shuffle has."""
+    rows = prompts.tagged_prompts(at.dealt_examples(spark, folder), at.formats(spark))
+    words = F.size(F.split("prompt", r"\s+"))
+    return inference.batch_generate(rows, checksum_model, 512, max_batch_tokens=16_384, size=words).drop("prompt")
+
+
 @query(f"SELECT experiment, format_id, round(accuracy, 6) AS accuracy, n_scored FROM ({ACCURACY_SQL})")
 def score_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Two landings of generations, scored as a stream; the running accuracy equals the batch result."""

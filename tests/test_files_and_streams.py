@@ -4,6 +4,7 @@ import uuid
 
 import pytest
 from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from formlens.operators.examples import order_by_question_length, reference_answers
 from formlens.operators.inference import batch_embed, batch_generate
@@ -178,6 +179,35 @@ def test_every_prompt_gets_one_generation(spark):
         batch_generate(table, echo_model, temperature=-1.0)
 
 
+def test_batches_keep_to_a_budget_and_waste_little(spark):
+    """Each prompt tells its batch; what is padded to the longest stays within the budget, nearly full."""
+    def model(temperature):
+        def run(texts):
+            name = uuid.uuid4().hex
+            return [f"{name} {len(texts)} {max(map(len, texts))}" for _ in texts]
+
+        return run
+
+    table = spark.range(6_000).selectExpr("0 AS format_id", "id AS example_id", "repeat('x', CAST(id * id % 211 AS INT)) AS prompt")
+    table = table.unionByName(spark.createDataFrame([(0, -1, "y" * 5000), (0, -2, None)], table.schema)).filter("prompt IS NOT NULL")
+    rows = batch_generate(table, model, 400, n_tasks=2, max_batch_tokens=2_000).collect()
+    assert sorted((r["example_id"], r["prompt"]) for r in rows) == sorted((r["example_id"], r["prompt"]) for r in table.collect())
+    batches = {}
+    for r in rows:
+        name, n, longest = r["generation"].split()
+        batches.setdefault((name, int(n), int(longest)), []).append(len(r["prompt"]))
+    padded = used = 0
+    for (_, n, longest), sizes in batches.items():
+        assert len(sizes) == n <= 400 and max(sizes) == longest
+        assert n * longest <= 2_000 or sizes == [5000]
+        padded, used = padded + n * longest, used + sum(sizes)
+    assert used > 0.97 * padded and len(batches) < 1.1 * used / 2_000 + 10
+    halves = batch_generate(table, model, 400, n_tasks=2, max_batch_tokens=2_000, size=F.length("prompt") * 2).collect()
+    assert all(int(n) * int(longest) * 2 <= 2_000 or n == "1" for _, n, longest in (r["generation"].split() for r in halves))
+    with pytest.raises(ValueError, match="max_batch_tokens"):
+        batch_generate(table, model, max_batch_tokens=0)
+
+
 def test_a_model_that_loses_a_prompt_is_an_error(spark):
     with pytest.raises(Exception, match="results for"):
         batch_generate(prompts(spark, 3), lambda temperature: lambda texts: texts[1:]).collect()
