@@ -5,8 +5,11 @@ A seeded order is the order of ``md5(seed:key)``. Keys must be unique in their t
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formlens.sources.tables import stored
 
@@ -131,46 +134,39 @@ def placed(narrow: DataFrame, *order: Column | str) -> DataFrame:
 def row_ordinals(rows: DataFrame, value: Column, key: str) -> DataFrame:
     """Add ``ordinal``: the position in the order of ``value`` (a number; null counts as 0) descending, then ``key``.
 
-    Bounds of the partitions come from a sample of values and keys, so a hot value is cut by its keys, and
-    rows are counted per partition before they move: whole rows are shuffled once, and numbered where
-    they land. The result lies in order, a range per partition. Any ordered type of key will do.
+    Values and keys are stored. A sample of them bounds the partitions, so a hot value is cut by its keys,
+    and they are counted per partition: whole rows are then shuffled once, and numbered where they land. The result lies in order, a range per partition. Any ordered type of key will do.
     """
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size, part = -F.coalesce(value, F.lit(0)), F.col("_part")
-    narrow = rows.select(F.struct(size.alias("size"), F.col(key).alias("key")).alias("_at"))
-    sampled = narrow.orderBy(F.xxhash64("_at.key"), "_at").limit(max(SAMPLED_KEYS, 16 * n_parts))
-    in_order = sampled.agg(F.array_sort(F.collect_list("_at")).alias("_all"))
-    every = F.sequence(F.lit(1), F.lit(max(1, n_parts - 1)))
-    cut = F.transform(every, lambda place: F.get("_all", F.floor(place * F.size("_all") / n_parts).cast("int")))
-    bounds = in_order.select(cut.alias("_bounds")).scalar()
-
-    def ranged(table: DataFrame) -> DataFrame:
-        bounded = table.withColumn("_bounds", bounds)
-        return bounded.withColumn("_part", _bounds_below(F.col("_bounds"), n_parts - 1, F.col("_at"))).drop("_bounds")
-
-    none = rows.sparkSession.range(n_parts).select(F.col("id").cast("int").alias("_part"), F.lit(0).alias("_rows"))
-    counts = ranged(narrow).select("_part", F.lit(1).alias("_rows")).unionByName(none)
-    counts = counts.groupBy("_part").agg(F.sum("_rows").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")  # a row per partition
-    starts = counts.select("_part", before.alias("_start"))
-    starts = starts.agg(F.array_sort(F.collect_list(F.struct("_part", "_start")))).scalar()
-    placed_rows = ranged(rows.withColumn("_at", F.struct(size.alias("size"), F.col(key).alias("key"))))
-    placed_rows = placed_rows.repartitionById(n_parts, part).sortWithinPartitions("_at")
+    at = F.struct((-F.coalesce(value, F.lit(0))).cast("double").alias("size"), F.col(key).alias("key"))
+    narrow = stored(rows.select(at.alias("_at")), "order-keys")
+    n_sampled = max(SAMPLED_KEYS, 16 * n_parts)
+    sample = sorted(row["_at"] for row in narrow.orderBy(F.xxhash64("_at.key"), "_at").limit(n_sampled).collect())
+    cuts = sorted({place * len(sample) // n_parts for place in range(1, n_parts)}) if sample else []
+    bounds = F.array(*[F.struct(F.lit(sample[cut]["size"]), F.lit(sample[cut]["key"])) for cut in cuts])
+    bounds = bounds.cast(T.ArrayType(narrow.schema["_at"].dataType))
+    counts = narrow.groupBy(_bounds_below(bounds, len(cuts), F.col("_at")).alias("_part")).count()
+    n_rows = {row["_part"]: row["count"] for row in counts.collect()}  # a row per partition
+    starts = F.lit([0, *accumulate(n_rows.get(part, 0) for part in range(len(cuts)))])
+
+    ranged = rows.withColumn("_at", at).withColumn("_part", _bounds_below(bounds, len(cuts), F.col("_at")))
+    ranged = ranged.repartitionById(n_parts, F.col("_part")).sortWithinPartitions("_at")
     # An id is the partition's number above 33 bits that count its rows.
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return placed_rows.withColumn("ordinal", F.get(starts, part)["_start"] + within).drop("_at", "_part")
+    start = F.get(starts.cast("array<bigint>"), F.col("_part"))
+    return ranged.withColumn("ordinal", start + within).drop("_at", "_part")
 
 
 def _bounds_below(bounds: Column, n: int, value: Column) -> Column:
     """How many of ``n`` ascending bounds are less than ``value``, by halving."""
-    steps = [F.lit(1 << bit) for bit in reversed(range(n.bit_length()))]
-    if not steps:
+    if n == 0:
         return F.lit(0)
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(n.bit_length()))])
 
     def further(at: Column, step: Column) -> Column:
         return F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at)
 
-    return F.aggregate(F.array(*steps), F.lit(0), further)
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def distinct_positions(seed: int, index: Column, k: int, size: Column) -> Column:
