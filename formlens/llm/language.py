@@ -41,6 +41,10 @@ SCRIPTS = [
 STARTS = np.array([start for start, _ in SCRIPTS])
 SCRIPT_OF = np.array([script for _, script in SCRIPTS])
 N_SCRIPTS = 30
+# Scripts written without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han; fixed values as above.
+UNSPACED = np.array([19, 20, 21, 22, 26, 28, 29])
+PIECE = 2
+LATIN = re.compile("[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u02FF]*")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -51,7 +55,11 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Words:
-    """The parts of texts between white space: distinct ones in lower case without other than letters."""
+    """The words of texts: distinct ones in lower case without other than letters, and each text's in order.
+
+    A word is what stands between white space, cut where the script changes and, in scripts written
+    without spaces, after every two letters.
+    """
 
     spelled: list[str]
     codes: np.ndarray
@@ -63,13 +71,41 @@ def letters_of(part: str) -> str:
     return part if part.isalpha() else "".join(filter(str.isalpha, part))
 
 
+def cut_by_script(part: str) -> list[str]:
+    """The words of letters without white space; a letter of no script goes with the one before it."""
+    if LATIN.fullmatch(part):
+        return [part]
+    codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    script = SCRIPT_OF[np.searchsorted(STARTS, codes, side="right") - 1]
+    known = np.flatnonzero(script)
+    if not len(known):
+        return [part]
+    places = np.arange(len(script))
+    script = script[known[np.maximum(np.searchsorted(known, places, side="right") - 1, 0)]]
+    changes = np.concatenate(([True], script[1:] != script[:-1]))
+    within = places - np.maximum.accumulate(np.where(changes, places, 0))
+    cuts = np.flatnonzero(changes | (np.isin(script, UNSPACED) & (within % PIECE == 0))).tolist()
+    return [part[low:high] for low, high in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+
+
 def words_of(texts: pa.Array) -> Words:
     split = pc.utf8_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     spelled = [part.lower() for part in coded.dictionary.to_pylist()]
     spelled = [part if part.isalpha() else letters_of(part) for part in spelled]
-    return Words(spelled, coded.indices.to_numpy().astype(np.int64), bounds - bounds[0])
+    codes, bounds = coded.indices.to_numpy().astype(np.int64), bounds - bounds[0]
+    pieces = [cut_by_script(part) for part in spelled]
+    sizes = np.array([len(cut) for cut in pieces], dtype=np.int64)
+    if not (sizes > 1).any():
+        return Words(spelled, codes, bounds)
+    numbers: dict[str, int] = {}
+    flat = np.array([numbers.setdefault(piece, len(numbers)) for cut in pieces for piece in cut], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    # A part's use becomes the uses of its pieces, one after the other.
+    ends = np.concatenate(([0], np.cumsum(sizes[codes])))
+    shift = np.repeat(first[codes] - ends[:-1], sizes[codes])
+    return Words(list(numbers), flat[np.arange(ends[-1]) + shift], ends[bounds])
 
 
 def grams(spelled: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,8 +300,8 @@ def _spans(model: LanguageModel, texts: pa.Array) -> tuple[list, list, list]:
 def label_languages(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """The documents with ``lang_pred``, ``lang_score`` and ``lang_spans``.
 
-    Words are what stands between white space, without other characters than letters. Each gets a
-    score per language from its character n-grams, the languages of its script competing; the best
+    Words are what stands between white space, without other characters than letters, cut where the script
+    changes; in scripts written without spaces every two letters are a word. Each gets a score per language from its character n-grams, the languages of its script competing; the best
     sequence of languages, where every switch costs a penalty, gives the spans (first word and number
     of words, counted from 0, and language). The prediction is the language of most words, the first
     by name among equals, and the score its share of the words with letters.

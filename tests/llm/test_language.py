@@ -76,6 +76,58 @@ def test_odd_rows(spark, model):
     assert isinstance(nothing, LanguageModel) and {r._lang_pred for r in label_languages(docs, nothing).collect()} == {"und"}
 
 
+ZH = "今天天气很好 我们去公园散步 孩子在河边看小鸟 他们喜欢喝茶和读书 明天会下雨"
+JA = "今日はとても良い天気です 私たちは公園を歩きました 子供は川で鳥を見ています 本を読むのが好きです"
+TH = "วันนี้อากาศดีมาก เราไปเดินเล่นในสวน เด็กดูนกที่ริมน้ำ พวกเขาชอบดื่มชาและอ่านหนังสือ"
+
+
+def plainly_cut(text):
+    """Words letter by letter."""
+    words = []
+    for part in text.split():
+        run, known = "", 0
+        for letter in filter(str.isalpha, part.lower()):
+            at = max(k for k, (start, _) in enumerate(language.SCRIPTS) if start <= ord(letter))
+            script = language.SCRIPTS[at][1] or known
+            full = len(run) == language.PIECE and known in language.UNSPACED
+            if run and ((known and script != known) or full):
+                words.append(run)
+                run = ""
+            run, known = run + letter, script
+        words.append(run)
+    return words
+
+
+def test_words_are_cut_by_script_as_letter_by_letter():
+    rng = np.random.default_rng(8)
+    letters = list("ab Z é ß1_ -ая ש ع 今天気 のカ ไท ย် ក 한 ꓐ 𠀀 .") + [" ", "\u00aa", "\u0e31"]
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 400)] + [None, "", ZH + EN + TH, "今" * 10_001]
+    words = words_of(pa.array(texts, pa.string()))
+    for low, high, text in zip(words.bounds[:-1], words.bounds[1:], texts, strict=True):
+        found = [words.spelled[code] for code in words.codes[low:high]]
+        assert [word for word in found if word] == [word for word in plainly_cut(text or "") if word]
+
+
+def test_scripts_without_spaces(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(400):
+        lang, words, between = [("en", EN, " "), ("zh", ZH, ""), ("ja", JA, ""), ("th", TH, "")][k % 4]
+        rows.append((k, between.join(rng.choice(words.split(), 12)), lang))
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [
+        (1, ZH.replace(" ", "") * 8 + " the park", "zh"),
+        (2, JA.replace(" ", "") + "hello world" + JA.replace(" ", ""), "ja"),
+        (3, TH.replace(" ", "") + " hello", "th"),
+        (4, ZH.replace(" ", "，") * 20_000, "zh"),
+    ]
+    found = {r.doc_id: r for r in label_languages(spark.createDataFrame(texts, "doc_id long, text string, want string"), model).collect()}
+    assert all(found[k].lang_pred == want and found[k].lang_score > 0.9 for k, _, want in texts if k != 2)
+    assert found[2].lang_pred == "ja"
+    mixed = spark.createDataFrame([(1, "今天天气很好Hello the world is here今天天气很好")], "doc_id long, text string")
+    assert [tuple(span) for span in label_languages(mixed, model).first().lang_spans] == [(0, 3, "zh"), (3, 5, "en"), (8, 3, "zh")]
+
+
 def test_held_out_languages_are_not_learnt(spark, documents):
     keys = [k for k in range(2000, 2100) if zlib.crc32(str(k).encode()) % 5 == 0]
     poison = spark.createDataFrame([(k, EN, "xx") for k in keys], "doc_id long, text string, lang string")
