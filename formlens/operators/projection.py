@@ -54,11 +54,13 @@ def project_out(
     return project_out_all(vectors, single, weight, column)
 
 
-def project_out_columns(matrices: DataFrame, direction: DataFrame, weight: float = 1.0) -> DataFrame:
+def project_out_columns(matrices: DataFrame, direction: DataFrame, weight: float = 1.0, partial: bool = False) -> DataFrame:
     """``M - weight v (vᵀM)`` for matrices stored by rows (``matrix_id, row_idx, values``).
 
     ``vᵀM`` is a weighted sum of rows, combined before the shuffle. Every matrix must have
     exactly as many rows as the direction has entries, so no matrix can dominate the join.
+    With ``partial`` it may lack some: a missing row counts as zeros, and none is made up for it. A row
+    that comes twice is an error then.
     """
     unit = direction_matrix(direction.select(F.lit(0).alias("component"), "vector"))
     if len(unit) != 1:
@@ -75,16 +77,27 @@ def project_out_columns(matrices: DataFrame, direction: DataFrame, weight: float
         return as_lists(as_matrix(rows) - share * as_matrix(column_sums))
 
     weighted = matrices.select("matrix_id", array_to_vector(scaled("values", "row_idx")).alias("_row"))
-    merged = weighted.groupBy("matrix_id").agg(Summarizer.sum(F.col("_row")).alias("_row"), F.count("*").alias("_rows"))
+    sums = [Summarizer.sum(F.col("_row")).alias("_row"), F.count("*").alias("_rows")]
     misfit = F.raise_error(F.lit(f"a matrix must have {len(unit[0])} rows to fit the direction"))
-    fitting = F.when(F.col("_rows") == len(unit[0]), vector_to_array("_row")).otherwise(misfit)
+    fits = F.col("_rows") == len(unit[0])
+    if partial:
+        # Places are checked where the axis is looked up, so different ones are no more than the axis has.
+        weighted = matrices.select("matrix_id", "row_idx", array_to_vector(scaled("values", "row_idx")).alias("_row"))
+        sums.append(F.size(F.collect_set("row_idx")).alias("_places"))
+        fits = F.col("_rows") == F.col("_places")
+        misfit = F.raise_error(F.lit(f"a matrix must have {len(unit[0])} rows at most, each once, to fit the direction"))
+    merged = weighted.groupBy("matrix_id").agg(*sums)
+    fitting = F.when(fits, vector_to_array("_row")).otherwise(misfit)
     joined = matrices.join(merged.select("matrix_id", fitting.alias("_sums")), "matrix_id")
     return joined.select("matrix_id", "row_idx", shifted("values", "row_idx", "_sums").alias("values"))
 
 
 def _entries(axis: np.ndarray, positions: pa.Array) -> np.ndarray:
     """``axis`` at the row positions; a matrix with more rows than the axis is an error."""
-    return axis[positions.to_numpy(zero_copy_only=False)]
+    places = positions.to_numpy(zero_copy_only=False)
+    if (places < 0).any():
+        raise IndexError(f"row {places.min()} of a matrix")
+    return axis[places]
 
 
 def projection_residual(before: DataFrame, after: DataFrame, directions: DataFrame) -> DataFrame:

@@ -377,9 +377,9 @@ SELECT matrix_id, row_idx, pos, x - v * sum(v * x) OVER (PARTITION BY matrix_id,
 FROM ({MATRICES_SQL}) JOIN (SELECT pos AS row_idx, v FROM ({COLUMN_AXIS_SQL.format(means=LABEL_MEANS_SQL)})) USING (row_idx)""",
     "x", "matrix_id", "row_idx"))
 def project_out_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """Four vectors in a row are the rows of one matrix."""
+    """Four vectors in a row are the rows of one matrix; the last one may have fewer."""
     matrices = at.table(spark, folder, "embeddings").selectExpr(
         "CAST(floor(vec_id / 4) AS BIGINT) AS matrix_id", "CAST(vec_id % 4 AS INT) AS row_idx", "embedding AS values"
     )
     axis = label_axes(spark, folder, 1).select(F.slice("vector", 1, 4).alias("vector"))
-    return shape(projection.project_out_columns(matrices, axis), "values", "matrix_id", "row_idx")
+    return shape(projection.project_out_columns(matrices, axis, partial=True), "values", "matrix_id", "row_idx")

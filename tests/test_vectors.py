@@ -205,6 +205,23 @@ def test_column_side_projection(spark):
         projection.project_out_columns(table_of_rows.filter("row_idx < 3"), direction).collect()
 
 
+def test_column_side_projection_of_matrices_with_missing_rows(spark):
+    axis = np.array([3.0, 0.0, 4.0]) / 5
+    rows = [(0, i, [float(i + 1), 2.0]) for i in range(3)] + [(1, 0, [5.0, 1.0]), (2, 2, [1.0, 0.0]), (2, 1, [7.0, 7.0])]
+    fields = "matrix_id BIGINT, row_idx INT, values ARRAY<DOUBLE>"
+    direction = axes_table(spark, axis[None])
+    found = projection.project_out_columns(spark.createDataFrame(rows, fields).repartition(3), direction, partial=True).collect()
+    matrices = np.zeros((3, 3, 2))
+    for m, i, values in rows:
+        matrices[m, i] = values
+    expected = {(m, i): matrices[m, i] - axis[i] * (axis @ matrices[m]) for m, i, _ in rows}
+    assert len(found) == len(rows)
+    assert all(np.allclose(r["values"], expected[r["matrix_id"], r["row_idx"]]) for r in found)
+    for more in ((1, 0, [5.0, 1.0]), (1, 3, [5.0, 1.0]), (1, -1, [5.0, 1.0])):
+        with pytest.raises(Exception, match="each once|out of bounds|row -1"):
+            projection.project_out_columns(spark.createDataFrame([*rows, more], fields), direction, partial=True).collect()
+
+
 def test_directions_from_states(states):
     for options in ({}, {"target_format": 1}):
         found = frame(format_directions(states, 1, 3, 24, n_blocks=8, block_size=16, **options))
