@@ -101,29 +101,50 @@ def normalized(answer: Column) -> Column:
 WRITTEN_NUMBER = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?%?"
 
 
-def written_number(text: Column) -> Column:
-    """The last number as it is written, with sign, commas and per cent sign, or an empty string; null for null."""
-    numbers = F.regexp_extract_all(text, F.lit(WRITTEN_NUMBER), F.lit(0))
-    return F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.when(text.isNotNull(), ""))
+# It never crosses a character other than these, so the last number of a text lies in its last run of them with a
+# digit, up to that digit and a per cent sign right behind it. Runs are looked for from the back here, too.
+WRITTEN_RUN = r"%?[0-9][-+,.%0-9]*+"
 
 
-def canonical_number(text: Column) -> Column:
-    """The last number of a text in the one spelling of its value: ``+1,050.50`` is ``1050.5``, ``-0`` is ``0``, ``5%`` is ``0.05``.
+def closing_written_run(text: Column) -> Column:
+    """That run if it lies within the closing characters of the text, otherwise an empty string."""
+    return F.regexp_extract(F.reverse(F.right(text, F.lit(CLOSING_CHARS))), f"({WRITTEN_RUN})[^-+,.%0-9]", 1)
+
+
+def last_written_run(text: Column) -> Column:
+    return F.regexp_extract(F.reverse(text), WRITTEN_RUN, 0)
+
+
+def written_number(run: Column) -> Column:
+    """The number at the end of a run, with sign, commas and per cent sign, or an empty string; null for null."""
+    numbers = F.regexp_extract_all(F.reverse(run), F.lit(WRITTEN_NUMBER), F.lit(0))
+    return F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.when(run.isNotNull(), ""))
+
+
+def with_canonical_number(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the last number of ``text`` in the one spelling of its value: ``+1,050.50`` is ``1050.5``, ``-0`` is ``0``, ``5%`` is ``0.05``.
 
     Digits are moved as text, so that numbers of any length stay exact. Without a number it is the empty string.
+    Long texts are searched once, and only where the number does not lie in their closing characters; steps are
+    columns of their own so that none is evaluated twice.
     """
-    written = written_number(text)
-    plain = F.regexp_replace(written, r"[+,%-]", "")
-    whole, part = F.substring_index(plain, ".", 1), F.regexp_extract(plain, r"\.([0-9]+)", 1)
-    percent = F.endswith(written, F.lit("%"))
-    padded = F.concat(F.lit("00"), whole)
+    steps = rows.withColumn("_text", text).withColumn("_closing", closing_written_run(F.col("_text")))
+    run = F.when(F.col("_closing") != "", F.col("_closing")).otherwise(last_written_run(F.col("_text")))
+    steps = steps.withColumn("_run", run).drop("_text", "_closing")
+    steps = steps.withColumn("_written", written_number(F.col("_run"))).drop("_run")
+    steps = steps.withColumn("_plain", F.regexp_replace("_written", r"[+,%-]", ""))
+    steps = steps.withColumn("_whole", F.substring_index("_plain", ".", 1)).withColumn("_part", F.regexp_extract("_plain", r"\.([0-9]+)", 1))
+    percent, padded = F.endswith("_written", F.lit("%")), F.concat(F.lit("00"), F.col("_whole"))
     # Per cent moves the point by two digits.
-    part = F.when(percent, F.concat(F.right(padded, F.lit(2)), part)).otherwise(part)
-    whole = F.when(percent, F.substring(padded, F.lit(1), F.length(padded) - 2)).otherwise(whole)
-    whole, part = F.ltrim(whole, F.lit("0")), F.rtrim(part, F.lit("0"))
-    value = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    signed = F.when(F.startswith(written, F.lit("-")) & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
-    return F.when(written == "", "").otherwise(signed)
+    part = F.when(percent, F.concat(F.right(padded, F.lit(2)), F.col("_part"))).otherwise(F.col("_part"))
+    whole = F.when(percent, F.substring(padded, F.lit(1), F.length(padded) - 2)).otherwise(F.col("_whole"))
+    steps = steps.withColumn("_part", F.rtrim(part, F.lit("0"))).withColumn("_whole", F.ltrim(whole, F.lit("0")))
+    fraction = F.when(F.col("_part") == "", "").otherwise(F.concat(F.lit("."), F.col("_part")))
+    steps = steps.withColumn("_value", F.concat(F.when(F.col("_whole") == "", "0").otherwise(F.col("_whole")), fraction))
+    negative = F.startswith("_written", F.lit("-")) & (F.col("_value") != "0")
+    signed = F.when(negative, F.concat(F.lit("-"), F.col("_value"))).otherwise(F.col("_value"))
+    found = F.when(F.col("_written") == "", "").otherwise(signed)
+    return steps.withColumn(name, found).drop("_written", "_plain", "_whole", "_part", "_value")
 
 
 def until_stop(generation: Column, stops: list[str], keep_stop: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR, RESPONSE_TAG
-from formlens.functions.text import answer_parts, canonical_number, normalized
+from formlens.functions.text import answer_parts, normalized, with_canonical_number
 from formlens.operators.sampling import first_rows, hash_ranked, row_ordinals
 
 
@@ -49,8 +49,9 @@ def reference_answers(
     """The normalised final answer of every example that has one; with ``strict_numeric`` its number's canonical spelling."""
     answered = examples.select("example_id", "answer").filter("answer IS NOT NULL")
     parsed = parse_examples(answered, separator, strict)
-    reference = canonical_number if strict_numeric else normalized
-    return parsed.select("example_id", reference(F.col("answer")).alias("reference"))
+    if strict_numeric:
+        return with_canonical_number(parsed, F.col("answer"), "reference").select("example_id", "reference")
+    return parsed.select("example_id", normalized(F.col("answer")).alias("reference"))
 
 
 def head_examples(examples: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlens.fixed_values import ANSWER_SEPARATOR, END_TAG, STOP_STRINGS
-from formlens.functions.text import before_end_tag, canonical_number, closing_run, last_number, last_run, normalized, until_stop
+from formlens.functions.text import before_end_tag, closing_run, last_number, last_run, normalized, until_stop, with_canonical_number
 from formlens.operators.examples import reference_answers
 
 FORMAT_KEYS = ["experiment", "format_id"]
@@ -47,7 +47,7 @@ def predictions(generations: DataFrame, strict_numeric: bool = False) -> DataFra
     canonical spelling, so that ``-5`` differs from ``5`` and ``1,000.0`` equals ``1000``.
     """
     if strict_numeric:
-        return generations.withColumn("prediction", canonical_number(before_end_tag(F.col("generation")))).drop("generation")
+        return with_canonical_number(generations, before_end_tag(F.col("generation")), "prediction").drop("generation")
     return normalize_answers(extract_answers(generations))
 
 

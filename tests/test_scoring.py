@@ -146,3 +146,39 @@ def test_accuracy_by_value(spark):
     assert found == {0: 0.5, 1: 1.0}
     found = {r["format_id"]: r["accuracy"] for r in format_accuracy(generations, examples).collect()}
     assert found == {0: 0.5, 1: 0.0}
+
+
+def test_last_numbers_of_long_texts_are_those_of_the_whole_text(spark):
+    """Runs of number characters at, across and far before the closing characters, against a search through all of the text."""
+    import random
+    import re
+
+    from formlens.functions.text import CLOSING_CHARS, WRITTEN_NUMBER, with_canonical_number
+
+    rng = random.Random(5)
+    runs = ["".join(rng.choice("0123456789,,..%+-") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    runs += ["1," + "234," * 90 + "567", "%" * 300, "7" + "%," * 150, "5%%", "+-.,", "9" * 400]
+    texts = [f"{rng.choice(runs)} and {run}{rng.choice(['', '.', ' x', 'y' * (CLOSING_CHARS - rng.randrange(12))])}" for run in runs]
+    rows = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "n INT, text STRING")
+    plan = with_canonical_number(rows, F.col("text"), "value")
+    found = {r["n"]: r["value"] for r in plan.collect()}
+    whole = {n: (re.findall(WRITTEN_NUMBER, text) or [""])[-1] for n, text in enumerate(texts)}
+    # A text that is nothing but the number, far shorter than the closing characters or searched as a whole.
+    alone = spark.createDataFrame(list(whole.items()), "n INT, text STRING")
+    assert found == {r["n"]: r["value"] for r in with_canonical_number(alone, F.col("text"), "value").collect()}
+    assert plan.columns == ["n", "text", "value"] and len(set(found.values())) > 200
+
+
+def test_a_whole_text_is_searched_backwards_for_its_last_number(spark):
+    """A number is looked for from the back, once: texts full of numbers take no search through all of them."""
+    import time
+
+    from formlens.operators.scoring import predictions
+
+    rows = spark.range(400).selectExpr("'e' AS experiment", "0 AS format_id", "id AS example_id", "concat(repeat('7 ', 100000), id, '.50') AS generation")
+    rows.cache().count()
+    began = time.time()
+    found = predictions(rows, strict_numeric=True).agg(F.count_if(F.col("prediction") == F.concat("example_id", F.lit(".5")))).first()[0]
+    took = time.time() - began
+    rows.unpersist()
+    assert found == 400 and took < 10
