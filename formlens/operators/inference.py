@@ -20,14 +20,20 @@ Embed = Callable[[list[str]], list[list[list[float]]]]
 
 
 SIZE = "_prompt_size"
+TASK_BYTES = 128 << 20
 
 
 def _balanced(prompts: DataFrame, prompt: str, size: Column | None, n_tasks: int | None) -> DataFrame:
     """Spread prompts by hash, then put prompts of like size side by side inside every task, with ``_prompt_size``.
 
-    Without ``n_tasks`` they are spread over as many tasks as a shuffle has.
+    Without ``n_tasks`` they are spread over as many tasks as a shuffle has. ``n_tasks`` are too few for prompts of more
+    than ``TASK_BYTES`` each: their bytes are counted first, and a task is added for every further ``TASK_BYTES``.
     """
-    n_tasks = n_tasks or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not n_tasks:
+        n_tasks = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    elif not prompts.isStreaming:
+        n_bytes = prompts.agg(F.sum(F.octet_length(prompt))).first()[0] or 0
+        n_tasks = max(n_tasks, -(-n_bytes // TASK_BYTES))
     size = F.length(prompt) if size is None else size
     keyed = prompts.withColumn(SIZE, F.coalesce(size.cast("bigint"), F.lit(0)))
     return keyed.repartition(n_tasks, "example_id", "format_id").sortWithinPartitions(F.desc(SIZE))
@@ -78,6 +84,7 @@ def batch_generate(
 
     Prompts of like ``size`` (tokens, say; characters by default) share a batch. ``max_batch_tokens`` bounds
     a batch as the model sees it, every prompt padded to the largest; a larger prompt goes alone.
+    ``n_tasks`` is the least number of tasks: no task gets much more than 128 MiB of prompts.
     ``resources`` asks for what a task needs, such as a GPU.
     """
     if temperature < 0:

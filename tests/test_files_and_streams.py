@@ -289,6 +289,25 @@ def test_prompts_are_spread_and_a_worker_makes_one_model(spark):
     assert len(set(tasks)) == 8 and len(set(models)) == len(set(pids))
 
 
+def test_tasks_grow_with_the_bytes_of_the_prompts(spark, monkeypatch):
+    """``n_tasks`` bounds the number of tasks from below only: a task gets about so many bytes, however many there are."""
+    from formlens.operators import inference
+
+    def model(temperature):
+        return lambda texts: [str(TaskContext.get().partitionId()) for _ in texts]
+
+    def encoder():
+        return lambda texts: [[[float(TaskContext.get().partitionId())]] for _ in texts]
+
+    table = prompts(spark).withColumn("prompt", F.repeat(F.lit("ü"), 50))
+    found = []
+    for n_bytes in (128 << 20, 1_000):
+        monkeypatch.setattr(inference, "TASK_BYTES", n_bytes, raising=False)
+        found.append(len({r["generation"] for r in batch_generate(table, model, n_tasks=2).collect()}))
+        found.append(len({r["embedding"][0] for r in batch_embed(table, encoder, n_tasks=2).collect()}))
+    assert found == [2, 2, 10, 10]
+
+
 def test_unknown_answers_and_new_checkpoints(spark, tmp_path, toy_examples):
     landing, scores = str(tmp_path / "landing"), str(tmp_path / "scores")
     rows = [("exp", 0, e, "42") for e in (1, 99)]
