@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,30 @@ def running_accuracy(spark: SparkSession, scores_path: str) -> DataFrame:
     return accuracy_of(latest)
 
 
+SCORED = "scored BINARY, correct BINARY"
 COUNTERS = "experiment STRING, format_id INT, n_correct BIGINT, n_scored BIGINT"
 
 
+# Ids are dealt to stripes in turn; a block is what a stripe has of a run of STRIPES * BLOCK ids.
+STRIPES, BLOCK = 256, 1024
+BLOCK_KEYS = [f"shiftright(example_id, {(STRIPES * BLOCK).bit_length() - 1}) AS run", f"CAST(pmod(example_id, {STRIPES}) AS INT) AS stripe"]
+
+
 def _rescored(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What the newest score of an example changes in its format's counters."""
-    correct = max((row.prediction, bool(row.correct)) for rows in batches for row in rows.itertuples(index=False))[1]
-    before = state.get[0] if state.exists else None
-    if before != correct:
-        state.update((correct,))
-        gained, added = int(correct) - int(bool(before)), int(before is None)
+    """What the newest scores of a block's examples change in its format's counters."""
+    newest = None
+    for rows in batches:
+        rows = rows[["place", "prediction", "correct"]]
+        rows = rows if newest is None else pd.concat([newest, rows])
+        newest = rows.sort_values(["place", "prediction", "correct"]).drop_duplicates("place", keep="last")
+    place, correct = newest["place"].to_numpy(dtype=np.int64), newest["correct"].to_numpy(dtype=bool)
+    bits = state.get if state.exists else (bytes(BLOCK // 8), bytes(BLOCK // 8))
+    scored, right = (np.unpackbits(np.frombuffer(some, dtype=np.uint8)).astype(bool) for some in bits)
+    known, before = scored[place], right[place]
+    if not known.all() or (before != correct).any():
+        scored[place], right[place] = True, correct
+        state.update((np.packbits(scored).tobytes(), np.packbits(right).tobytes()))
+        gained, added = int(correct.sum()) - int(before.sum()), int((~known).sum())
         yield pd.DataFrame({"experiment": [key[0]], "format_id": [key[1]], "n_correct": [gained], "n_scored": [added]})
 
 
@@ -77,9 +92,10 @@ def accuracy_stream(
 ) -> StreamingQuery:
     """Keep the accuracy per experiment and format up to date as generations come in.
 
-    Spark's state store holds one flag per example of a format: whether its newest generation is
-    right. A batch looks up its own examples alone; a new one adds to its format's counters, a
-    re-scored one corrects them. The counters of a batch are those of the batch before plus what changed, one
+    Spark's state store holds two bits per example of a format: that it was scored, and whether its newest
+    generation is right. A row of the store is a block of up to 1,024 examples of one format, every 256th of a run of
+    ids, which Python works off in one call; ids far apart have blocks, and calls, of their own. A batch looks up the
+    blocks of its own examples alone; a new one adds to its format's counters, a re-scored one corrects them. The counters of a batch are those of the batch before plus what changed, one
     row per format in a folder named by query and batch. A retry starts from the same state and the
     same counters and overwrites its folder; a restart with the same checkpoint goes on from there.
 
@@ -88,10 +104,10 @@ def accuracy_stream(
     """
     known = stored(references.select("example_id", "reference"), "references")
     scored = predictions(generations).join(known, "example_id")
-    scored = scored.select(*SCORE_KEYS, F.coalesce("prediction", F.lit("")).alias("prediction"), F.col("prediction").eqNullSafe(F.col("reference")).alias("correct"))
-    changes = scored.groupBy(*SCORE_KEYS).applyInPandasWithState(
-        _rescored, COUNTERS, "correct BOOLEAN", "update", GroupStateTimeout.NoTimeout
-    )
+    place = f"CAST(shiftright(example_id, {STRIPES.bit_length() - 1}) & {BLOCK - 1} AS INT) AS place"
+    said = ["coalesce(prediction, '') AS prediction", "prediction <=> reference AS correct"]
+    blocks = scored.selectExpr(*FORMAT_KEYS, *BLOCK_KEYS, place, *said).groupBy(*FORMAT_KEYS, "run", "stripe")
+    changes = blocks.applyInPandasWithState(_rescored, COUNTERS, SCORED, "update", GroupStateTimeout.NoTimeout)
 
     def add_up(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

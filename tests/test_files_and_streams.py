@@ -362,3 +362,27 @@ def test_a_batch_that_is_run_again_counts_once(spark, tmp_path, toy_examples):
         accuracy_stream(stream_generations(spark, landing), references, counters, progress).awaitTermination()
     found = {r["format_id"]: (r["accuracy"], r["n_scored"]) for r in latest_accuracy(spark, counters).collect()}
     assert found == {0: (0.0, 1), 1: (1.0, 1)}
+
+
+def test_a_block_of_examples_is_scored_in_one_call(spark, tmp_path):
+    """Examples of one stripe share a row of the state store; ids may be negative or large, or come again."""
+    landing, counters, progress = (str(tmp_path / name) for name in ("landing", "counters", "progress"))
+    ids = [*range(0, 256 * 1100, 256), -1, -256, 2**62, 2**63 - 1, -(2**63)]
+    references = spark.createDataFrame([(e, str(abs(e) % 7)) for e in ids], "example_id BIGINT, reference STRING")
+
+    def run(rows):
+        spark.createDataFrame([("exp", *row) for row in rows], GENERATIONS).repartition(3).write.mode("append").parquet(landing)
+        query = accuracy_stream(stream_generations(spark, landing), references, counters, progress)
+        query.awaitTermination()
+        found = {r["format_id"]: (round(r["accuracy"] * r["n_scored"]), r["n_scored"]) for r in latest_accuracy(spark, counters).collect()}
+        return found, sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"])
+
+    right = {e: e % 3 == 0 for e in ids}
+    found, n_updated = run([(f, e, str(abs(e) % 7) if right[e] else "8") for f in (0, 1) for e in ids])
+    assert found == {f: (sum(right.values()), len(ids)) for f in (0, 1)}
+    assert n_updated == 2 * (2 + 5)
+    # Again: some turn wrong, some right, some stay; the greater of two strings counts.
+    again = {e: e % 2 == 0 for e in ids[::5]}
+    rows = [(0, e, str(abs(e) % 7) if value else "9") for e, value in again.items()]
+    found, _ = run(rows + [(0, e, "") for e in again])
+    assert found == {0: (sum({**right, **again}.values()), len(ids)), 1: (sum(right.values()), len(ids))}
