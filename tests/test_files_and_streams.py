@@ -386,3 +386,57 @@ def test_a_block_of_examples_is_scored_in_one_call(spark, tmp_path):
     rows = [(0, e, str(abs(e) % 7) if value else "9") for e, value in again.items()]
     found, _ = run(rows + [(0, e, "") for e in again])
     assert found == {0: (sum({**right, **again}.values()), len(ids)), 1: (sum(right.values()), len(ids))}
+
+
+def test_generations_are_written_where_they_are(spark, tmp_path):
+    """A file per task and format: nothing is dealt out anew, and more formats than open files come through, too."""
+    path = str(tmp_path / "generations")
+    rows = spark.range(0, 400, 1, 4).selectExpr("'exp' AS experiment", "CAST(id % 50 AS INT) AS format_id", "id AS example_id", "'x' AS generation")
+    generation_files.write_generations(rows, path)
+    assert generation_files.read_stored_generations(spark, path).distinct().count() == 400
+    assert {len([f for f in os.listdir(f"{path}/experiment=exp/format_id={k}") if f.endswith(".parquet")]) for k in range(50)} == {4}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
+
+
+def test_arrays_from_partitions_in_order(spark, tmp_path):
+    """Partitions that follow each other by ordinal are written as they are, compressed if asked; others are refused."""
+    import gzip
+
+    path = str(tmp_path / "arrays")
+    texts = spark.createDataFrame([(n, text) for n, text in enumerate(TEXTS * 20)], "ordinal BIGINT, generation STRING")
+    rows = texts.repartitionByRange(4, "ordinal").selectExpr("explode(array('one', 'two')) AS experiment", "1 AS format_id", "*")
+    generation_files.write_generation_arrays(rows, path, in_order=True, compression="gzip")
+    for experiment in ("one", "two"):
+        folder = os.path.join(path, f"experiment={experiment}", "array=generations_format_spec_1.json")
+        parts = sorted(name for name in os.listdir(folder) if name.startswith("part-"))
+        assert len(parts) == 6 and all(name.endswith(".gz") for name in parts)
+        assert json.loads(b"".join(gzip.open(os.path.join(folder, name)).read() for name in parts)) == TEXTS * 20
+    found = generation_files.read_generations(spark, path, with_experiment=True)
+    assert sorted(map(tuple, found.collect())) == sorted((e, 1, n, text) for e in ("one", "two") for n, text in enumerate(TEXTS * 20))
+    shuffled = rows.repartition(4, "generation")
+    with pytest.raises(Exception, match="not in order"):
+        generation_files.write_generation_arrays(shuffled, path, in_order=True)
+    with pytest.raises(Exception, match="ordinals are not"):
+        generation_files.write_generation_arrays(rows.filter("ordinal <> 7"), path, in_order=True)
+    assert generation_files.read_generations(spark, path).count() == 2 * 20 * len(TEXTS)
+
+
+def test_a_folder_is_scored_without_moving_its_texts(spark, tmp_path, toy_examples, monkeypatch):
+    """Ordinals meet short answers, not texts; and documents in order are so before they are multiplied."""
+    from formlens.plans import studies
+    from formlens.queries import inputs
+
+    seen = []
+    monkeypatch.setattr(studies, "predicted_accuracy", lambda answers, *rest, **named: seen.append(answers.columns) or predicted(answers, *rest, **named), raising=False)
+    from formlens.operators.scoring import predicted_accuracy as predicted
+
+    examples, arrays = str(tmp_path / "examples"), str(tmp_path / "arrays")
+    example_files.write_sorted_examples(toy_examples, examples)
+    rows = [("exp", 0, n, text) for n, text in enumerate(["so 0", "it is 42", "7"])]
+    generation_files.write_generation_arrays(spark.createDataFrame(rows, "experiment STRING, format_id INT, ordinal BIGINT, generation STRING"), arrays)
+    found = studies.evaluate_folder(spark, examples, arrays).accuracy.collect()
+    assert [(round(r["accuracy"], 6), r["n_scored"]) for r in found] == [(0.666667, 3)]
+    assert len(seen) == 1 and "generation" not in seen[0]
+    documents = spark.range(6).selectExpr("id AS doc_id", "'text' AS text", "4L AS n_chars", "5 - id AS ordinal")
+    plan = inputs.generations_in_order(documents, "ordinal")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 and plan.index("Generate") < plan.index("rangepartitioning")
