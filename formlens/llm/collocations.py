@@ -235,6 +235,14 @@ class _RunSums:
         return [column[:-1] for column in sums]
 
 
+def _shuffled(frame: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out by key at every size.
+
+    Tables of this module pack well: what Spark takes for 10 MB by its files has eight times that as a hash table on the driver.
+    """
+    return frame.hint("merge")
+
+
 def _flows(rows: DataFrame, common: np.ndarray, min_count: int) -> DataFrame:
     """``(size, w1, w23, w4, n)``: edges, nodes and pairs that are frequent, and parts of the counts of words.
 
@@ -319,7 +327,7 @@ def _spellings(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]
 
     found = docs.mapInArrow(spell, "w long, lang string, s binary, n long")
     found = stored(found.groupBy("w", "lang").agg(F.min("s").alias("s"), F.sum("n").alias("n")), "spellings")
-    return found.filter("w <> 0").drop("n").join(words, "w"), found.filter("w = 0").select("lang", "n")
+    return found.filter("w <> 0").drop("n").join(_shuffled(words), "w"), found.filter("w = 0").select("lang", "n")
 
 
 def _path_heads(edges: DataFrame) -> DataFrame:
@@ -331,21 +339,21 @@ def _path_heads(edges: DataFrame) -> DataFrame:
     """
     into = edges.groupBy("to1", "to23").agg(F.count("*").alias("n_in"), *(F.max(name).alias(f"up_{name}") for name in EDGE))
     out = edges.groupBy("w1", "w23").agg(F.count("*").alias("n_out"))
-    inner = into.withColumnsRenamed({"to1": "w1", "to23": "w23"}).join(out, ["w1", "w23"])
+    inner = into.withColumnsRenamed({"to1": "w1", "to23": "w23"}).join(_shuffled(out), ["w1", "w23"])
     inner = inner.filter((F.col("n_in") == 1) & (F.col("n_out") == 1) & (F.pmod(F.xxhash64("w1", "w23"), F.lit(PATH_CUT)) != 0))
-    steps = edges.select(*EDGE).join(inner, ["w1", "w23"], "left")
+    steps = edges.select(*EDGE).join(_shuffled(inner), ["w1", "w23"], "left")
     heads = F.col("n_in").isNull()
     steps = steps.select(*EDGE, *(F.coalesce(f"up_{name}", name).alias(f"up_{name}") for name in EDGE), F.when(heads, 0).otherwise(1).alias("place"), heads.alias("is_head"))
     steps = stored(steps, "steps")
     above = [F.col(name).alias(f"up_{name}") for name in EDGE]
     for _ in range(PATH_ROUNDS):
         far = steps.select(*above, *(F.col(f"up_{name}").alias(f"far_{name}") for name in EDGE), F.col("place").alias("more"), F.col("is_head").alias("above_head"))
-        joined = steps.join(far, [f"up_{name}" for name in EDGE])
+        joined = steps.join(_shuffled(far), [f"up_{name}" for name in EDGE])
         if joined.filter("NOT above_head").isEmpty():
             break
         steps = stored(joined.select(*EDGE, *(F.col(f"far_{name}").alias(f"up_{name}") for name in EDGE), (F.col("place") + F.col("more")).alias("place"), "is_head"), "steps")
     ends = steps.select(*above, F.col("is_head").alias("whole"))
-    return steps.join(ends, [f"up_{name}" for name in EDGE]).select(
+    return steps.join(_shuffled(ends), [f"up_{name}" for name in EDGE]).select(
         *EDGE,
         F.when(F.col("whole"), F.struct(*(F.col(f"up_{name}").alias(name) for name in EDGE))).otherwise(F.struct(*EDGE)).alias("head"),
         F.when(F.col("whole"), F.col("place")).otherwise(0).alias("place"),
@@ -371,16 +379,16 @@ def _not_contained(frame: DataFrame, longer: DataFrame, keys: list[str], contain
     """Rows without a longer phrase that occurs ``contained`` per cent as often; ``longer`` is ``(*keys, of)``."""
     most = longer.groupBy(*keys).agg(F.max("of").alias("of"))
     share = F.coalesce("of", F.lit(0)).cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * contained
-    return frame.join(most, keys, "left").filter(~share)
+    return frame.join(_shuffled(most), keys, "left").filter(~share)
 
 
 def _paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row per unary path: its words, and how often its phrases of 1 to 4 words occur, in order."""
-    placed = edges.join(_path_heads(edges), EDGE)
+    placed = edges.join(_shuffled(_path_heads(edges)), EDGE)
     steps = F.array_sort(F.collect_list(F.struct("place", "s4", "f1_4", "f2_34", "f3_to", "n")))
     paths = placed.groupBy("head").agg(steps.alias("steps"))
     first = nodes.withColumnsRenamed({"w1": "h1", "w23": "h23"})
-    paths = paths.join(first, (F.col("head.w1") == F.col("h1")) & (F.col("head.w23") == F.col("h23")))
+    paths = paths.join(_shuffled(first), (F.col("head.w1") == F.col("h1")) & (F.col("head.w23") == F.col("h23")))
     return paths.select(
         "lang",
         F.concat(F.array("s1", "s2", "s3"), "steps.s4").alias("words"),
@@ -405,7 +413,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     looked at. Texts of any length are read a mebibyte at a time. No text, no row.
 
     The sample of about 20,000 documents only tells which pairs of words are so common that their edges must be
-    spread over many tasks; every count is over all documents.
+    spread over many tasks; every count is over all documents. No table is gathered on the driver but the common
+    pairs, at most 2,000, and a map of bits of at most 4 MiB.
     """
     bounded_batches(docs.sparkSession)
     columns = [F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text")]
@@ -421,24 +430,25 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
 
     def with_word(frame: DataFrame, k: int) -> DataFrame:
         found = [F.col("w").alias(f"w{k}"), F.col("f1").alias(f"f1_{k}"), F.col("s").alias(f"s{k}")]
-        return frame.join(words.select(*found), f"w{k}")
+        return frame.join(_shuffled(words.select(*found)), f"w{k}")
 
     # Most pairs are one row; those of common pairs are parts, of which some tell the first word.
     pairs = counts.filter("size = 2").groupBy("w23").agg(F.sum("n").alias("f2"), F.bit_or("w1").alias("half"))
     pairs = pairs.filter(F.col("f2") >= min_count)
     first = words.select("lang", F.col("w").alias("w2"), F.col("f1").alias("f1_2"), F.col("s").alias("s2"), F.col("w").bitwiseAND(F.lit(FIRST_HALF)).alias("half"))
-    pairs = pairs.join(first, "half").drop("half").withColumn("w3", pair_hash("w2", "w23"))
+    pairs = pairs.join(_shuffled(first), "half").drop("half").withColumn("w3", pair_hash("w2", "w23"))
     pairs = stored(with_word(pairs, 3), "spelled-pairs")
     inner = pairs.withColumnRenamed("f2", "f2_23")
-    nodes = counts.filter("size = 3").select("w1", "w23", F.col("n").alias("f3")).join(inner, "w23")
+    nodes = counts.filter("size = 3").select("w1", "w23", F.col("n").alias("f3")).join(_shuffled(inner), "w23")
     nodes = with_word(nodes, 1).withColumn("w12", pair_hash("w1", "w2"))
-    nodes = nodes.join(pairs.select(F.col("w23").alias("w12"), F.col("f2").alias("f2_12")), "w12")
+    nodes = nodes.join(_shuffled(pairs.select(F.col("w23").alias("w12"), F.col("f2").alias("f2_12"))), "w12")
     nodes = stored(nodes, "spelled-nodes")
 
-    edges = counts.filter("size = 4").select(*EDGE, "n").join(pairs.select("w23", "w2", "w3"), "w23")
+    edges = counts.filter("size = 4").select(*EDGE, "n").join(_shuffled(pairs.select("w23", "w2", "w3")), "w23")
     edges = with_word(edges, 4).select(*EDGE, "n", "s4", "f1_4", F.col("w2").alias("to1"), pair_hash("w3", "w4").alias("to23"))
-    edges = edges.join(pairs.select(F.col("w23").alias("to23"), F.col("f2").alias("f2_34")), "to23")
-    edges = edges.join(nodes.select(F.col("w1").alias("to1"), F.col("w23").alias("to23"), F.col("f3").alias("f3_to")), ["to1", "to23"])
+    edges = edges.join(_shuffled(pairs.select(F.col("w23").alias("to23"), F.col("f2").alias("f2_34"))), "to23")
+    onward = nodes.select(F.col("w1").alias("to1"), F.col("w23").alias("to23"), F.col("f3").alias("f3_to"))
+    edges = edges.join(_shuffled(onward), ["to1", "to23"])
     edges = stored(edges, "spelled-edges")
 
     at = [f"words[i + {k}]" for k in range(4)]
@@ -465,4 +475,4 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))).orderBy(*order)
     found = found.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    return found.join(n_words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return found.join(_shuffled(n_words), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

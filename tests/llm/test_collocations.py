@@ -7,6 +7,7 @@ import pytest
 
 from formlens.llm import collocations as module
 from formlens.llm.collocations import collocations, pair_hash, pair_hashes, segments
+from formlens.sources.tables import stored
 
 SCHEMA = "lang STRING, text STRING, doc_id LONG, n INT, Rank INT"
 
@@ -65,6 +66,20 @@ def test_long_texts_and_common_pairs(spark, monkeypatch):
     assert found_of(spark, rows, 2, 5000) == by_force(rows, 2, 5000)
 
 
+def test_no_table_is_gathered_for_a_join(spark, monkeypatch):
+    """However small Spark takes a table for, its rows are dealt out and not broadcast by the driver."""
+    plans = []
+
+    def plan_of(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(module, "stored", lambda frame, name: plans.append(plan_of(frame)) or stored(frame, name))
+    frame = spark.createDataFrame([("en", "a b c d e f g a b d"), ("fr", "a b c d e")] * 3, "lang STRING, text STRING")
+    plans.append(plan_of(collocations(frame, 2)))
+    assert len(plans) > 8 and sum(plan.count("SortMergeJoin") for plan in plans) > 10
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 def test_empty_tables(spark):
     assert found_of(spark, []) == [] and found_of(spark, [("en", "too few"), ("en", None)]) == []
 
